@@ -88,3 +88,445 @@ def _q8(spark, d):
 @query("product_neighbourhood", O.product_neighbourhood(ANCHOR, 30))
 def _q10(spark, d):
     return Q.product_neighbourhood(reviews(spark, d), ANCHOR, k=30)
+
+
+# ── shared helpers for the operator queries ──────────────────────────────────────────────────────────────
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..operators import aggregates as A  # noqa: E402
+from ..operators import graph as G  # noqa: E402
+from ..operators import patterns as J  # noqa: E402
+from ..operators import reviews as R  # noqa: E402
+
+BOT_TEST = (40, 0.3)  # biting bot parameters for the test data (library default: > 500 reviews, ratio > 0.95)
+META_MAX_SIZE = 45  # titles known only for parts up to this size, so title coverage is below 100 %
+# Fixed values of the test data: the six part types, used as six per-category datasets.
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+UNTITLED_DATASETS = ["ECONOMY", "PROMO"]
+
+RAW = "WITH " + O.RAW_REVIEWS
+
+
+def title_meta(spark, d):
+    t = Tables(spark, d)
+    return t.part.filter(F.col("p_size") <= META_MAX_SIZE).select(
+        F.col("p_partkey").alias("product_id"), F.col("p_name").alias("title")
+    )
+
+
+META_SQL = f"meta AS (SELECT p_partkey AS product_id, p_name AS title FROM part WHERE p_size <= {META_MAX_SIZE})"
+
+
+# ── A: aggregations ──────────────────────────────────────────────────────────────────────────────────────
+@query("product_stats", O.q("""
+SELECT product_id, CAST(count(*) AS BIGINT) AS review_count, CAST(sum(stars) AS BIGINT) AS sum_stars,
+       CAST(sum(stars) AS DOUBLE) / count(*) AS avg_stars FROM reviews GROUP BY product_id"""))
+def _a1(spark, d):
+    return A.product_stats(graph(spark, d).reviews)
+
+
+@query("reviewer_stats", O.q("""
+SELECT reviewer_id, CAST(count(*) AS BIGINT) AS review_count, CAST(sum(stars) AS BIGINT) AS sum_stars,
+       CAST(sum(stars) AS DOUBLE) / count(*) AS avg_stars FROM reviews GROUP BY reviewer_id"""))
+def _a2(spark, d):
+    return A.reviewer_stats(graph(spark, d).reviews)
+
+
+@query("bayesian_score", O.q("""
+SELECT product_id, review_count, sum_stars, CAST(sum_stars AS DOUBLE) / review_count AS avg_stars,
+       (CAST(10 AS DOUBLE) * gmean.mean_stars + sum_stars) / (CAST(10 AS DOUBLE) + review_count) AS bayesian_score
+FROM pstats, gmean"""))
+def _a3(spark, d):
+    return A.bayesian_score(A.product_stats(graph(spark, d).reviews), prior_weight=10.0)
+
+
+@query("active_in", O.q("""
+SELECT reviewer_id, category, CAST(count(*) AS BIGINT) AS review_count, CAST(sum(stars) AS DOUBLE) / count(*) AS avg_stars
+FROM reviews GROUP BY reviewer_id, category HAVING count(*) >= 2"""))
+def _a4(spark, d):
+    return A.active_in(graph(spark, d).reviews, min_reviews=2)
+
+
+@query("multi_buyer_stats", O.q(""",
+per AS (SELECT reviewer_id, count(DISTINCT product_id) AS n FROM reviews GROUP BY reviewer_id HAVING count(DISTINCT product_id) > 1)
+SELECT CAST(count(*) AS BIGINT) AS multi_buyers, CAST(sum(n) AS DOUBLE) / count(*) AS avg_items,
+       CAST(max(n) AS BIGINT) AS max_items FROM per"""))
+def _a5(spark, d):
+    return A.multi_buyer_stats(graph(spark, d).reviews)
+
+
+@query("multi_buyer_share", """
+WITH per AS (SELECT o.o_orderpriority, l.l_orderkey, count(DISTINCT l.l_partkey) AS n
+             FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2)
+SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS buyers, CAST(count(*) FILTER (WHERE n > 1) AS BIGINT) AS multi_buyers,
+       count(*) FILTER (WHERE n > 1) * 100.0 / count(*) AS multi_buyer_pct
+FROM per GROUP BY o_orderpriority""")
+def _a6(spark, d):
+    t = Tables(spark, d)
+    rows = t.lineitem.select("l_orderkey", "l_partkey").join(
+        t.orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    return A.multi_buyer_share(rows, "o_orderpriority", "l_orderkey", "l_partkey")
+
+
+@query("category_distribution", O.q("""
+SELECT category, CAST(count(*) AS BIGINT) AS reviews FROM reviews GROUP BY category"""))
+def _a7(spark, d):
+    return A.category_distribution(graph(spark, d).reviews)
+
+
+@query("category_affinity_directed", O.q("""
+SELECT src_category, dst_category, CAST(count(*) AS BIGINT) AS edges, CAST(sum(weight) AS BIGINT) AS total_weight
+FROM co WHERE src_category <> dst_category GROUP BY src_category, dst_category"""))
+def _a8(spark, d):
+    return A.category_affinity_directed(graph(spark, d).co_purchased)
+
+
+@query("category_affinity_undirected", O.q("""
+SELECT least(src_category, dst_category) AS category_a, greatest(src_category, dst_category) AS category_b,
+       CAST(count(*) AS BIGINT) AS edges, CAST(sum(weight) AS BIGINT) AS total_weight
+FROM co WHERE src_category <> dst_category GROUP BY 1, 2"""))
+def _a9(spark, d):
+    return A.category_affinity_undirected(graph(spark, d).co_purchased)
+
+
+GRAPH_PARTS_SQL = """,
+parts AS (
+  SELECT 'node' AS kind, 'Product' AS name, CAST(count(*) AS BIGINT) AS n FROM products
+  UNION ALL SELECT 'node', 'Reviewer', count(*) FROM (SELECT DISTINCT reviewer_id FROM reviews)
+  UNION ALL SELECT 'node', 'Category', count(*) FROM categories
+  UNION ALL SELECT 'relationship', 'REVIEWED', count(*) FROM reviews
+  UNION ALL SELECT 'relationship', 'CO_PURCHASED', count(*) FROM co
+  UNION ALL SELECT 'relationship', 'BELONGS_TO', count(*) FROM belongs_to
+  UNION ALL SELECT 'relationship', 'ACTIVE_IN', count(*) FROM (SELECT DISTINCT reviewer_id, category FROM reviews))
+SELECT coalesce(kind, 'all') AS kind, coalesce(name, 'total') AS name, CAST(sum(n) AS BIGINT) AS n
+FROM parts GROUP BY ROLLUP (kind, name)"""
+
+
+def graph_parts(g: ReviewGraph) -> dict:
+    return {
+        "Product": ("node", g.products), "Reviewer": ("node", g.reviewers), "Category": ("node", g.categories),
+        "REVIEWED": ("relationship", g.reviewed), "CO_PURCHASED": ("relationship", g.co_purchased),
+        "BELONGS_TO": ("relationship", g.belongs_to), "ACTIVE_IN": ("relationship", g.active_in),
+    }
+
+
+@query("graph_counts", O.q(GRAPH_PARTS_SQL))
+def _a10(spark, d):
+    return A.graph_counts(graph_parts(graph(spark, d)))
+
+
+@query("title_coverage", RAW + "," + META_SQL + """,
+m AS (SELECT product_id, min(title) AS product_title FROM meta GROUP BY product_id)
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(m.product_title) AS BIGINT) AS with_title,
+       count(m.product_title) * 100.0 / count(*) AS title_pct
+FROM all_reviews r LEFT JOIN m ON r.product_id = m.product_id""")
+def _a11(spark, d):
+    return A.title_coverage(R.enrich_titles(reviews(spark, d).drop("title"), title_meta(spark, d)))
+
+
+@query("copurchase_degree", O.q("""
+SELECT src AS product_id, CAST(count(*) AS BIGINT) AS degree, CAST(sum(weight) AS BIGINT) AS total_weight
+FROM und GROUP BY src"""))
+def _a12(spark, d):
+    return A.copurchase_degree(J.union_directions(graph(spark, d).co_purchased.select("src", "dst", "weight")))
+
+
+@query("weight_distribution", O.q("""
+SELECT weight, CAST(count(*) AS BIGINT) AS edges, (SELECT max(weight) FROM co) AS max_weight
+FROM co GROUP BY weight"""))
+def _a13(spark, d):
+    return A.weight_distribution(graph(spark, d).co_purchased)
+
+
+@query("distinct_categories", O.q("SELECT name FROM categories"))
+def _a14(spark, d):
+    return graph(spark, d).categories
+
+
+@query("key_uniqueness_check", """
+SELECT l_orderkey, l_linenumber, CAST(count(*) AS BIGINT) AS copies FROM lineitem
+GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
+def _a15(spark, d):
+    return A.key_duplicates(Tables(spark, d).lineitem, ["l_orderkey", "l_linenumber"])
+
+
+# ── E: graph construction ────────────────────────────────────────────────────────────────────────────────
+@query("merge_upsert", """
+WITH rows AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity,
+         CASE WHEN l_linestatus = 'F' THEN 2 ELSE 1 END AS load_no FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                                  ORDER BY load_no DESC, l_partkey, l_suppkey, l_shipdate) AS rn FROM rows)
+SELECT l_orderkey * 10 + l_linenumber AS review_id, load_no, l_partkey AS product_id, l_suppkey, l_shipdate AS ts,
+       CAST((CAST(floor(l_quantity - 1) AS INTEGER) % 5) + 1 AS INTEGER) AS stars
+FROM r WHERE rn = 1""")
+def _e1(spark, d):
+    li = Tables(spark, d).lineitem
+    tagged = li.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity",
+        F.when(F.col("l_linestatus") == "F", F.lit(2)).otherwise(F.lit(1)).alias("load_no"),
+    )
+    existing = tagged.filter(F.col("load_no") == 1)
+    incoming = tagged.filter(F.col("load_no") == 2)
+    merged = R.merge_upsert(existing, incoming, ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_shipdate"])
+    return merged.select(
+        R.review_key(F.col("l_orderkey"), F.col("l_linenumber")).alias("review_id"), "load_no",
+        F.col("l_partkey").alias("product_id"), "l_suppkey", F.col("l_shipdate").alias("ts"),
+        R.stars_from_quantity(F.col("l_quantity")).alias("stars"),
+    )
+
+
+@query("build_product_nodes", O.q("SELECT * FROM products"))
+def _e2(spark, d):
+    return graph(spark, d).products
+
+
+@query("build_reviewer_nodes", O.q("""
+SELECT reviewer_id, CAST(count(*) AS BIGINT) AS review_count, CAST(sum(stars) AS DOUBLE) / count(*) AS avg_stars
+FROM reviews GROUP BY reviewer_id"""))
+def _e3(spark, d):
+    return graph(spark, d).reviewers
+
+
+@query("build_reviewed", O.q("""
+SELECT r.reviewer_id AS src, r.product_id AS dst, r.review_id, r.stars, r.ts AS timestamp,
+       CAST(year(r.ts) AS INTEGER) AS year, p.bayesian_score
+FROM reviews r JOIN products p ON r.product_id = p.product_id"""))
+def _e4(spark, d):
+    return graph(spark, d).reviewed
+
+
+@query("build_belongs_to", O.q("SELECT src, dst FROM belongs_to"))
+def _e5(spark, d):
+    return graph(spark, d).belongs_to
+
+
+@query("build_co_purchased", O.q("SELECT src, dst, weight, cross_cat, src_category, dst_category FROM co"))
+def _e6(spark, d):
+    return graph(spark, d).co_purchased
+
+
+@query("build_similar_to_v1", RAW + """,
+inc AS (SELECT DISTINCT reviewer_id AS g, product_id AS item FROM all_reviews)
+SELECT a.item AS src, b.item AS dst, CAST(count(*) AS BIGINT) AS weight
+FROM inc a JOIN inc b ON a.g = b.g AND a.item < b.item GROUP BY a.item, b.item""")
+def _e7(spark, d):
+    return G.build_similar_to(reviews(spark, d))
+
+
+@query("build_v1_edges", RAW + """
+SELECT DISTINCT reviewer_id AS src, 'PURCHASED' AS type, product_id AS dst FROM all_reviews
+UNION ALL SELECT reviewer_id, 'WROTE', review_id FROM all_reviews
+UNION ALL SELECT review_id, 'ABOUT', product_id FROM all_reviews""")
+def _e8(spark, d):
+    return G.build_v1_edges(reviews(spark, d))
+
+
+@query("build_v1_nodes", RAW + """
+SELECT DISTINCT 'Customer' AS label, reviewer_id AS id FROM all_reviews
+UNION ALL SELECT DISTINCT 'Product', product_id FROM all_reviews
+UNION ALL SELECT 'Review', review_id FROM all_reviews""")
+def _e9(spark, d):
+    return G.build_v1_nodes(reviews(spark, d))
+
+
+@query("merge_categories", RAW + f"""
+SELECT review_id, reviewer_id, product_id,
+       CASE WHEN category IN ({", ".join(repr(c) for c in UNTITLED_DATASETS)}) THEN NULL ELSE title END AS title,
+       stars, ts, category
+FROM all_reviews WHERE category IN ({", ".join(repr(c) for c in PART_TYPES)})""")
+def _e10(spark, d):
+    r = reviews(spark, d)
+    frames = {}
+    for c in PART_TYPES:
+        f = r.filter(F.col("category") == c).drop("category")
+        frames[c] = f.drop("title") if c in UNTITLED_DATASETS else f
+    return G.merge_categories(frames)
+
+
+@query("batch_writes", RAW + """
+SELECT review_id, CAST(review_id % 8 AS INTEGER) AS bucket,
+       CAST((row_number() OVER (PARTITION BY review_id % 8 ORDER BY review_id) - 1) // 500 AS INTEGER) AS batch
+FROM all_reviews""")
+def _e11(spark, d):
+    r = reviews(spark, d).select("review_id")
+    return G.assign_batches(r, "review_id", 500, bucket_col=F.pmod(F.col("review_id"), F.lit(8)))
+
+
+# ── P: projections and filters ───────────────────────────────────────────────────────────────────────────
+WANTED_DOC_COLUMNS = ["doc_id", "stars", "text", "lang", "review_title"]
+
+
+@query("select_existing", "SELECT doc_id, text, lang FROM documents")
+def _p1(spark, d):
+    from ..sources.files import select_existing
+
+    return select_existing(Tables(spark, d).documents, WANTED_DOC_COLUMNS)
+
+
+@query("alias_projection", O.q("""
+SELECT product_id AS pid, title, bayesian_score AS score, avg_stars AS stars, review_count AS reviews, category
+FROM products"""))
+def _p2(spark, d):
+    p = graph(spark, d).products
+    return p.select(*Q._product_row(p), "category")
+
+
+@query("literal_columns", O.q("""
+SELECT product_id AS pid, 'BELONGS_TO' AS rel_type, CAST(NULL AS BIGINT) AS pid2, CAST(NULL AS VARCHAR) AS title2,
+       CAST(NULL AS BIGINT) AS weight, true AS cross_cat FROM products"""))
+def _p3(spark, d):
+    p = graph(spark, d).products
+    return p.select(
+        F.col("product_id").alias("pid"), F.lit("BELONGS_TO").alias("rel_type"), Q._null("bigint").alias("pid2"),
+        Q._null("string").alias("title2"), Q._null("bigint").alias("weight"), F.lit(True).alias("cross_cat"),
+    )
+
+
+@query("filter_min_reviews", O.q(f"SELECT * FROM products WHERE review_count >= {MIN_REVIEWS}"))
+def _p4(spark, d):
+    return graph(spark, d).products.filter(F.col("review_count") >= MIN_REVIEWS)
+
+
+@query("filter_by_id", RAW + f"\nSELECT * FROM all_reviews WHERE product_id = {ANCHOR}")
+def _p5(spark, d):
+    return reviews(spark, d).filter(F.col("product_id") == F.lit(ANCHOR))
+
+
+@query("filter_category", O.q(f"SELECT * FROM products WHERE category = '{CATEGORY}'"))
+def _p6(spark, d):
+    return graph(spark, d).products.filter(F.col("category") == F.lit(CATEGORY))
+
+
+@query("filter_cross_cat", O.q("SELECT src, dst, weight, cross_cat, src_category, dst_category FROM co WHERE cross_cat"))
+def _p7(spark, d):
+    return graph(spark, d).co_purchased.filter("cross_cat")
+
+
+@query("filter_language", "SELECT doc_id, text, lang, source, n_chars FROM documents WHERE lang = 'en'")
+def _p8(spark, d):
+    return Tables(spark, d).documents.filter(F.col("lang") == "en")
+
+
+@query("filter_bots", RAW + "," + O.bots_cte(*BOT_TEST) + "\nSELECT reviewer_id, review_count, modal_count, ratio FROM bots")
+def _p9(spark, d):
+    return R.flag_bots(reviews(spark, d), *BOT_TEST)
+
+
+BUDGET_FRACTION = 0.5
+
+
+@query("subset_to_budget", RAW + f""",
+cnt AS (SELECT reviewer_id, count(*) AS n FROM all_reviews GROUP BY reviewer_id),
+hist AS (SELECT n, sum(n) AS rows FROM cnt GROUP BY n),
+tot AS (SELECT CAST(floor(sum(rows) * {BUDGET_FRACTION}) AS BIGINT) AS budget FROM hist),
+suf AS (SELECT n, sum(rows) OVER (ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM hist),
+k AS (SELECT min(n) AS k FROM suf, tot WHERE kept <= budget)
+SELECT r.* FROM all_reviews r JOIN cnt c ON r.reviewer_id = c.reviewer_id, k WHERE c.n >= k.k""")
+def _p10(spark, d):
+    return R.budget_subset(reviews(spark, d), budget_fraction=BUDGET_FRACTION)
+
+
+# ── J: graph patterns ────────────────────────────────────────────────────────────────────────────────────
+@query("expand_directed", O.q("""
+SELECT p.product_id AS pid, c.name AS category FROM products p
+JOIN belongs_to b ON p.product_id = b.src JOIN categories c ON b.dst = c.name"""))
+def _j1(spark, d):
+    g = graph(spark, d)
+    x = J.expand(g.products, "product_id", g.belongs_to, g.categories, "name")
+    return x.select(F.col("product_id").alias("pid"), F.col("name").alias("category"))
+
+
+@query("expand_undirected", O.q("""
+SELECT p.product_id AS pid, q.product_id AS pid2, u.weight FROM products p
+JOIN und u ON p.product_id = u.src JOIN products q ON u.dst = q.product_id"""))
+def _j2(spark, d):
+    g = graph(spark, d)
+    p1 = g.products.select("product_id")
+    p2 = g.products.select(F.col("product_id").alias("pid2"))
+    x = J.expand_undirected(p1, "product_id", g.co_purchased.select("src", "dst", "weight"), p2, "pid2")
+    return x.select(F.col("product_id").alias("pid"), "pid2", "weight")
+
+
+@query("expand_both_endpoints", O.q("""
+SELECT co.src, co.dst, co.weight, a.title AS title1, a.bayesian_score AS score1, a.avg_stars AS stars1,
+       a.review_count AS reviews1, ba.dst AS category1, b.title AS title2, b.bayesian_score AS score2,
+       b.avg_stars AS stars2, b.review_count AS reviews2, bb.dst AS category2
+FROM co JOIN products a ON co.src = a.product_id JOIN belongs_to ba ON a.product_id = ba.src
+        JOIN products b ON co.dst = b.product_id JOIN belongs_to bb ON b.product_id = bb.src"""))
+def _j3(spark, d):
+    g = graph(spark, d)
+    return J.endpoint_attributes(g.co_purchased.select("src", "dst", "weight"), g.products, g.belongs_to)
+
+
+@query("optional_expand", O.q(f"""
+SELECT p.product_id AS pid, u.dst AS pid2, u.weight, b2.dst AS category2
+FROM products p LEFT JOIN und u ON p.product_id = u.src LEFT JOIN belongs_to b2 ON u.dst = b2.src
+WHERE p.review_count >= {MIN_REVIEWS}"""))
+def _j4(spark, d):
+    g = graph(spark, d)
+    p = g.products.filter(F.col("review_count") >= MIN_REVIEWS).select("product_id")
+    und = J.union_directions(g.co_purchased.select("src", "dst", "weight"))
+    step = p.join(und, p.product_id == und.src, "left")
+    b2 = g.belongs_to.select(F.col("src").alias("__b"), F.col("dst").alias("category2"))
+    return step.join(b2, F.col("dst") == b2.__b, "left").select(
+        F.col("product_id").alias("pid"), F.col("dst").alias("pid2"), "weight", "category2"
+    )
+
+
+@query("optional_bound_check", RAW + f""",
+pr AS (SELECT DISTINCT reviewer_id, product_id FROM all_reviews),
+paths AS (SELECT a.product_id AS pid, a.reviewer_id, b.product_id AS other_id
+          FROM pr a JOIN pr b ON a.reviewer_id = b.reviewer_id AND b.product_id <> a.product_id
+          WHERE a.product_id = {ANCHOR}),
+rv AS (SELECT product_id, review_id FROM all_reviews WHERE product_id = {ANCHOR}),
+wrote AS (SELECT DISTINCT reviewer_id AS src, review_id AS dst FROM all_reviews)
+SELECT p.pid, p.reviewer_id, p.other_id, r.review_id, w.src IS NOT NULL AS wrote
+FROM paths p LEFT JOIN rv r ON p.pid = r.product_id
+LEFT JOIN wrote w ON w.src = p.reviewer_id AND w.dst = r.review_id""")
+def _j5(spark, d):
+    r = reviews(spark, d)
+    paths = J.two_hop(r.select("reviewer_id", "product_id").distinct(), ANCHOR)
+    revs = r.filter(F.col("product_id") == ANCHOR).select(F.col("product_id").alias("__pid"), "review_id")
+    rows = paths.join(revs, paths.pid == revs.__pid, "left").drop("__pid")
+    wrote = r.select(F.col("reviewer_id").alias("src"), F.col("review_id").alias("dst"))
+    return J.optional_bound_check(rows, wrote, "reviewer_id", "review_id", "wrote")
+
+
+@query("two_hop_copurchase", RAW + f""",
+pr AS (SELECT DISTINCT reviewer_id, product_id FROM all_reviews)
+SELECT a.product_id AS pid, a.reviewer_id, b.product_id AS other_id
+FROM pr a JOIN pr b ON a.reviewer_id = b.reviewer_id AND b.product_id <> a.product_id
+WHERE a.product_id = {ANCHOR}""")
+def _j6(spark, d):
+    return J.two_hop(reviews(spark, d).select("reviewer_id", "product_id").distinct(), ANCHOR)
+
+
+@query("enrich_titles", RAW + "," + META_SQL + """,
+m AS (SELECT product_id, min(title) AS product_title FROM meta GROUP BY product_id)
+SELECT r.review_id, r.product_id, m.product_title FROM all_reviews r LEFT JOIN m ON r.product_id = m.product_id""")
+def _j7(spark, d):
+    e = R.enrich_titles(reviews(spark, d).drop("title"), title_meta(spark, d))
+    return e.select("review_id", "product_id", "product_title")
+
+
+@query("exclude_reviewers", RAW + "," + O.bots_cte(*BOT_TEST) + """
+SELECT * FROM all_reviews WHERE reviewer_id NOT IN (SELECT reviewer_id FROM bots)""")
+def _j8(spark, d):
+    r = reviews(spark, d)
+    return R.drop_bots(r, R.flag_bots(r, *BOT_TEST))
+
+
+@query("keep_multibuyers", RAW + """,
+multi AS (SELECT reviewer_id FROM all_reviews GROUP BY reviewer_id HAVING count(DISTINCT product_id) > 1)
+SELECT * FROM all_reviews WHERE reviewer_id IN (SELECT reviewer_id FROM multi)""")
+def _j9(spark, d):
+    return R.keep_multibuyers(reviews(spark, d))
+
+
+@query("edge_cross_cat", O.q("SELECT src, dst, weight, src_category, dst_category, cross_cat FROM co"))
+def _j10(spark, d):
+    g = graph(spark, d)
+    edges = G.co_purchase_edges(g.reviews, 2)
+    return G.with_categories(edges, g.belongs_to)
