@@ -151,10 +151,9 @@ def budget_threshold(reviews: DataFrame, budget: int | None = None, budget_fract
 
 def budget_subset(reviews: DataFrame, budget: int | None = None, budget_fraction: float | None = None) -> DataFrame:
     """P10: keep the reviews of the most active reviewers within the budget (biased to multi-buyers)."""
-    k = budget_threshold(reviews, budget, budget_fraction).select("k")
+    k = budget_threshold(reviews, budget, budget_fraction).select("k").scalar()  # scalar subquery
     counts = reviews.groupBy("reviewer_id").agg(F.count(F.lit(1)).alias("__n"))
-    # ``k`` is one row by construction (a global aggregate), so broadcasting it is bounded.
-    keep = counts.crossJoin(F.broadcast(k)).filter(F.col("__n") >= F.col("k")).select("reviewer_id")
+    keep = counts.filter(F.col("__n") >= k).select("reviewer_id")
     return reviews.join(keep, "reviewer_id", "left_semi").select(*reviews.columns)
 
 

@@ -530,3 +530,236 @@ def _j10(spark, d):
     g = graph(spark, d)
     edges = G.co_purchase_edges(g.reviews, 2)
     return G.with_categories(edges, g.belongs_to)
+
+
+# ── G: subgraph assembly ─────────────────────────────────────────────────────────────────────────────────
+from . import retrieval as RT  # noqa: E402
+from . import subgraph as SG  # noqa: E402
+from ..functions import text as X  # noqa: E402
+
+
+@query("subgraph_nodes", O.q(O.cte_pairs_anchor("rows", ANCHOR, 15) + O.subgraph_nodes_sql("rows")
+                             + "\nSELECT * FROM sg_nodes"))
+def _g1(spark, d):
+    g = graph(spark, d)
+    _, rows = Q.subgraph_rows(g, "copurchase", entity_id=ANCHOR)
+    return SG.subgraph_nodes(rows, g.products)
+
+
+@query("subgraph_edges", O.q(O.cte_pairs_anchor("rows", ANCHOR, 15) + O.subgraph_edges_sql("rows")
+                             + "\nSELECT * FROM sg_edges"))
+def _g2(spark, d):
+    g = graph(spark, d)
+    _, rows = Q.subgraph_rows(g, "copurchase", entity_id=ANCHOR)
+    return SG.subgraph_edges(rows)
+
+
+@query("subgraph_summary", O.q(O.cte_combined("rows", 5, 10) + O.subgraph_nodes_sql("rows")
+                               + O.subgraph_edges_sql("rows") + """
+SELECT CAST((SELECT count(*) FROM sg_nodes) AS BIGINT) AS nodes,
+       CAST((SELECT count(*) FROM sg_edges) AS BIGINT) AS relationships"""))
+def _g3(spark, d):
+    g = graph(spark, d)
+    _, rows = Q.subgraph_rows(g, "combined_score")
+    return SG.subgraph_summary(SG.subgraph_nodes(rows, g.products), SG.subgraph_edges(rows))
+
+
+# ── R: retrieval over a table of questions ───────────────────────────────────────────────────────────────
+# The three routing words map onto three part types of the test data.
+TEST_CATEGORY_MAP = {"juguete": "SMALL", "deporte": "LARGE", "videojuego": "PROMO"}
+
+
+def routed_questions(spark, d):
+    return RT.route_intent(RT.question_table(Tables(spark, d).conversations), category_map=TEST_CATEGORY_MAP)
+
+
+def contexts(spark, d, g=None):
+    g = g or graph(spark, d)
+    return RT.intent_contexts(g, min_reviews=MIN_REVIEWS, min_reviews_category=MIN_REVIEWS)
+
+
+CTX = O.contexts_cte(MIN_REVIEWS, MIN_REVIEWS)
+ROUTED = O.routed_cte(TEST_CATEGORY_MAP)
+
+
+@query("route_intent", RAW + ROUTED + "\nSELECT conv_id, turn, question, intent, category FROM routed")
+def _r1(spark, d):
+    return routed_questions(spark, d)
+
+
+@query("build_context", O.q(CTX + "\nSELECT intent, category, context FROM contexts"))
+def _r2(spark, d):
+    return contexts(spark, d)
+
+
+ANSWERS_SQL = CTX + ROUTED + """,
+answers AS (SELECT r.conv_id, r.turn, r.question, r.intent, r.category, c.context
+            FROM routed r LEFT JOIN contexts c ON r.intent = c.intent AND r.category IS NOT DISTINCT FROM c.category)"""
+
+
+@query("answer_contexts", O.q(ANSWERS_SQL + "\nSELECT * FROM answers"))
+def _r3(spark, d):
+    return RT.answer_contexts(routed_questions(spark, d), contexts(spark, d))
+
+
+# ── X: scalar and text functions ─────────────────────────────────────────────────────────────────────────
+CR, LF, TAB = "\r", "\n", "\t"
+
+
+def dirty_text(c):
+    """Documents have no CR or TAB: sentence ends become CRLF and comma-spaces become TABs."""
+    return F.replace(F.replace(F.col(c), F.lit(". "), F.lit("." + CR + LF)), F.lit(", "), F.lit("," + TAB))
+
+
+DIRTY_SQL = "replace(replace(text, '. ', '.' || chr(13) || chr(10)), ', ', ',' || chr(9))"
+
+
+def clean_sql(x: str) -> str:
+    return (f"regexp_replace(regexp_replace(regexp_replace({x}, '\\r\\n', ' ', 'g'), '[\\n\\r\\t]', ' ', 'g'), "
+            "'\"', '', 'g')")
+
+
+@query("clean_text", f"SELECT doc_id, {clean_sql(DIRTY_SQL)} AS text FROM documents")
+def _x1(spark, d):
+    return Tables(spark, d).documents.select("doc_id", X.clean_text(dirty_text("text")).alias("text"))
+
+
+@query("null_text_policy", f"""
+SELECT d.doc_id, {clean_sql("coalesce(CAST(l.quality AS VARCHAR), 'nan')")} AS quality
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
+def _x2(spark, d):
+    t = Tables(spark, d)
+    j = t.documents.select("doc_id").join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    return j.select("doc_id", X.clean_text(F.col("quality"), null_text="nan").alias("quality"))
+
+
+@query("double_quotes", "SELECT doc_id, replace(text, '\"', '\"\"') AS text FROM documents")
+def _x3(spark, d):
+    return Tables(spark, d).documents.select("doc_id", X.double_quotes("text").alias("text"))
+
+
+STARS_RAW_SQL = """CASE (event_id % 6) WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1 THEN ' ' || CAST(value AS VARCHAR) || ' '
+  WHEN 2 THEN 'nan' WHEN 3 THEN event_type WHEN 4 THEN '' ELSE NULL END"""
+
+
+@query("stars_to_int", f"""
+WITH r AS (SELECT event_id, {STARS_RAW_SQL} AS raw FROM events),
+d AS (SELECT event_id, TRY_CAST(trim(raw) AS DOUBLE) AS v FROM r)
+SELECT event_id, coalesce(TRY_CAST(trunc(CASE WHEN isnan(v) THEN 0.0 ELSE coalesce(v, 0.0) END) AS INTEGER), 0) AS stars
+FROM d""")
+def _x4(spark, d):
+    e = Tables(spark, d).events
+    k = F.pmod(F.col("event_id"), F.lit(6))
+    raw = (F.when(k == 0, F.col("value").cast("string"))
+           .when(k == 1, F.concat(F.lit(" "), F.col("value").cast("string"), F.lit(" ")))
+           .when(k == 2, F.lit("nan")).when(k == 3, F.col("event_type")).when(k == 4, F.lit("")))
+    return e.select("event_id", X.stars_to_int(raw).alias("stars"))
+
+
+@query("short_title", f"SELECT doc_id, {O.short_title_sql('text', 'doc_id')} AS label FROM documents")
+def _x5(spark, d):
+    return Tables(spark, d).documents.select("doc_id", X.short_title(F.col("text"), F.col("doc_id")).alias("label"))
+
+
+@query("table_title", "SELECT doc_id, substr(text, 1, 40) || '...' AS label FROM documents")
+def _x6(spark, d):
+    return Tables(spark, d).documents.select("doc_id", X.table_title(F.col("text")).alias("label"))
+
+
+@query("tooltip", O.q(f"""
+SELECT product_id AS pid, {O.tooltip_sql('title', 'product_id', 'category', 'avg_stars', 'bayesian_score', 'review_count')} AS tooltip
+FROM products"""))
+def _x7(spark, d):
+    p = graph(spark, d).products
+    return p.select(
+        F.col("product_id").alias("pid"),
+        X.tooltip("title", "product_id", "category", "avg_stars", "bayesian_score", "review_count").alias("tooltip"),
+    )
+
+
+TEST_LABELS = {**X.CATEGORY_LABELS, "SMALL": "🔹 Small", "LARGE": "🔷 Large"}
+
+
+@query("label_lookup", O.q("""
+SELECT name, CASE name WHEN 'Toys_and_Games' THEN '🧸 Toys' WHEN 'Sports_and_Outdoors' THEN '🏃 Sports'
+  WHEN 'Video_Games' THEN '🎮 Video Games' WHEN 'SMALL' THEN '🔹 Small' WHEN 'LARGE' THEN '🔷 Large' ELSE name END AS label
+FROM categories"""))
+def _x8(spark, d):
+    return graph(spark, d).categories.select("name", X.label_lookup(F.col("name"), TEST_LABELS).alias("label"))
+
+
+@query("category_node_id", O.q("SELECT name, 'cat_' || name AS node_id FROM categories"))
+def _x9(spark, d):
+    return graph(spark, d).categories.select("name", X.category_node_id(F.col("name")).alias("node_id"))
+
+
+@query("edge_width", O.q("""
+SELECT src, dst, weight, CAST(least(CASE WHEN coalesce(weight, 0) = 0 THEN 1 ELSE weight END, 10) AS BIGINT) AS width
+FROM co"""))
+def _x10(spark, d):
+    return graph(spark, d).co_purchased.select("src", "dst", "weight", X.edge_width(F.col("weight")).alias("width"))
+
+
+@query("review_year", RAW + "\nSELECT review_id, CAST(year(ts) AS INTEGER) AS year FROM all_reviews")
+def _x11(spark, d):
+    return reviews(spark, d).select("review_id", X.review_year(F.col("ts")).alias("year"))
+
+
+@query("parse_context", O.q(CTX + """
+SELECT intent, category, CAST(rank - 1 AS INTEGER) AS line_no,
+       substr(trim(regexp_replace(coalesce(title, ''), '[|\\r\\n]', ' ', 'g')), 1, 40) || '...' AS product,
+       CAST(round(score, 2) AS VARCHAR) AS score, CAST(round(stars, 2) AS VARCHAR) AS stars,
+       CAST(reviews AS VARCHAR) AS reviews
+FROM (SELECT l.intent, l.category, l.rank, t.title, t.score, t.stars, t.reviews FROM ctx_lines l
+      JOIN (SELECT 'top_rated' AS intent, CAST(NULL AS VARCHAR) AS category, rank, title, score, stars, reviews FROM ctx_top
+            UNION ALL SELECT 'generic', NULL, rank, title, score, stars, reviews FROM ctx_top
+            UNION ALL SELECT 'top_by_category', category, rank, title, score, stars, reviews FROM ctx_cat
+            UNION ALL SELECT 'copurchase', NULL, rank, title, score, stars, reviews FROM ctx_co
+            UNION ALL SELECT 'similar_to', NULL, rank, title, score, stars, reviews FROM ctx_co
+            UNION ALL SELECT 'category_affinity', NULL, rank, title, score, stars, reviews FROM ctx_aff
+            UNION ALL SELECT 'combined_score', NULL, rank, title, score, stars, reviews FROM ctx_comb) t
+      ON l.intent = t.intent AND l.category IS NOT DISTINCT FROM t.category AND l.rank = t.rank)"""))
+def _x12(spark, d):
+    return RT.parse_context(contexts(spark, d), keep=["intent", "category"])
+
+
+def responses(spark, d):
+    """Gateway responses for the answered questions, in the three shapes the client accepts: ``body`` as a
+    JSON string, ``body`` as an object, or no wrapper at all.  The generic intent is left out of the body."""
+    a = RT.answer_contexts(routed_questions(spark, d), contexts(spark, d))
+    inner = F.struct(
+        F.element_at(F.split(F.col("context"), "\n"), 1).alias("answer"),
+        F.when(F.col("intent") != "generic", F.col("intent")).alias("intent"),
+        F.col("context"), F.col("category"),
+    )
+    shape = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
+    raw = (F.when(shape == 0, F.to_json(F.struct(F.lit(200).alias("statusCode"), F.to_json(inner).alias("body"))))
+           .when(shape == 1, F.to_json(F.struct(F.lit(200).alias("statusCode"), inner.alias("body"))))
+           .otherwise(F.to_json(inner)))
+    return a.select("conv_id", "turn", raw.alias("raw"))
+
+
+@query("unwrap_body", O.q(ANSWERS_SQL + """
+SELECT conv_id, turn, split_part(context, chr(10), 1) AS answer, intent, context, category,
+       CAST(NULL AS VARCHAR) AS error FROM answers"""))
+def _x13(spark, d):
+    r = responses(spark, d)
+    return r.select("conv_id", "turn", RT.unwrap_body(F.col("raw")).alias("b")).select("conv_id", "turn", "b.*")
+
+
+@query("build_request", RAW + ROUTED + f""",
+req AS (SELECT conv_id, turn, question, category,
+               nullif(trim(CASE WHEN intent IN ('copurchase', 'similar_to') THEN '  {ANCHOR} ' ELSE '   ' END), '') AS pid
+        FROM routed)
+SELECT conv_id, turn, CASE
+  WHEN pid IS NULL AND category IS NULL THEN json_object('question', question)
+  WHEN pid IS NULL THEN json_object('question', question, 'category', category)
+  WHEN category IS NULL THEN json_object('question', question, 'product_id', pid)
+  ELSE json_object('question', question, 'product_id', pid, 'category', category) END::VARCHAR AS body
+FROM req""")
+def _x14(spark, d):
+    r = routed_questions(spark, d).withColumn(
+        "pid_text",
+        F.when(F.col("intent").isin("copurchase", "similar_to"), F.lit(f"  {ANCHOR} ")).otherwise(F.lit("   ")),
+    )
+    return r.select("conv_id", "turn", RT.build_request(r, "question", "pid_text", "category").alias("body"))
