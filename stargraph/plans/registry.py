@@ -763,3 +763,159 @@ def _x14(spark, d):
         F.when(F.col("intent").isin("copurchase", "similar_to"), F.lit(f"  {ANCHOR} ")).otherwise(F.lit("   ")),
     )
     return r.select("conv_id", "turn", RT.build_request(r, "question", "pid_text", "category").alias("body"))
+
+
+# ── S: file sources and sinks ────────────────────────────────────────────────────────────────────────────
+from pyspark.sql import types as T  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as S  # noqa: E402
+from ..sources import graph_store as GS  # noqa: E402
+from ..streaming import reload as ST  # noqa: E402
+
+CSV_HEADER = "doc_id,body,lang"
+CSV_SCHEMA = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("body", T.StringType()), T.StructField("lang", T.StringType()),
+])
+
+
+def dirty_csv(spark, d) -> str:
+    """Every document as one CSV record (quoted body, real line breaks inside); the record's arity is damaged
+    by ``doc_id % 7``: 0 → a field short, 1 → one extra field, 2 → two extra empty fields, else intact."""
+    docs = Tables(spark, d).documents
+    body = F.concat(F.lit('"'), F.replace(F.col("text"), F.lit('"'), F.lit('""')), F.lit('"'))
+    k = F.pmod(F.col("doc_id"), F.lit(7))
+    i = F.col("doc_id").cast("string")
+    line = (F.when(k == 0, F.concat_ws(",", i, body))
+            .when(k == 1, F.concat_ws(",", i, body, F.col("lang"), F.lit("extra")))
+            .when(k == 2, F.concat_ws(",", i, body, F.col("lang"), F.lit(""), F.lit("")))
+            .otherwise(F.concat_ws(",", i, body, F.col("lang"))))
+    path = scratch_path(spark, "dirty-csv")
+    S.write_lines_with_header(docs.select(line), CSV_HEADER, path)
+    return path
+
+
+@query("read_csv_tolerant", """
+SELECT doc_id, text AS body, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS lang
+FROM documents WHERE doc_id % 7 NOT IN (1, 2)""")
+def _s1(spark, d):
+    return S.read_csv_tolerant(spark, dirty_csv(spark, d), CSV_SCHEMA)
+
+
+@query("read_csv_strict_arity", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS body, lang FROM documents WHERE doc_id % 7 NOT IN (0, 1, 2)""")
+def _s2(spark, d):
+    return S.read_csv_strict_arity(spark, dirty_csv(spark, d), ["doc_id", "body", "lang"])
+
+
+EVENT_SCHEMA = T.StructType([
+    T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType()),
+    T.StructField("props", T.StructType([T.StructField("k", T.LongType())])),
+    T.StructField("unused", T.StringType()),
+])
+
+
+@query("read_jsonl", """
+SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def _s3(spark, d):
+    e = Tables(spark, d).events
+    etype = F.regexp_replace(F.to_json(F.array(F.col("event_type"))), r"^\[|\]$", "")
+    line = F.format_string('{"event_id":%d,"event_type":%s,"props":%s,"unused":"x"}', F.col("event_id"), etype,
+                           F.col("props"))
+    path = scratch_path(spark, "jsonl")
+    e.select(line).write.text(path)
+    r = S.read_jsonl(spark, path, EVENT_SCHEMA, ["event_id", "event_type", "props"])
+    return r.select("event_id", "event_type", F.col("props.k").alias("k"))
+
+
+def tsv_frame(spark, d):
+    """Documents cleaned by X1 for the TSV export, with a backslash after each comma (the data has none)."""
+    docs = Tables(spark, d).documents
+    body = F.replace(X.clean_text(F.col("text")), F.lit(", "), F.lit(",\\ "))
+    return docs.select("doc_id", body.alias("body"), "lang")
+
+
+TSV_BODY_SQL = f"replace({clean_sql('text')}, ', ', ',\\ ')"
+
+
+@query("read_tsv", f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {TSV_BODY_SQL} AS body, lang FROM documents")
+def _s4(spark, d):
+    path = scratch_path(spark, "tsv")
+    S.write_tsv_noquote(tsv_frame(spark, d), path)
+    return S.read_tsv(spark, path, ["doc_id", "body", "lang"])
+
+
+@query("write_csv_quote_all", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, replace(text, '"', '""') AS body, lang FROM documents""")
+def _s5(spark, d):
+    docs = Tables(spark, d).documents.select("doc_id", X.double_quotes("text").alias("body"), "lang")
+    path = scratch_path(spark, "csv-quoted")
+    S.write_csv_quote_all(docs, path)
+    return S.read_csv_strict_arity(spark, path, ["doc_id", "body", "lang"])
+
+
+@query("write_tsv_noquote", f"""
+SELECT CAST(doc_id AS VARCHAR) || chr(9) || regexp_replace({TSV_BODY_SQL}, '([\\\\"\\t\\r\\n])', '\\\\\\1', 'g')
+       || chr(9) || lang AS line FROM documents""")
+def _s6(spark, d):
+    path = scratch_path(spark, "tsv-lines")
+    S.write_tsv_noquote(tsv_frame(spark, d), path)
+    lines = spark.read.text(path)
+    return lines.filter(F.col("value") != "doc_id\tbody\tlang").select(F.col("value").alias("line"))
+
+
+@query("write_graph_tables", O.q(GRAPH_PARTS_SQL.split("SELECT coalesce")[0] + "\nSELECT name, n FROM parts"))
+def _s7(spark, d):
+    g = graph(spark, d)
+    base = scratch_path(spark, "graph")
+    GS.write_graph_tables(g, base)
+    out = None
+    for name in GS.LAYOUT:
+        c = GS.scan(spark, base, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@query("write_report_counts", """
+SELECT CAST(count(*) AS BIGINT) AS input,
+       CAST(count(*) FILTER (WHERE doc_id % 7 NOT IN (0, 1, 2)) AS BIGINT) AS kept,
+       CAST(count(*) FILTER (WHERE doc_id % 7 IN (0, 1, 2)) AS BIGINT) AS dropped
+FROM documents""")
+def _s8(spark, d):
+    path = dirty_csv(spark, d)
+    return S.cleaning_report(S.read_csv_all_records(spark, path, CSV_SCHEMA),
+                             S.read_csv_strict_arity(spark, path, ["doc_id", "body", "lang"]))
+
+
+# ── ST: streaming reload ─────────────────────────────────────────────────────────────────────────────────
+RAW_ROW_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]
+
+
+@query("incremental_reload", """
+WITH rows AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity,
+         CASE WHEN l_linestatus = 'F' THEN 2 ELSE 1 END AS load_no FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+                                  ORDER BY load_no DESC, l_partkey, l_suppkey, l_shipdate) AS rn FROM rows)
+SELECT l_orderkey * 10 + l_linenumber AS review_id, l_partkey AS product_id, l_suppkey, l_shipdate AS ts,
+       CAST((CAST(floor(l_quantity - 1) AS INTEGER) % 5) + 1 AS INTEGER) AS stars
+FROM r WHERE rn = 1""")
+def _st1(spark, d):
+    """Three deliveries – open line items, finished line items, and the finished ones again – each followed by
+    an AvailableNow run; the final version must equal the batch upsert."""
+    li = Tables(spark, d).lineitem
+    finished = F.coalesce(F.col("l_linestatus") == "F", F.lit(False))
+    base = scratch_path(spark, "reload")
+    deliveries, table, ckpt = f"{base}/deliveries", f"{base}/table", f"{base}/_checkpoint"
+    schema = li.select(*RAW_ROW_COLUMNS).schema
+    latest = None
+    for n, part in enumerate([~finished, finished, finished], start=1):
+        li.filter(part).select(*RAW_ROW_COLUMNS).write.parquet(ST.delivery_path(deliveries, n))
+        latest = ST.run_reload(spark, deliveries, schema, table, ckpt,
+                               ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_shipdate"])
+    t = spark.read.parquet(latest)
+    return t.select(
+        R.review_key(F.col("l_orderkey"), F.col("l_linenumber")).alias("review_id"),
+        F.col("l_partkey").alias("product_id"), "l_suppkey", F.col("l_shipdate").alias("ts"),
+        R.stars_from_quantity(F.col("l_quantity")).alias("stars"),
+    )

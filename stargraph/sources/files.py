@@ -1,11 +1,154 @@
-"""File sources and sinks for review exports (S1–S8) and the projection of wanted columns."""
+"""File sources and sinks for review exports (S1–S8) and the projection of wanted columns.
+
+Three meanings of a "bad" CSV line exist in the reference, and each reader keeps its own:
+
+* ``read_csv_tolerant`` (S1): short rows are kept (missing fields null), long rows are dropped;
+* ``read_csv_strict_arity`` (S2): only rows with exactly the header's field count, all fields text;
+* blank lines vanish in both.
+
+Spark's CSV reader flags short *and* long rows as corrupt in PERMISSIVE mode, so S1 counts the fields of a
+flagged record itself (commas outside quoted sections + 1).  Multi-line quoted fields need ``multiLine``,
+which reads each file in one task: keep export files at a few hundred MB so the read stays parallel.
+"""
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+CORRUPT = "_corrupt_record"
+REPLACEMENT_CHAR = "�"
 
 
 def select_existing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """The wanted columns that exist, in wanted order."""
     return df.select(*[c for c in wanted if c in df.columns])
+
+
+def _schema(columns: T.StructType | Sequence[str]) -> T.StructType:
+    if isinstance(columns, T.StructType):
+        return columns
+    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
+
+
+def field_count(record: Column) -> Column:
+    """Fields of a raw CSV record: commas outside quoted sections, plus one.
+
+    The quoted-section pattern is written as an unrolled loop with possessive quantifiers: an alternation
+    inside a repetition makes Java's regex engine recurse once per character and overflow on long texts.
+    """
+    unquoted = F.regexp_replace(record, '"[^"]*+(?:""[^"]*+)*+"', "")
+    return F.length(F.regexp_replace(unquoted, "[^,]", "")) + F.lit(1)
+
+
+def read_csv_tolerant(
+    spark: SparkSession, path: str | list[str], columns: T.StructType | Sequence[str], header: bool = True,
+    na_values: Sequence[str] = ("",),
+) -> DataFrame:
+    """Tolerant CSV read – keep short rows (padded with null), skip rows with too many fields.
+
+    ``na_values`` lists texts read as missing (the empty field always is).
+    """
+    schema = _schema(columns)
+    n = len(schema.fields)
+    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    df = (
+        spark.read.options(header=header, multiLine=True, escape='"', mode="PERMISSIVE",
+                           columnNameOfCorruptRecord=CORRUPT)
+        .schema(with_corrupt).csv(path)
+    )
+    kept = df.filter(F.col(CORRUPT).isNull() | (field_count(F.col(CORRUPT)) <= F.lit(n))).drop(CORRUPT)
+    extra = [v for v in na_values if v != ""]
+    if extra:
+        kept = kept.select(*[
+            F.when(F.col(f.name).cast("string").isin(extra), F.lit(None).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name)
+            if isinstance(f.dataType, T.StringType) else F.col(f.name)
+            for f in schema.fields
+        ])
+    return kept
+
+
+def read_csv_all_records(spark: SparkSession, path, columns, header: bool = True) -> DataFrame:
+    """Every record of a CSV file, malformed ones included (the input side of a cleaning report)."""
+    schema = _schema(columns)
+    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return (
+        spark.read.options(header=header, multiLine=True, escape='"', mode="PERMISSIVE",
+                           columnNameOfCorruptRecord=CORRUPT)
+        .schema(with_corrupt).csv(path)
+    )
+
+
+def read_csv_strict_arity(spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True) -> DataFrame:
+    """Only records whose field count equals the header's; every field as text; undecodable bytes
+    (read as U+FFFD) are dropped from the values."""
+    df = (
+        spark.read.options(header=header, multiLine=True, escape='"', mode="DROPMALFORMED", encoding="UTF-8")
+        .schema(_schema(list(columns))).csv(path)
+    )
+    return df.select(*[F.regexp_replace(F.col(c), REPLACEMENT_CHAR, "").alias(c) for c in columns])
+
+
+def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
+    """S3: JSON-lines records with an explicit schema (no inference pass), keeping only ``columns``."""
+    df = spark.read.schema(schema).json(path)
+    return df.select(*columns) if columns else df
+
+
+def read_tsv(spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True) -> DataFrame:
+    """The unquoted, backslash-escaped TSV written by ``write_tsv_noquote`` (values cleaned by X1, so
+    without tabs or line breaks).  Fields are read raw and unescaped afterwards (``\\x`` → ``x``)."""
+    df = (
+        spark.read.options(header=header, sep="\t", quote="", escape="\u0000", multiLine=False)
+        .schema(_schema(list(columns))).csv(path)
+    )
+    return df.select(*[F.regexp_replace(F.col(c), r"\\(.)", "$1").alias(c) for c in columns])
+
+
+def write_csv_quote_all(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """CSV with a header and every field quoted (quotes inside doubled; null and '' both as ``""``)."""
+    df.write.mode(mode).options(quoteAll=True, escape='"', header=True, emptyValue="", nullValue="").csv(path)
+
+
+def tsv_escape(c: Column) -> Column:
+    """Backslash before backslash, tab, CR, LF and double quote (unquoted TSV with ``\\`` as escape)."""
+    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r'([\\\t\r\n"])', r"\\$1")
+
+
+def _prepend_header(header: str):
+    def run(batches):
+        import pyarrow as pa
+
+        first = True
+        for batch in batches:
+            if first:
+                typ = batch.schema.field(0).type
+                yield pa.RecordBatch.from_arrays([pa.array([header], type=typ)], schema=batch.schema)
+                first = False
+            yield batch
+
+    return run
+
+
+def write_lines_with_header(lines: DataFrame, header: str, path: str, mode: str = "errorifexists") -> None:
+    """Text files whose first line is ``header`` (one per written file, i.e. per non-empty partition)."""
+    out = lines.toDF("value").mapInArrow(_prepend_header(header), "value string")
+    out.write.mode(mode).text(path)
+
+
+def write_tsv_noquote(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """TSV with a header, no quoting and ``\\`` escapes (Spark's CSV writer cannot escape without
+    quoting, so lines are built with ``concat_ws`` and written as text)."""
+    line = F.concat_ws("\t", *[tsv_escape(F.col(c)) for c in df.columns])
+    write_lines_with_header(df.select(line), "\t".join(df.columns), path, mode)
+
+
+def cleaning_report(all_records: DataFrame, kept: DataFrame) -> DataFrame:
+    """``input, kept, dropped`` of one cleaning run (two counts as scalar subqueries, one row)."""
+    n_in = all_records.agg(F.count(F.lit(1))).scalar()
+    n_kept = kept.agg(F.count(F.lit(1))).scalar()
+    return kept.sparkSession.range(1).select(
+        n_in.alias("input"), n_kept.alias("kept"), (n_in - n_kept).alias("dropped")
+    )
