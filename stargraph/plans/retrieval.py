@@ -166,13 +166,12 @@ def parse_context(contexts: DataFrame, context_col: str = "context", keep: list[
         lambda p: F.struct(
             F.trim(F.regexp_extract(p, "^([^:]*)", 1)).alias("k"),
             F.trim(F.regexp_extract(p, "^[^:]*:(.*)$", 1)).alias("v"),
-            p.contains(":").alias("has"),
         ),
     )
 
     def value(key: str) -> Column:
         hits = F.filter(F.col("__parts"), lambda s: s["k"] == F.lit(key))
-        return F.coalesce(F.element_at(hits, -1)["v"], F.lit(NA))
+        return F.coalesce(F.try_element_at(hits, F.lit(-1))["v"], F.lit(NA))
 
     return lines.withColumn("__parts", parts).select(
         *keep, "line_no",
