@@ -14,6 +14,11 @@ Here every reviewer's products are split into ``nb = ceil(deg / block_size)`` ha
 Reviewers with at most ``block_size`` products keep one block (one key, no copies): the plan then equals the
 plain self-join.  Only reviewers above the block size need their degree joined back; that frame has at most
 rows/block_size entries, so AQE broadcasts it by measured size and keeps a sort-merge join beyond that.
+
+Two more exact reductions: with ``min_weight ≥ 2`` an item reviewed by fewer than ``min_weight`` reviewers
+cannot be in any kept pair and is dropped before pairing (on review data most products have one review); and
+both exploded sides are hash-partitioned explicitly to the session's shuffle partition count, because AQE
+sizes that exchange by its input while the join's output is the pair list, many times larger.
 The result is exact; nothing is capped or sampled.
 """
 from __future__ import annotations
@@ -31,10 +36,15 @@ def incidence(reviews: DataFrame, group: str = "reviewer_id", item: str = "produ
     ).distinct()
 
 
-def pair_counts(inc: DataFrame, min_weight: int = 2, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+def pair_counts(inc: DataFrame, min_weight: int = 2, block_size: int = DEFAULT_BLOCK,
+                partitions: int | None = None) -> DataFrame:
     """(src, dst, weight) with src < dst and weight ≥ min_weight, from a distinct (g, item) incidence."""
     if block_size < 1:
         raise ValueError("block_size must be positive")
+    n = partitions or int(inc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if min_weight >= 2:
+        keep = inc.groupBy("item").agg(F.count(F.lit(1)).alias("__r")).filter(F.col("__r") >= F.lit(min_weight))
+        inc = inc.join(keep.select("item"), "item", "left_semi").select("g", "item")
     hot = (
         inc.groupBy("g").agg(F.count(F.lit(1)).alias("deg"))
         .filter(F.col("deg") > F.lit(block_size))
@@ -46,11 +56,11 @@ def pair_counts(inc: DataFrame, min_weight: int = 2, block_size: int = DEFAULT_B
     left = x.select(
         "g", F.col("item").alias("a"), F.col("blk").alias("bi"),
         F.explode(F.sequence(F.col("blk"), F.col("nb") - 1)).alias("bj"),
-    )
+    ).repartition(n, "g", "bi", "bj")
     right = x.select(
         "g", F.col("item").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("bi"),
         F.col("blk").alias("bj"),
-    )
+    ).repartition(n, "g", "bi", "bj")
     pairs = (
         left.join(right, ["g", "bi", "bj"])
         .filter((F.col("bi") != F.col("bj")) | (F.col("a") < F.col("b")))

@@ -41,6 +41,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str, **kw) -> ReviewGraph:
+    kw.setdefault("materialize", True)
     return build_graph(reviews(spark, sf_dir), **kw)
 
 

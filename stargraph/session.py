@@ -54,3 +54,16 @@ def local_path(path: str) -> str:
 
 
 __all__ = ["local_session", "shared_dir", "scratch_path", "local_path", "os"]
+
+
+def materialize(df, name: str):
+    """Write ``df`` as parquet to a fresh folder under the shared folder and read it back.
+
+    Cuts the lineage (a lost executor no longer recomputes everything upstream) and lets several consumers
+    of one intermediate table share a single computation; the parquet copy keeps column pruning and
+    predicate pushdown for the readers.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -85,9 +85,11 @@ def test_subgraph_edges_no_mirrored_pair(spark):
 
 def test_batches_bounded(spark):
     r = registry.reviews(spark, SF_SMALL).select("review_id")
-    b = G.assign_batches(r, "review_id", batch_size=100, buckets=4)
+    b = G.assign_batches(r, "review_id", batch_size=100, bucket_rows=1000)
     sizes = b.groupBy("bucket", "batch").count().agg(F.max("count"), F.sum("count")).collect()[0]
     assert sizes[0] <= 100 and sizes[1] == r.count()
+    n = r.count()
+    assert b.select("bucket").distinct().count() == -(-n // 1000)
 
 
 def test_context_round_trip(spark):
