@@ -164,11 +164,34 @@ class ReviewGraph:
         self._frames = dict(frames)
         if reviews is not None:
             self._frames["reviews"] = reviews
+        self._given = set(self._frames)
         self._p = {
             "prior_weight": 10.0, "mean": None, "min_weight": 2, "block_size": DEFAULT_BLOCK,
             "active_min_reviews": 1, **(params or {}),
         }
 
+    def is_given(self, name: str) -> bool:
+        """True when the table was supplied (e.g. read from storage) rather than built from the reviews."""
+        return name in self._given
+
+    def anchored_edges(self, anchors: DataFrame) -> DataFrame:
+        """Undirected CO_PURCHASED rows (src = anchor, dst, weight, cross_cat, src_category, dst_category) for
+        the product ids in ``anchors.item``: a filtered scan of the stored edge table when there is one,
+        otherwise counted from the reviews of the anchors' reviewers only (no global pair table)."""
+        if self.is_given("co_purchased"):
+            from .patterns import union_directions
+
+            und = union_directions(self.co_purchased)
+            return und.join(anchors.select(F.col("item").alias("src")).distinct(), "src", "left_semi")
+        from .copurchase import anchored_pair_counts, incidence
+
+        e = anchored_pair_counts(incidence(self.reviews), anchors, self._p["min_weight"]).select(
+            F.col("anchor").alias("src"), F.col("other").alias("dst"), "weight"
+        )
+        return with_categories(e, self.belongs_to).select(
+            "src", "dst", "weight", "cross_cat", "src_category", "dst_category"
+        )
+
     def _get(self, name: str, make) -> DataFrame:
         if name not in self._frames:
             self._frames[name] = make()

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 def union_directions(edges: DataFrame) -> DataFrame:
     """Each edge once as stored and once reversed; a self-loop only once."""
     cols = [c for c in edges.columns if c not in ("src", "dst")]
+    swap = {"src_category": "dst_category", "dst_category": "src_category"}
     rev = edges.filter(F.col("src") != F.col("dst")).select(
-        F.col("dst").alias("src"), F.col("src").alias("dst"), *cols
+        F.col("dst").alias("src"), F.col("src").alias("dst"),
+        *[F.col(swap[c]).alias(c) if c in swap and swap[c] in cols else F.col(c) for c in cols],
     )
     return edges.unionByName(rev)
 

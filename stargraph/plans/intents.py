@@ -111,18 +111,14 @@ def _ranked(df: DataFrame, order: list[Column], k: int) -> DataFrame:
 def copurchase_by_product(g: ReviewGraph, pid, k: int = 15, with_rank: bool = False) -> DataFrame:
     """Q3: neighbours of one product in either direction, heaviest first.
 
-    The anchor filter is applied to each half of the undirected union *before* the union.
+    Over a stored edge table the anchor filter reaches the scan of both directions; without one, the
+    anchor's edges are counted from its reviewers' reviews only (``ReviewGraph.anchored_edges``).
     """
-    co = g.co_purchased
-    out_ = co.filter(F.col("src") == F.lit(pid)).select(
+    anchor = g.reviews.sparkSession.range(1).select(F.lit(pid).cast(_id_type(g)).alias("item"))
+    both = g.anchored_edges(anchor).select(
         F.col("src").alias("p1"), F.col("dst").alias("p2"), "weight", "cross_cat",
         F.col("src_category").alias("c1"), F.col("dst_category").alias("c2"),
-    )
-    in_ = co.filter((F.col("dst") == F.lit(pid)) & (F.col("src") != F.col("dst"))).select(
-        F.col("dst").alias("p1"), F.col("src").alias("p2"), "weight", "cross_cat",
-        F.col("dst_category").alias("c1"), F.col("src_category").alias("c2"),
-    )
-    both = out_.unionByName(in_).filter(_has_category("c1") & _has_category("c2"))
+    ).filter(_has_category("c1") & _has_category("c2"))
     top = _ranked(both, [F.col("weight").desc(), F.col("p2").asc()], k)
     res = _attach_pair(g, top)
     return res if with_rank else res.drop("rank")
@@ -163,14 +159,15 @@ def combined_score_rows(g: ReviewGraph, min_reviews: int = 5, k: int = 10, with_
     """Q6: top products by score with their optional co-purchase neighbours; the limit counts *rows*.
 
     Every product yields at least one row, so the k rows come from the k best products: those are chosen
-    first, then expanded (left joins), then the k rows are taken in (score desc, pid, pid2) order.
+    first, their edges fetched (``ReviewGraph.anchored_edges``), expanded with left joins, and the k rows
+    taken in (score desc, pid, pid2) order.
     """
     top_p = (
         g.products.filter((F.col("review_count") >= F.lit(min_reviews)) & _has_category())
         .orderBy(F.col("bayesian_score").desc(), F.col("product_id").asc())
         .limit(k)
     )
-    und = union_directions(g.co_purchased.select("src", "dst", "weight"))
+    und = g.anchored_edges(top_p.select(F.col("product_id").alias("item"))).select("src", "dst", "weight")
     p2 = g.products.select(
         F.col("product_id").alias("__p2"), F.col("title").alias("title2"),
         F.col("bayesian_score").alias("score2"), F.col("category").alias("category2"),

@@ -126,3 +126,18 @@ def test_two_hop_excludes_anchor(spark):
     rows = Q.product_neighbourhood(r, anchor, k=30).collect()
     assert all(x.other_id != anchor for x in rows)
     assert len(rows) <= 30
+
+
+def test_stored_graph_matches_built_graph(spark):
+    from stargraph.session import scratch_path
+    from stargraph.sources import graph_store
+
+    g = registry.graph(spark, SF_SMALL)
+    base = scratch_path(spark, "test-graph")
+    graph_store.write_graph_tables(g, base)
+    s = graph_store.load_graph(spark, base)
+    anchor = g.products.orderBy("product_id").first()["product_id"]
+    for fn in (lambda x: Q.copurchase_by_product(x, anchor), lambda x: Q.combined_score_rows(x, 5, 10),
+               lambda x: Q.copurchase_global(x), lambda x: Q.top_n_per_category(x)):
+        built, stored = fn(g), fn(s)
+        assert _set(built) == _set(stored.select(*built.columns))
