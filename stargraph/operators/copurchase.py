@@ -80,16 +80,21 @@ def co_purchase_edges(
     return pair_counts(incidence(reviews, group, item), min_weight, block_size)
 
 
-def anchored_pair_counts(inc: DataFrame, anchors: DataFrame, min_weight: int = 2) -> DataFrame:
+def anchored_pair_counts(inc: DataFrame, anchors, min_weight: int = 2) -> DataFrame:
     """Co-purchase weights of a few anchor items with every other item, without the global pair table.
 
     weight(a, x) = |reviewers(a) ∩ reviewers(x)|: the (reviewer, anchor) rows are joined to the incidence on
     the reviewer and counted per (anchor, other).  Work is linear in the anchors' reviewers' rows; the anchor
     side is small (AQE broadcasts it by measured size) and a hot reviewer on the other side is split by AQE's
     skew join.  Output: anchor, other, weight (weight ≥ min_weight, other ≠ anchor) – exactly the stored
-    CO_PURCHASED edges touching the anchors, seen from the anchor.
+    CO_PURCHASED edges touching the anchors, seen from the anchor.  ``anchors`` is a frame with an ``item``
+    column, or a list of ids (then a plain ``isin`` filter that reaches the scan).
     """
-    a = inc.join(anchors.select("item").distinct(), "item", "left_semi").select("g", F.col("item").alias("anchor"))
+    if isinstance(anchors, DataFrame):
+        a = inc.join(anchors.select("item").distinct(), "item", "left_semi")
+    else:
+        a = inc.filter(F.col("item").isin(list(anchors)))
+    a = a.select("g", F.col("item").alias("anchor"))
     other = inc.select(F.col("g").alias("__g"), F.col("item").alias("other"))
     return (
         a.join(other, a.g == other.__g)

@@ -174,14 +174,21 @@ class ReviewGraph:
         """True when the table was supplied (e.g. read from storage) rather than built from the reviews."""
         return name in self._given
 
-    def anchored_edges(self, anchors: DataFrame) -> DataFrame:
+    def anchored_edges(self, anchors) -> DataFrame:
         """Undirected CO_PURCHASED rows (src = anchor, dst, weight, cross_cat, src_category, dst_category) for
-        the product ids in ``anchors.item``: a filtered scan of the stored edge table when there is one,
-        otherwise counted from the reviews of the anchors' reviewers only (no global pair table)."""
+        the product ids in ``anchors`` (a frame with an ``item`` column, or a list of ids): a filtered scan of
+        the stored edge table when there is one – literal ids become ``isin`` filters on each direction that
+        reach the parquet scan – otherwise counted from the reviews of the anchors' reviewers only (no global
+        pair table)."""
         if self.is_given("co_purchased"):
-            from .patterns import union_directions
-
-            und = union_directions(self.co_purchased)
+            from .patterns import reverse_edges, union_directions
+
+            co = self.co_purchased
+            if not isinstance(anchors, DataFrame):
+                ids = list(anchors)
+                as_stored = co.filter(F.col("src").isin(ids))
+                return as_stored.unionByName(reverse_edges(co.filter(F.col("dst").isin(ids))))
+            und = union_directions(co)
             return und.join(anchors.select(F.col("item").alias("src")).distinct(), "src", "left_semi")
         from .copurchase import anchored_pair_counts, incidence
 

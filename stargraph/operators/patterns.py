@@ -10,15 +10,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def union_directions(edges: DataFrame) -> DataFrame:
-    """Each edge once as stored and once reversed; a self-loop only once."""
+def reverse_edges(edges: DataFrame) -> DataFrame:
+    """Each edge in the other direction (endpoint category columns swapped with it); self-loops dropped."""
     cols = [c for c in edges.columns if c not in ("src", "dst")]
     swap = {"src_category": "dst_category", "dst_category": "src_category"}
-    rev = edges.filter(F.col("src") != F.col("dst")).select(
+    return edges.filter(F.col("src") != F.col("dst")).select(
         F.col("dst").alias("src"), F.col("src").alias("dst"),
         *[F.col(swap[c]).alias(c) if c in swap and swap[c] in cols else F.col(c) for c in cols],
     )
-    return edges.unionByName(rev)
+
+
+def union_directions(edges: DataFrame) -> DataFrame:
+    """Each edge once as stored and once reversed; a self-loop only once."""
+    return edges.unionByName(reverse_edges(edges))
 
 
 def expand(
@@ -63,9 +67,15 @@ def endpoint_attributes(edges: DataFrame, products: DataFrame, belongs_to: DataF
 def optional_bound_check(rows: DataFrame, edges: DataFrame, src_col: str, dst_col: str, flag: str) -> DataFrame:
     """``OPTIONAL MATCH (a)-[:E]->(b)`` with a and b both bound: filters nothing, exposes a flag.
 
-    Left join on both keys against the distinct edge keys.
+    Left join on both keys against the distinct edge keys – restricted first (semi join) to the sources that
+    occur in ``rows``, so the work follows the size of ``rows``, not of the whole edge table.
     """
-    keys = edges.select(F.col("src").alias("__s"), F.col("dst").alias("__d")).distinct().withColumn("__hit", F.lit(True))
+    sources = rows.select(F.col(src_col).alias("src")).distinct()
+    keys = (
+        edges.select("src", "dst").join(sources, "src", "left_semi")
+        .select(F.col("src").alias("__s"), F.col("dst").alias("__d")).distinct()
+        .withColumn("__hit", F.lit(True))
+    )
     return (
         rows.join(keys, (rows[src_col] == keys.__s) & (rows[dst_col] == keys.__d), "left")
         .withColumn(flag, F.coalesce(F.col("__hit"), F.lit(False)))

@@ -114,8 +114,7 @@ def copurchase_by_product(g: ReviewGraph, pid, k: int = 15, with_rank: bool = Fa
     Over a stored edge table the anchor filter reaches the scan of both directions; without one, the
     anchor's edges are counted from its reviewers' reviews only (``ReviewGraph.anchored_edges``).
     """
-    anchor = g.reviews.sparkSession.range(1).select(F.lit(pid).cast(_id_type(g)).alias("item"))
-    both = g.anchored_edges(anchor).select(
+    both = g.anchored_edges([pid]).select(
         F.col("src").alias("p1"), F.col("dst").alias("p2"), "weight", "cross_cat",
         F.col("src_category").alias("c1"), F.col("dst_category").alias("c2"),
     ).filter(_has_category("c1") & _has_category("c2"))
