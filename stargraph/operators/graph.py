@@ -252,16 +252,23 @@ def build_graph(
 ) -> ReviewGraph:
     """The graph load: drop bots (P9/J8, skipped with ``bot_min_reviews=None``) → nodes → edges.
 
-    ``materialize=True`` writes the cleaned reviews once to the shared folder (``spark.checkpoint.dir``) and
-    builds every node and edge table from that copy, so the keyed load and the bot filter run once however
-    many tables or queries read them.
+    ``materialize=True`` writes the keyed reviews once to the shared folder (``spark.checkpoint.dir``) and
+    builds every node and edge table from that copy, so the keyed load runs once however many tables or
+    queries read them (lazily, the bot statistics and the kept reviews would each re-run it: column pruning
+    makes the two branches differ, so Spark cannot reuse the exchange).  The bot list is written as well: a
+    read-back file carries its measured size into planning, so the anti join broadcasts the list when it is
+    under ``spark.sql.autoBroadcastJoinThreshold`` (no shuffle of the reviews) and is a sort-merge join
+    beyond it.
     """
-    if bot_min_reviews is not None:
-        reviews = drop_bots(reviews, flag_bots(reviews, bot_min_reviews, bot_min_ratio))
     if materialize:
         from ..session import materialize as _materialize
 
         reviews = _materialize(reviews, "reviews")
+    if bot_min_reviews is not None:
+        bots = flag_bots(reviews, bot_min_reviews, bot_min_ratio).select("reviewer_id")
+        if materialize:
+            bots = _materialize(bots, "bots")
+        reviews = drop_bots(reviews, bots)
     return ReviewGraph(reviews, params=dict(
         prior_weight=prior_weight, mean=mean, min_weight=min_weight, block_size=block_size,
         active_min_reviews=active_min_reviews,
