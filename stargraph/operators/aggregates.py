@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,14 +38,25 @@ def global_mean(stats: DataFrame) -> DataFrame:
     return stats.agg((F.sum("sum_stars") / F.sum("review_count")).alias("mean_stars"))
 
 
-def bayesian_score(stats: DataFrame, prior_weight: float = 10.0, mean: float | None = None) -> DataFrame:
-    """A3: ``(C·mean + Σstars) / (C + n)`` with ``C = prior_weight``; mean = global mean unless fixed.
+def review_mean(reviews: DataFrame) -> Column:
+    """Mean star value of all reviews as a scalar subquery over one partially combined global aggregate."""
+    return reviews.agg(
+        (F.sum(F.col("stars").cast("bigint")) / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("mean_stars")
+    ).scalar()
+
+
+def bayesian_score(stats: DataFrame, prior_weight: float = 10.0, mean: float | Column | None = None) -> DataFrame:
+    """A3: ``(C·mean + Σstars) / (C + n)`` with ``C = prior_weight``; mean = global mean unless given (a value
+    or a scalar column such as ``review_mean``).
 
     The global mean is a scalar subquery (computed once, inlined as a value).  Fixed values of the reference:
     C = 10, mean = 4.32 on its data.
     """
     c = F.lit(float(prior_weight))
-    m = global_mean(stats).scalar() if mean is None else F.lit(float(mean))
+    if isinstance(mean, Column):
+        m = mean
+    else:
+        m = global_mean(stats).scalar() if mean is None else F.lit(float(mean))
     return stats.withColumn("bayesian_score", (c * m + F.col("sum_stars")) / (c + F.col("review_count")))
 
 

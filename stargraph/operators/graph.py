@@ -15,20 +15,29 @@ from .copurchase import DEFAULT_BLOCK, co_purchase_edges
 from .reviews import drop_bots, flag_bots
 
 
-def build_product_nodes(reviews: DataFrame, prior_weight: float = 10.0, mean: float | None = None) -> DataFrame:
+def build_product_nodes(reviews: DataFrame, prior_weight: float = 10.0, mean=None) -> DataFrame:
     """A1 + A3 + a deterministic title and category per product (the smallest value, never ``first``).
 
-    Counts and star sums are a hash aggregate over the reviews; the text columns are reduced on the distinct
-    (product, title, category) set first, so no sort of the whole review table is needed for ``min`` on text.
+    One pass: counts and star sums per (product, title, category) are a hash aggregate over the reviews
+    (string keys, fixed-width buffers), which leaves about one row per product in each task before the
+    shuffle; the per-product aggregate then adds the sums and takes the smallest title and category on that
+    reduced set.  (A ``distinct`` + ``min`` would be folded by Catalyst into a sort aggregate over every
+    review row, and a separate text branch would need a second shuffle and a join.)  The global mean is one
+    global aggregate over the reviews, without a per-product stage.
     """
-    stats = A.bayesian_score(A.product_stats(reviews), prior_weight, mean)
-    text = (
-        reviews.select("product_id", "title", F.when(F.col("category") != "", F.col("category")).alias("category"))
-        .distinct()
-        .groupBy("product_id")
-        .agg(F.min("title").alias("title"), F.min("category").alias("category"))
+    per_text = reviews.groupBy(
+        "product_id", "title", F.when(F.col("category") != "", F.col("category")).alias("category")
+    ).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("stars").cast("bigint")).alias("__s"))
+    stats = (
+        per_text.groupBy("product_id")
+        .agg(
+            F.sum("__n").alias("review_count"), F.sum("__s").alias("sum_stars"),
+            F.min("title").alias("title"), F.min("category").alias("category"),
+        )
+        .withColumn("avg_stars", F.col("sum_stars") / F.col("review_count"))
     )
-    return stats.join(text, "product_id").select(
+    m = A.review_mean(reviews) if mean is None else mean
+    return A.bayesian_score(stats, prior_weight, m).select(
         "product_id", "title", "category", "bayesian_score", "avg_stars", "review_count"
     )
 
