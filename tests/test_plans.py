@@ -40,3 +40,25 @@ def test_scan_prunes_columns(spark):
     df = registry.QUERIES["review_year"](spark, SF_SMALL)
     plan = _plan(df)
     assert "l_extendedprice" not in plan and "l_discount" not in plan
+
+
+def test_graph_tables_read_the_written_reviews(spark):
+    """The keyed load runs once, in the write: graph tables scan the written copy, not ``lineitem``, and drop
+    bots with a broadcast anti join against the written (measured) bot list – no shuffle of the reviews."""
+    g = registry.graph(spark, SF_SMALL)
+    plan = _plan(g.reviews)
+    assert "lineitem" not in plan
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+    assert "Exchange" not in plan.split("LeftAnti")[0]
+
+
+def test_product_nodes_single_aggregation_pass(spark):
+    """Counts, sums and text from one hash pre-aggregate; no join of a stats branch with a text branch,
+    and the global mean is a global aggregate (no per-product stage inside the subquery)."""
+    g = registry.graph(spark, SF_SMALL)
+    df = g.products
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    joins = [ln for ln in plan.splitlines() if "Join" in ln]
+    assert joins and all("LeftAnti" in ln for ln in joins), joins
+    assert "SortMergeJoin" not in _plan(df)
+    assert "partial_count(1)" in plan and "partial_sum" in plan
