@@ -35,7 +35,12 @@ def main(argv):
     stored = graph_store.load_graph(spark, base)
     items = [
         ("E6 build_co_purchased (from the tables)", registry.QUERIES["build_co_purchased"](spark, sf_dir),
-         "keyed load as partial SortAggregate; explicit pair repartition; partial count before the pair shuffle"),
+         "scans of the written keyed reviews (the keyed load ran once, in the graph load's write); bots dropped by "
+         "a broadcast anti join against the written bot list; explicit pair repartition; partial count before the "
+         "pair shuffle"),
+        ("E2 build_product_nodes (from the tables)", registry.QUERIES["build_product_nodes"](spark, sf_dir),
+         "one hash pre-aggregate per (product, title, category) before the shuffle, no join; the global mean is a "
+         "global aggregate in a scalar subquery"),
         ("Q3 copurchase_by_product (from the tables: anchored counting)", registry.QUERIES["copurchase_by_product"](spark, sf_dir),
          "no pair self-join: anchor reviewers joined to the incidence and counted"),
         ("Q3 copurchase_by_product (stored graph)", Q.copurchase_by_product(stored, registry.ANCHOR),
