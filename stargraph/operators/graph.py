@@ -183,6 +183,12 @@ class ReviewGraph:
         """True when the table was supplied (e.g. read from storage) rather than built from the reviews."""
         return name in self._given
 
+    def with_tables(self, **frames: DataFrame) -> "ReviewGraph":
+        """A graph over the same reviews and parameters with some tables supplied (e.g. a written copy);
+        tables derived from them are built afresh, the other supplied tables are kept."""
+        given = {k: v for k, v in self._frames.items() if k in self._given and k != "reviews"}
+        return ReviewGraph(self._frames.get("reviews"), params=self._p, **{**given, **frames})
+
     def anchored_edges(self, anchors) -> DataFrame:
         """Undirected CO_PURCHASED rows (src = anchor, dst, weight, cross_cat, src_category, dst_category) for
         the product ids in ``anchors`` (a frame with an ``item`` column, or a list of ids): a filtered scan of

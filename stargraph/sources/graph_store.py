@@ -29,17 +29,32 @@ def _frames(g: ReviewGraph) -> dict[str, DataFrame]:
     }
 
 
+def _write(df: DataFrame, base: str, name: str, mode: str) -> str:
+    folder, parts = LAYOUT[name]
+    path = f"{base.rstrip('/')}/{folder}"
+    w = df.write.mode(mode)
+    if parts:
+        w = w.partitionBy(*parts)
+    w.parquet(path)
+    return path
+
+
 def write_graph_tables(g: ReviewGraph, base: str, mode: str = "errorifexists") -> dict[str, str]:
-    """One parquet table per node label and relationship type under ``base``; returns their paths."""
-    paths = {}
+    """One parquet table per node label and relationship type under ``base``; returns their paths.
+
+    Product nodes are written first and the tables that need them (BELONGS_TO, the categories on
+    CO_PURCHASED, the score on REVIEWED) are built from the written copy, so the per-product aggregation over
+    all reviews runs once instead of once per table.  The copy is read with the written schema: partition
+    type inference must not turn a category name that looks like a number into a number.
+    """
+    paths = {"Product": _write(g.products, base, "Product", mode)}
+    if not g.is_given("products"):
+        spark = g.products.sparkSession
+        stored = spark.read.schema(g.products.schema).parquet(paths["Product"])
+        g = g.with_tables(products=stored.select(*g.products.columns))
     for name, df in _frames(g).items():
-        folder, parts = LAYOUT[name]
-        path = f"{base.rstrip('/')}/{folder}"
-        w = df.write.mode(mode)
-        if parts:
-            w = w.partitionBy(*parts)
-        w.parquet(path)
-        paths[name] = path
+        if name != "Product":
+            paths[name] = _write(df, base, name, mode)
     return paths
 
 
