@@ -156,3 +156,14 @@ def test_stored_tables_equal_built_tables(spark):
     for name in built:
         stored = graph_store.scan(spark, base, name)
         assert _set(built[name]) == _set(stored.select(*built[name].columns)), name
+
+
+def test_review_mean_equals_mean_of_product_stats(spark):
+    """The Bayesian prior mean taken in one global aggregate equals the mean over per-product sums, exactly
+    (integer sums, one division)."""
+    from stargraph.operators import aggregates as A
+
+    r = registry.graph(spark, SF_SMALL).reviews
+    direct = r.select(A.review_mean(r).alias("m")).first()["m"]
+    via_stats = A.global_mean(A.product_stats(r)).first()["mean_stars"]
+    assert direct == via_stats
