@@ -167,3 +167,17 @@ def test_review_mean_equals_mean_of_product_stats(spark):
     direct = r.select(A.review_mean(r).alias("m")).first()["m"]
     via_stats = A.global_mean(A.product_stats(r)).first()["mean_stars"]
     assert direct == via_stats
+
+
+def test_with_tables_keeps_given_and_rebuilds_derived(spark):
+    """S7 swaps in the written product nodes with ``with_tables``: supplied tables stay supplied, tables
+    derived from the replaced one are rebuilt from it, parameters carry over."""
+    g = registry.graph(spark, SF_SMALL, min_weight=3)
+    reviewers = g.reviewers
+    g1 = G.ReviewGraph(g.reviews, params=g._p, reviewers=reviewers)
+    products = g.products.limit(5)
+    g2 = g1.with_tables(products=products)
+    assert g2.is_given("products") and g2.is_given("reviewers") and not g2.is_given("belongs_to")
+    assert g2.reviewers is reviewers and g2.products is products
+    assert g2._p["min_weight"] == 3
+    assert g2.belongs_to.count() == products.filter(F.col("category").isNotNull()).count()
