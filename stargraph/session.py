@@ -1,7 +1,6 @@
 """Session helpers: a tuned local session for tests/bench and the shared scratch folder."""
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -53,9 +52,6 @@ def local_path(path: str) -> str:
     return path[5:] if path.startswith("file:") else path
 
 
-__all__ = ["local_session", "shared_dir", "scratch_path", "local_path", "os"]
-
-
 def materialize(df, name: str):
     """Write ``df`` as parquet to a fresh folder under the shared folder and read it back.
 
@@ -67,3 +63,6 @@ def materialize(df, name: str):
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+__all__ = ["local_session", "shared_dir", "scratch_path", "local_path", "materialize"]
