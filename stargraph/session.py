@@ -1,6 +1,7 @@
 """Session helpers: a tuned local session for tests/bench and the shared scratch folder."""
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -19,22 +20,31 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", os.environ.get("STARGRAPH_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
 
 
+def is_local_master(master: str) -> bool:
+    """True for ``local`` and ``local[...]``, where driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local tests) a fresh folder is created and registered.
+    Read from the session.  Only a ``local`` master (tests, bench) may leave it unset: a fresh folder is then
+    created and registered.  On any other master an unset folder is an error, because a machine-local folder
+    would scatter the intermediate tables over the executors' disks.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir()
     if not path:
         path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not path:
+            if not is_local_master(sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             path = tempfile.mkdtemp(prefix="stargraph-ckpt-")
         sc.setCheckpointDir(path)
         path = sc.getCheckpointDir() or path
@@ -65,4 +75,4 @@ def materialize(df, name: str):
     return spark.read.parquet(path)
 
 
-__all__ = ["local_session", "shared_dir", "scratch_path", "local_path", "materialize"]
+__all__ = ["local_session", "is_local_master", "shared_dir", "scratch_path", "local_path", "materialize"]
