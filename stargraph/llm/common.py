@@ -1,6 +1,9 @@
 """Small helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,11 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"  # the class [\x20\x09-\x0D]
 
 
+def by_value(module: str) -> None:
+    """Ship the functions of a module with the tasks that use them, so executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -35,4 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-__all__ = ["UPPER", "LOWER", "BLANKS", "text_or_empty", "ascii_lower", "remainder", "documents", "table", "materialize"]
+__all__ = [
+    "UPPER", "LOWER", "BLANKS", "by_value", "text_or_empty", "ascii_lower", "remainder", "documents", "table",
+    "materialize",
+]

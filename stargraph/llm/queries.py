@@ -5,11 +5,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stargraph.llm import simhash
-from stargraph.llm.common import documents
+from stargraph.llm import decontaminate, line_dedup, mixing, oracles, pii, simhash
+from stargraph.llm.common import documents, materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_line_dedup": oracles.LINE_DEDUP,
+    "op4_decontamination": oracles.DECONTAMINATION,
+    "op7_mixing": oracles.MIXING,
+}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +21,28 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(documents(spark, sf_dir))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    sized = materialize(docs.select("doc_id", "source", mixing.words(docs["text"]).alias("size")), "mix-sizes")
+    return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "position")

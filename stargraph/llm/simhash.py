@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stargraph.llm.common import materialize
+from stargraph.llm.common import by_value, materialize
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -169,3 +169,6 @@ def near_duplicates(
     return prints.join(reached, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+by_value(__name__)
