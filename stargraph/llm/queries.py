@@ -4,9 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stargraph.llm import decontaminate, line_dedup, mixing, oracles, pii, simhash
-from stargraph.llm.common import documents, materialize, table
+from stargraph.llm import decontaminate, langid, line_dedup, mixing, oracles, pii, quality, simhash
+from stargraph.llm.common import documents, materialize, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {
@@ -31,6 +32,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(documents(spark, sf_dir))
 
 
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    stats = materialize(docs.select("doc_id", quality.features(docs["text"]).alias("stats")), "quality-stats")
+    model = quality.fit(materialize(quality.labelled(stats, table(spark, sf_dir, "labels")), "quality-labelled"))
+    return stats.select(
+        "doc_id",
+        (remainder(F.col("doc_id"), 5) == 0).alias("held_out"),
+        quality.score(F.col("stats"), model).alias("score"),
+    ).withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
 @query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
@@ -41,6 +54,16 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    part = remainder(F.col("doc_id"), 4)
+    model = langid.Model(langid.learn_samples(docs.filter(part != 2)))
+    return langid.predict(docs, model).select(
+        "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
 @query
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
