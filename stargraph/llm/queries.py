@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stargraph.llm import decontaminate, langid, line_dedup, mixing, oracles, pii, quality, simhash
+from stargraph.llm import decontaminate, fingerprint, langid, line_dedup, mixing, oracles, pii, quality, simhash
 from stargraph.llm.common import documents, materialize, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     sized = materialize(docs.select("doc_id", "source", mixing.words(docs["text"]).alias("size")), "mix-sizes")
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+@query
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(documents(spark, sf_dir))
