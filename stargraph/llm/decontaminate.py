@@ -15,10 +15,10 @@ or no hits.  Extra columns are ignored.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stargraph.llm.common import by_value, text_or_empty
@@ -89,15 +89,17 @@ def searchers(items: list[tuple[int, list[bytes]]], window: int = WINDOW) -> lis
     return [Searcher({k: frozenset(v) for k, v in strings.items()}) for strings in by_length.values()]
 
 
-def scan(words: list[bytes], tools: list[Searcher]) -> tuple[list[tuple[int, int]], set[int]]:
-    """Merged word spans [start, end) inside any occurrence, and the numbers of the items that occur."""
-    spans: list[tuple[int, int]] = []
-    found: set[int] = set()
+def scan_hits(words: list[bytes], tools: list[Searcher]) -> Iterator[tuple[int, int, frozenset[int]]]:
+    """(start, end, items) of every occurrence of any test string."""
     for tool in tools:
         for start, items in tool.find(words):
-            found |= items
-            spans.append((start, start + tool.length))
-    return merge(spans), found
+            yield start, start + tool.length, items
+
+
+def scan(words: list[bytes], tools: list[Searcher]) -> tuple[list[tuple[int, int]], set[int]]:
+    """Merged word spans [start, end) inside any occurrence, and the numbers of the items that occur."""
+    hits = list(scan_hits(words, tools))
+    return merge([(start, end) for start, end, _ in hits]), {i for _, _, items in hits for i in items}
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -201,17 +203,23 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents without any benchmark window, all their columns kept."""
-    hit = (
-        find_benchmark(docs, benchmark, window, block_words)
-        .filter(F.size("spans") > 0)
-        .select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"))
-        .distinct()
-    )
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("hit_id")) & (
-        F.xxhash64(text_or_empty(F.col("text"))) == F.col("hit_hash")
-    )
-    return docs.join(hit, same, "left_anti")
+    """The documents without any benchmark window, all their columns kept (one filter per benchmark block)."""
+    for block in _blocks(benchmark, block_words):
+        docs = docs.filter(~_occurs(block, window)(F.col("text")))
+    return docs
+
+
+def _occurs(block: list[tuple[str | None, list[bytes]]], window: int) -> Callable[[Column], Column]:
+    shipped = SparkSession.active().sparkContext.broadcast(block)
+
+    @F.arrow_udf("boolean")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tools = searchers([(i, words) for i, (_, words) in enumerate(shipped.value)], window)
+        for texts in batches:
+            found = [any(True for _ in scan_hits(split_words(t.as_py()), tools)) for t in texts.cast(pa.binary())]
+            yield pa.array(found, pa.bool_())
+
+    return run
 
 
 by_value(__name__)

@@ -25,15 +25,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stargraph.llm.common import by_value, materialize
+from stargraph.llm.common import by_value, materialize, text_or_empty
 
 SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 BLOCKS = 6
+NO_ID = -(1 << 63)  # stands for a null doc_id in join keys
 
 _SLICE = 1 << 16  # shingles hashed and counted at a time
 _LANES = np.uint64(0x0101010101010101)
@@ -68,18 +69,23 @@ def simhash(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
     return sum(1 << bit for bit in np.flatnonzero(counts * 2 > n).tolist())
 
 
+def text_hash() -> Column:
+    return F.xxhash64(text_or_empty(F.col("text")))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long), one row per input row."""
-    source = docs.select("doc_id", "text")
-    schema = pa.schema([pa.field("doc_id", pa.int64()), pa.field("fp", pa.int64())])
+    """``doc_id, text_hash, fp`` (the fingerprint's bits as a signed long), one row per input row."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
             prints = np.fromiter((simhash(t.as_py(), shingle) for t in texts), dtype=np.uint64)
-            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(prints.view(np.int64))], schema=schema)
+            signed = pa.array(prints.view(np.int64))
+            yield pa.record_batch([batch.column("doc_id"), batch.column("text_hash"), signed], schema=schema)
 
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return source.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def _block_masks(blocks: int) -> list[int]:
@@ -160,15 +166,38 @@ def components(prints: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def grouped(
+    docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS
+) -> DataFrame:
+    """``doc_id, text_hash, fp, component_id`` per document."""
+    prints = materialize(fingerprints(docs, shingle), "simhash-prints")
+    return prints.join(components(prints, links(prints, max_bits, blocks)), "fp")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS
 ) -> DataFrame:
     """``doc_id, fingerprint`` (16 lowercase hex digits)``, component_id`` per document."""
-    prints = materialize(fingerprints(docs, shingle), "simhash-prints")
-    reached = components(prints, links(prints, max_bits, blocks))
-    return prints.join(reached, "fp").select(
+    return grouped(docs, shingle, max_bits, blocks).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
+    """The documents that name their group, all columns kept: one per group.
+
+    Of rows that share that doc_id, the one with the smallest text hash stays, and of equal rows one.  A group of
+    nothing but null ids has no name; its different texts all stay.
+    """
+    named = grouped(docs, shingle, max_bits, blocks).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    nameless = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
+    stay = named.groupBy("doc_id", nameless.alias("nameless")).agg(F.min("text_hash").alias("_sh_text")).select(
+        F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("_sh_id"), "_sh_text"
+    )
+    keyed = docs.withColumn("_sh_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    keyed = keyed.withColumn("_sh_text", text_hash())
+    kept = keyed.join(stay, ["_sh_id", "_sh_text"], "left_semi").dropDuplicates(["_sh_id", "_sh_text"])
+    return kept.drop("_sh_id", "_sh_text")
+
+
 by_value(__name__)
