@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stargraph.llm import decontaminate, fingerprint, langid, line_dedup, mixing, oracles, pii, quality, simhash
+from stargraph.llm import decontaminate, fingerprint, langid, line_dedup, mixing, oracles, pii, quality, secrets, simhash, url_filter
 from stargraph.llm.common import documents, materialize, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -14,6 +14,7 @@ ORACLE: dict[str, str] = {
     "op2_line_dedup": oracles.LINE_DEDUP,
     "op4_decontamination": oracles.DECONTAMINATION,
     "op7_mixing": oracles.MIXING,
+    "op10_url_filter": oracles.URL_FILTER,
 }
 
 
@@ -71,6 +72,27 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+@query
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(secrets.candidates(documents(spark, sf_dir)), "secret-candidates")
+    learn = remainder(F.col("doc_id"), 5) != 0
+    return secrets.scan(secrets.weak_labels(found), learn).select(
+        "doc_id",
+        "nth",
+        F.length("value").cast("long").alias("length"),
+        F.sha2("value", 256).alias("value_sha256"),
+        "score",
+        "secret",
+    )
+
+
 @query
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.report(documents(spark, sf_dir))
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    verdicts = url_filter.evaluate(url_filter.derived_captures(pages), url_filter.derived_entries(pages))
+    return verdicts.select("page_id", "day", "host", "verdict", "matched", "since")
