@@ -6,8 +6,8 @@ the substrings of the sample.  Prediction: a text is cut greedily into phrases,
 sample; the number of phrases times log2(sample length) per symbol estimates the cross entropy, and the language
 with the fewest normalised phrases wins (ties: the smallest language code).
 
-Symbols are the letters with case folded; every run of other characters is one blank, a letter that no sample
-has ends a phrase.  Texts are parsed in whole, in lanes of ``LANE`` symbols that are stepped together with numpy
+Symbols are the letters with case folded; every run of other characters is one blank, a letter that the
+sample lacks belongs to the phrase that it ends.  Texts are parsed in whole, in lanes of ``LANE`` symbols that are stepped together with numpy
 (a lane's first phrase starts afresh); the phrases of a text's lanes are summed.
 
 ``score`` is the margin (b - a) / (b + a) of the best a and second best b cross entropies, 1.0 if only one
@@ -158,6 +158,8 @@ class Model:
         return total, sizes, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts)
         total = np.zeros((len(self.languages), len(texts)))
         sizes, letters = np.zeros(len(texts)), np.zeros(len(texts))
         for at, piece in _pieces(texts):
@@ -171,8 +173,8 @@ class Model:
         names, scores = [], []
         for i in range(len(texts)):
             column = entropy[:, i]
-            best = int(np.argmin(column)) if len(column) else -1
-            if best < 0 or not letters[i]:
+            best = int(np.argmin(column))
+            if not letters[i]:
                 names.append("und")
                 scores.append(0.0)
                 continue

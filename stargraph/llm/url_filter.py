@@ -117,13 +117,13 @@ def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> Dat
     best = (
         combos.join(answers, ["key", "day"])
         .groupBy("host", "_uf_segment", "day")
-        .agg(F.max(F.struct("rank", "action", "key", "since")).alias("best"))
+        .agg(F.max(F.struct("rank", "action", "key", "since")).alias("_uf_best"))
     )
     spread = best.select(
         F.col("host").alias("_uf_host"),
         F.col("_uf_segment").alias("_uf_seg"),
         F.col("day").alias("_uf_day"),
-        "best",
+        "_uf_best",
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_uf_of"),
     )
     salted = rows.withColumn("_uf_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in kept]), F.lit(salts)).cast("int"))
@@ -136,9 +136,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> Dat
     return salted.join(spread, same, "left").select(
         *[F.col(f"`{c}`") for c in kept],
         "host",
-        F.coalesce(F.col("best.action"), F.lit("none")).alias("verdict"),
-        F.col("best.key").alias("matched"),
-        F.col("best.since").alias("since"),
+        F.coalesce(F.col("_uf_best.action"), F.lit("none")).alias("verdict"),
+        F.col("_uf_best.key").alias("matched"),
+        F.col("_uf_best.since").alias("since"),
     )
 
 

@@ -1,0 +1,397 @@
+"""The dealt operators against brute force, and their null, empty, tie, repeat and name-clash cases."""
+import collections
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from stargraph.llm import decontaminate, fingerprint, langid, line_dedup, mixing, quality, queries, secrets, simhash, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [
+    (1, "a b c d e f g h i j k l", "en", "s1", 23), (1, "a b c d e f g h i j k l", "en", "s1", 23), (2, None, None, None, None),
+    (3, "", "en", "s1", 0), (4, "   \n\t ", "de", "s2", 6), (None, "no id at all in this row here", "de", None, 29),
+    (5, "x" * 50_000, "en", "s2", 50_000), (6, "wort " * 20_000, "de", "s3", 100_000), (7, "Ünïcödé ñandú 𝟙 中文", None, "s1", 20),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS).withColumn("size", F.lit("clash")).withColumn("stats", F.lit(1))
+
+
+def ids(df):
+    return sorted((r.doc_id is not None, r.doc_id or 0) for r in df.select("doc_id").collect())
+
+
+EVERY = sorted((r[0] is not None, r[0] or 0) for r in ODD)
+
+
+# ── SimHash ──────────────────────────────────────────────────────────────────────────────────────────────
+def brute_simhash(text, k=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_matches_brute_force():
+    rng = random.Random(1)
+    for n in [0, 1, 2, 3, 4, 50, 700]:
+        text = " \n".join("".join(rng.choice("abÉZ.é") for _ in range(rng.randint(1, 6))) for _ in range(n))
+        assert simhash.simhash(text.encode()) == brute_simhash(text)
+    assert simhash.simhash(None) == 0
+
+
+def test_links_and_components_match_brute_force(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(30)]
+    prints = [b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(6)] + [0, 0, 7]
+    rows = [(i * 7 % 191 if i else None, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    found = {(a, b) for a, b in simhash.links(df).collect()}
+    distinct = sorted({fp for _, fp in rows})
+    want = {(a, b) for a in distinct for b in distinct if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
+    assert found == want and simhash.links(df).count() == len(want)
+    group = {fp: fp for fp in distinct}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in want:
+        group[root(a)] = root(b)
+    low = {}
+    for doc, fp in rows:
+        if doc is not None:
+            low[root(fp)] = min(low.get(root(fp), doc), doc)
+    got = {r.fp: r.component_id for r in simhash.components(df, simhash.links(df)).collect()}
+    assert got == {fp: low.get(root(fp)) for fp in distinct}
+
+
+def test_near_duplicates_odd_rows(spark, odd):
+    out = simhash.near_duplicates(odd)
+    assert ids(out) == EVERY
+    rows = {r.doc_id: r for r in out.collect()}
+    assert rows[2].fingerprint == "0" * 16 and rows[2].component_id == rows[3].component_id == rows[4].component_id == 2
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert ids(kept) == [(False, 0), (True, 1), (True, 2), (True, 5), (True, 6), (True, 7)]
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+# ── Line dedup ───────────────────────────────────────────────────────────────────────────────────────────
+def brute_lines(rows):
+    key = lambda line: re.sub("[A-Z]", lambda m: m[0].lower(), line.strip(" \t\n\x0b\x0c\r"))
+    holders = collections.defaultdict(set)
+    for doc, text in rows:
+        for line in (text or "").split("\n"):
+            if len(key(line)) >= 20:
+                holders[key(line)].add(doc)
+    out = {}
+    for doc, text in rows:
+        lines = (text or "").split("\n")
+        kept = [x for x in lines if len(holders.get(key(x), ())) < 3 or doc == max(holders[key(x)])]
+        out[doc] = (len(lines), len(lines) - len(kept), "\n".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("batches", [1, 3, 9])
+def test_line_dedup_matches_brute_force(spark, batches):
+    rng = random.Random(batches)
+    pool = [f"a shared line with number {i} in it" + " É" * (i % 2) for i in range(12)] + ["short", "", "x" * 20, "y" * 19]
+    rows = [(i, "\n".join(rng.choice(["", " ", "\t"]) + rng.choice([str.upper, str.lower, str])(rng.choice(pool)) + rng.choice(["", "\r"])
+                          for _ in range(rng.randint(1, 9)))) for i in range(80)]
+    rows = [(i, t if "É" not in t else t.lower()) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: (r._ld_lines, r._ld_dropped, r.text) for r in line_dedup.dedup(docs, batches=batches).collect()}
+    assert out == brute_lines(rows)
+
+
+def test_line_runs_compact_and_any_order(spark):
+    rng = random.Random(5)
+    rows = [(d, rng.randint(0, 9)) for d in range(60) for _ in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, h1 long").withColumn("h2", F.col("h1"))
+    runs = line_dedup.LineRuns(spark, fanout=2)
+    for part in range(6):
+        runs.add(frame.filter(F.col("doc_id") % 6 == part))
+    assert len(runs.levels) > 1 and max(len(x) for x in runs.levels) < 2
+    holders = collections.defaultdict(set)
+    for d, h in rows:
+        holders[h].add(d)
+    got = {r.h1: r for r in runs.keys().collect()}
+    assert {h for h in got if got[h].n_docs >= 3} == {h for h in holders if len(holders[h]) >= 3}
+    assert all(got[h].keeper == max(holders[h]) for h in got)
+
+
+def test_line_dedup_odd_rows(spark, odd):
+    out = line_dedup.dedup(odd)
+    assert ids(out) == EVERY and out.columns[:-2] == odd.columns
+    assert line_dedup.report(odd.limit(0)).count() == 0
+
+
+# ── Decontamination ──────────────────────────────────────────────────────────────────────────────────────
+def brute_hits(rows, items, n=10):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = collections.defaultdict(set)
+    for item, text in items:
+        w = words(text)
+        for i in range(max(1, len(w) - n + 1) if w else 0):
+            windows[tuple(w[i : i + n])].add(item)
+    out = []
+    for doc, text in rows:
+        w, hit, found = words(text), set(), set()
+        for size in {len(x) for x in windows}:
+            for i in range(len(w) - size + 1):
+                if tuple(w[i : i + size]) in windows:
+                    hit |= set(range(i, i + size))
+                    found |= windows[tuple(w[i : i + size])]
+        found = sorted(str(x) for x in found if x is not None)
+        out.append((doc, len(w), len(hit), len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), bool(hit)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 30])
+def test_decontamination_matches_brute_force(spark, block_words):
+    rng = random.Random(3)
+    vocab = ["the", "Of", "é", "x1", "ab", "zu"]
+    say = lambda n: rng.choice([" ", ", ", "\n", "\x00"]).join(rng.choice(vocab) for _ in range(n))
+    items = [(i, say(rng.choice([0, 1, 3, 9, 10, 11, 25]))) for i in range(8)] + [(3, say(12)), (None, say(14)), (9, None)]
+    rows = [(i, say(rng.randint(0, 30)) + " " + (rng.choice(items)[1] or "") if i % 3 else say(25)) for i in range(60)]
+    rows += [(100, None), (101, ""), (0, rows[0][1]), (None, items[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.report(docs, bench, block_words=block_words).collect()), key=str)
+    want = brute_hits(rows, items)
+    assert got == want
+    clean = decontaminate.clean(docs, bench, block_words=block_words)
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(x[0]) for x in want if not x[5])
+    assert decontaminate.report(docs, bench.limit(0)).filter("contaminated").count() == 0
+    assert decontaminate.report(docs.limit(0), bench).count() == 0
+
+
+# ── Quality and language ─────────────────────────────────────────────────────────────────────────────────
+def test_isotonic_pooling():
+    x, y = quality.pool_adjacent([1, 2, 3, 4], [0.1, 0.9, 0.4, 1.0], [1, 1, 1, 2])
+    assert list(y) == [0.1, 0.65, 1.0] and list(x) == [1, 2.5, 4]
+
+
+def test_quality_separates_held_out_rows(spark, sf_mid):
+    labels = spark.read.parquet(f"{sf_mid}/labels.parquet").select("doc_id", "quality")
+    rows = queries.op3_quality(spark, sf_mid).join(labels, "doc_id").filter("held_out").collect()
+    good, bad = [np.array([r.score for r in rows if r.quality == q]) for q in (1, 0)]
+    assert len(bad) and (good[:, None] > bad[None, :]).mean() > 0.97
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+
+
+def test_quality_odd_rows(spark, odd):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, 0), (None, 1, 0), (4, None, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
+    stats = odd.select("doc_id", quality.features(F.col("text")).alias("stats"))
+    for some in (labels, labels.limit(0), labels.filter("quality = 1")):
+        model = quality.fit(quality.labelled(stats, some))
+        scored = stats.select("doc_id", quality.score(F.col("stats"), model).alias("score"))
+        assert ids(scored) == EVERY and all(0 <= r.score <= 1 for r in scored.collect())
+        assert scored.limit(0).count() == 0
+
+
+def brute_phrases(text, sample):
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in sample:
+            j += 1
+        if j > len(text):
+            break
+        n, i = n + 1, j - 1 + (text[j - 1] not in sample)  # a symbol that the sample lacks belongs to the phrase it ends
+    return n
+
+
+def test_phrases_match_brute_force():
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcab ") for _ in range(n))
+    samples = {"a": [say(300)], "b": [say(40)]}
+    model = langid.Model(samples)
+    texts = [re.sub(" +", " ", say(n)) for n in (0, 1, 5, 80, 400)] + ["zzz abz", "AbC"]
+    total, _, _ = model.phrases(texts)
+    for k, lang in enumerate(model.languages):
+        sample = re.sub(" +", " ", samples[lang][0])
+        assert [int(x) for x in total[k]] == [brute_phrases(t.lower(), sample) for t in texts]
+
+
+def test_language_held_out(spark, sf_mid):
+    docs = spark.read.parquet(f"{sf_mid}/documents.parquet").select("doc_id", "lang")
+    rows = queries.op6_language(spark, sf_mid).join(docs, "doc_id").filter("held_out and lang is not null").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.97
+
+
+def test_language_odd_rows(spark, odd):
+    model = langid.Model(langid.learn_samples(odd))
+    rows = {r.doc_id: r for r in langid.predict(odd, model).collect()}
+    assert ids(langid.predict(odd, model)) == EVERY
+    assert rows[2].lang_pred == rows[3].lang_pred == rows[4].lang_pred == "und" and rows[2].score == 0.0
+    assert rows[6].lang_pred == "de" and rows[1].lang_pred == "en"
+    none = langid.Model(langid.learn_samples(odd.limit(0)))
+    assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
+    assert langid.predict(odd.limit(0), model).count() == 0
+
+
+# ── Mixing ───────────────────────────────────────────────────────────────────────────────────────────────
+def brute_targets(sizes, weights=(3.0, 1.0, 2.0)):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    left, open_, target = 1.5 * sum(sizes.values()), set(order), {}
+    while open_:
+        share = {s: left * w[s] / sum(w[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = 2.0 * sizes[s]
+            left -= target[s]
+        open_ -= over
+    return target
+
+
+def test_targets_match_resharing(spark):
+    rng = random.Random(6)
+    for n in (1, 2, 3, 7, 20):
+        sizes = {f"s{i}": rng.choice([0, 3, 100, 5000]) for i in range(n - 1)} | {None: 40}
+        got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()}
+        assert got == pytest.approx(brute_targets(sizes))
+
+
+def test_mix_takes_the_targets(spark, odd):
+    sized = odd.withColumn("size", mixing.words(F.col("text")))
+    rows = mixing.mix(sized).collect()
+    again = mixing.mix(sized.repartition(5)).collect()
+    assert sorted(rows, key=str) == sorted(again, key=str) and len(rows) == len(ODD)
+    taken = collections.Counter()
+    for r in rows:
+        assert 0 <= r.taken <= 2 * r["size"] and (r.position is None) == (r.taken == 0)
+        taken[r.source] += r.taken
+    for r in rows:
+        assert taken[r.source] == int(r.target)
+    assert mixing.mix(sized.limit(0)).count() == 0
+    assert mixing.mix(sized.filter("size = 0")).filter("taken > 0").count() == 0
+
+
+def test_positions_invert_the_schedule(spark):
+    for klass, knots in enumerate(mixing.KNOTS):
+        for k in range(21):
+            demand = k / 20
+            t = spark.range(1).select(mixing.position_of(F.lit(demand), F.lit(klass))).first()[0]
+            done = whole = 0.0
+            for (a, wa), (b, wb) in zip(knots, knots[1:]):
+                whole += (b - a) * (wa + wb) / 2
+                e = min(max(t, a), b)
+                done += (e - a) * (wa + wa + (wb - wa) * (e - a) / (b - a)) / 2
+            assert done / whole == pytest.approx(demand, abs=1e-9)
+            if klass and k % 10:
+                break
+
+
+# ── Fingerprints ─────────────────────────────────────────────────────────────────────────────────────────
+def test_neighbours_and_edits(spark):
+    rows = [(i * 3, "wörd " * (i % 7) + str(i)) for i in range(60)] + [(None, "first"), (30, "twin"), (30, "twin")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprint.report(docs, ranges=8).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    assert len(out) == len(rows)
+    texts = [t for _, t in order]
+    plain = {}
+    for i, (doc, text) in enumerate(order):
+        if doc != 30:
+            half, following = len(text) // 2, texts[(i + 1) % len(texts)]
+            plain[doc] = hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest()
+    got = {r.doc_id: r.edited_sha256 for r in out if r.doc_id not in (30, 27)}
+    assert got == {k: v for k, v in plain.items() if k != 27}
+
+
+def test_likeness_estimates_generalised_jaccard(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(5, 200)))) for i in range(60)]
+    prints = {r.doc_id: r.fingerprint for r in fingerprint.signatures(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], 256).collect()}
+    errors = []
+    for (i, a), (j, b) in zip(rows, rows[1:]):
+        ca, cb = collections.Counter(a.split()), collections.Counter(b.split())
+        true = sum((ca & cb).values()) / sum((ca | cb).values())
+        same = sum(prints[i][4 * k : 4 * k + 4] == prints[j][4 * k : 4 * k + 4] for k in range(256)) / 256
+        errors.append(same - true)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
+
+
+def test_fingerprint_odd_rows(spark, odd):
+    rows = fingerprint.report(odd, ranges=4).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0) for r in rows) == EVERY
+    by = {r.doc_id: r for r in rows}
+    assert by[2].fingerprint == by[3].fingerprint == by[4].fingerprint == "-" and by[2].near_next == 1.0
+    assert fingerprint.report(odd.limit(0)).count() == 0
+    alone = fingerprint.report(odd.filter("doc_id = 7")).first()
+    assert alone.near_next == 1.0
+
+
+# ── Secrets and URLs ─────────────────────────────────────────────────────────────────────────────────────
+def test_secret_candidates(spark):
+    text = 'a token = "' + "0a" * 20 + '" and ' + "b" * 16 + "\n" + "C" * 15 + " " + "d" * 17 + "=="
+    docs = spark.createDataFrame([(1, text, "p"), (2, None, None), (3, "", "q"), (1, text, "p")], "doc_id long, text string, source string")
+    found = secrets.candidates(docs).orderBy("doc_id", "nth").collect()
+    assert [(r.nth, r.value) for r in found] == [(n, v) for n, v in enumerate(["0a" * 20, "b" * 16, "d" * 17 + "=="]) for _ in range(2)]
+    assert found[0].before == 'a token = "' and found[0].after == '" and '
+    assert secrets.candidates(docs.limit(0)).count() == 0
+
+
+def test_secret_forest_on_held_out_rows(spark, sf_mid):
+    docs = spark.read.parquet(f"{sf_mid}/documents.parquet")
+    labels = secrets.weak_labels(secrets.candidates(docs)).select("doc_id", "nth", "label")
+    rows = queries.op8_secrets(spark, sf_mid).join(labels, ["doc_id", "nth"]).collect()
+    assert sum(r.label for r in rows) > 5
+    assert sum(r.secret == (r.label == 1.0) for r in rows) / len(rows) > 0.97
+
+
+def test_secrets_without_labels_keep_everything(spark):
+    docs = spark.createDataFrame([(1, "k" * 20, None), (None, "m" * 20, "p")], "doc_id long, text string, source string")
+    found = secrets.candidates(docs).withColumn("label", F.lit(None).cast("double"))
+    rows = secrets.scan(found, F.lit(True)).collect()
+    assert len(rows) == 2 and all(r.secret and r.score == 1.0 for r in rows)
+
+
+def test_url_filter_matches_brute_force(spark):
+    rng = random.Random(8)
+    hosts = ["a.b.example.com", "b.example.com", "x.org", "example.com"]
+    entries = [(rng.choice(["host", "domain", "prefix", "odd"]), rng.choice(hosts) + rng.choice(["", "/p"]), rng.choice(["block", "allow", "expire", "?"]), rng.choice([*range(12), None])) for _ in range(150)]
+    captures = [(i, rng.choice(["http://", "HTTPS://u@", "nothing "]) + rng.choice(hosts).upper() + rng.choice(["", "/p/q", "/z?x", ":80/p"]), rng.choice([*range(14), None])) for i in range(300)]
+    captures += [(1, None, 3), (1, None, 3), (None, "http://x.org", 5), (2, "http://" + "a" * 300, 1)]
+    strength = {"expire": 0, "allow": 1, "block": 2}
+
+    def verdict(url, day):
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", url or "")
+        host = m and m[1].lower()
+        if not host or len(host) > 253 or day is None:
+            return "none", None
+        seg = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)", url)
+        labels = host.split(".")
+        keys = [("prefix", host + (seg[1] if seg else "")), ("host", host)]
+        keys += [("domain", ".".join(labels[i:])) for i in range(max(1, len(labels) - 1))]
+        for kind, value in keys:
+            past = [(d, strength[a]) for k, v, a, d in entries if k == kind and v == value and a in strength and d is not None and d <= day]
+            if past and max(past)[1]:
+                return ["", "allow", "block"][max(past)[1]], f"{kind}:{value}"
+        return "none", None
+
+    got = url_filter.evaluate(spark.createDataFrame(captures, "page_id long, url string, day int").withColumn("best", F.lit(1)),
+                              spark.createDataFrame(entries, "kind string, value string, action string, day int")).collect()
+    assert len(got) == len(captures)
+    assert sorted((str(r.page_id), str(r.url), str(r.day), r.verdict, str(r.matched)) for r in got) == sorted(
+        (str(i), str(u), str(d), verdict(u, d)[0], str(verdict(u, d)[1])) for i, u, d in captures)
+    empty = spark.createDataFrame([], "kind string, value string, action string, day int")
+    some = spark.createDataFrame(captures[:5], "page_id long, url string, day int")
+    assert {r.verdict for r in url_filter.evaluate(some, empty).collect()} == {"none"}
+    assert url_filter.evaluate(some.limit(0), empty).count() == 0
