@@ -43,13 +43,15 @@ def double_quotes(c) -> Column:
 
 
 def stars_to_int(c) -> Column:
-    """Numeric coercion with invalid → 0, then truncation toward zero (``4.7→4``, ``-1.9→-1``).
+    """Numeric coercion with invalid → 0, then truncation toward zero (``4.7→4``, ``-1.9→-1``), as bigint.
 
-    ``try_cast`` keeps ANSI mode from failing on junk; NaN and out-of-range values become 0.
+    ``try_cast`` keeps ANSI mode from failing on junk; NaN and values beyond bigint become 0.  Spark's cast
+    takes Java's type suffixes (``3d``, ``5f``); a text that ends in a letter is not a number here.
     """
-    as_double = _c(c).cast("string").try_cast("double")
+    text = _c(c).cast("string")
+    as_double = F.when(~text.rlike(r"\p{L}\s*$"), text).try_cast("double")
     cleaned = F.coalesce(F.nanvl(as_double, F.lit(0.0)), F.lit(0.0))
-    return F.coalesce(cleaned.try_cast("int"), F.lit(0))
+    return F.coalesce(cleaned.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def short_title(title, fallback) -> Column:
@@ -114,6 +116,11 @@ def review_year(ts, epoch_millis: bool = False) -> Column:
     return F.year(t)
 
 
+def strip(c) -> Column:
+    """Text without white space (Unicode's, line separators included) at both ends."""
+    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+
+
 def blank_to_null(c) -> Column:
-    """Trimmed text, with a blank value treated as absent."""
-    return F.nullif(F.trim(_c(c)), F.lit(""))
+    """Text without white space at both ends, with a blank value treated as absent."""
+    return F.nullif(strip(_c(c)), F.lit(""))

@@ -61,9 +61,12 @@ def bayesian_score(stats: DataFrame, prior_weight: float = 10.0, mean: float | C
 
 
 def active_in(reviews: DataFrame, min_reviews: int = 1) -> DataFrame:
-    """A4: per (reviewer, category) review_count and avg_stars, keeping pairs with ≥ ``min_reviews``."""
+    """A4: per (reviewer, category) review_count and avg_stars, keeping pairs with ≥ ``min_reviews``.
+
+    Reviews without a category (null or empty) belong to no Category node and make no edge.
+    """
     return (
-        _stats(reviews, ["reviewer_id", "category"])
+        _stats(reviews.filter(F.col("category") != ""), ["reviewer_id", "category"])
         .filter(F.col("review_count") >= F.lit(min_reviews))
         .select("reviewer_id", "category", "review_count", "avg_stars")
     )

@@ -1,32 +1,31 @@
 """Co-purchase pair counting (E6 / E7) that survives a reviewer holding a third of all rows.
 
-weight(a, b) = number of distinct reviewers who reviewed both a and b.  The plain plan is a self-join of the
-(reviewer, product) incidence on the reviewer, which builds a reviewer's whole product list inside one task.
-Here every reviewer's products are split into ``nb = ceil(deg / block_size)`` hash blocks, and each
-*unordered block pair* (i ≤ j) of one reviewer is its own join key ``(reviewer, i, j)``:
-
-* a row in block ``b`` is sent left to keys (b, j) for j ≥ b and right to keys (i, b) for i ≤ b
-  (nb + 1 copies per row, i.e. ``deg² / block_size`` rows for a reviewer – small next to its deg²/2 pairs);
-* key (i, j) joins block i (left) with block j (right); for i = j only ``a < b`` is kept,
-  so every unordered product pair of a reviewer is produced exactly once, by exactly one task;
-* pair counts are then partially combined before the shuffle by pair.
-
-Reviewers with at most ``block_size`` products keep one block (one key, no copies): the plan then equals the
-plain self-join.  Only reviewers above the block size need their degree joined back; that frame has at most
-rows/block_size entries, so AQE broadcasts it by measured size and keeps a sort-merge join beyond that.
-
-Two more exact reductions: with ``min_weight ≥ 2`` an item reviewed by fewer than ``min_weight`` reviewers
-cannot be in any kept pair and is dropped before pairing (on review data most products have one review); and
-both exploded sides are hash-partitioned explicitly to the session's shuffle partition count, because AQE
-sizes that exchange by its input while the join's output is the pair list, many times larger.
-The result is exact; nothing is capped or sampled.
+weight(a, b) = number of distinct reviewers who reviewed both a and b.  The distinct (reviewer, product) incidence
+is written once; three facts are then measured on it (small aggregates, one row each): the pairs that the self-join
+will make, the largest number of products of one reviewer, and how many rows have too rare a product.
+
+* No reviewer above ``block_size`` products: the plain self-join on the reviewer, its one exchange shared by both
+  sides.  Its partitions are sized by the pairs it makes (``PAIRS_PER_TASK``), not by its small input.
+* Otherwise every reviewer's products are split into ``nb = ceil(deg / block_size)`` hash blocks, and each
+  *unordered block pair* (i ≤ j) of one reviewer is its own join key ``(reviewer, i, j)``: a row in block ``b`` goes
+  left to keys (b, j) for j ≥ b and right to keys (i, b) for i ≤ b (nb + 1 copies, i.e. ``deg² / block_size`` rows
+  for a reviewer – small next to its deg²/2 pairs); for i = j only ``a < b`` is kept.  Every unordered pair of a
+  reviewer is produced exactly once, by exactly one task.
+* With ``min_weight ≥ 2`` an item reviewed by fewer than ``min_weight`` reviewers is in no kept pair.  Such rows are
+  dropped first where that pays for its shuffle (``PREFILTER_SHARE`` of the rows); the result is the same.
+
+Pair counts are partially combined before the shuffle by pair.  Nothing is capped or sampled.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 DEFAULT_BLOCK = 1024
+PAIRS_PER_TASK = 2_000_000
+PREFILTER_SHARE = 0.3
 
 
 def incidence(reviews: DataFrame, group: str = "reviewer_id", item: str = "product_id") -> DataFrame:
@@ -36,19 +35,42 @@ def incidence(reviews: DataFrame, group: str = "reviewer_id", item: str = "produ
     ).distinct()
 
 
-def pair_counts(inc: DataFrame, min_weight: int = 2, block_size: int = DEFAULT_BLOCK,
-                partitions: int | None = None) -> DataFrame:
-    """(src, dst, weight) with src < dst and weight ≥ min_weight, from a distinct (g, item) incidence."""
+def pair_counts(inc: DataFrame, min_weight: int = 2, block_size: int = DEFAULT_BLOCK) -> DataFrame:
+    """(src, dst, weight) with src < dst and weight ≥ min_weight, from a distinct (g, item) incidence.
+
+    ``inc`` is read several times: pass a written table.
+    """
     if block_size < 1:
         raise ValueError("block_size must be positive")
-    n = partitions or int(inc.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if min_weight >= 2:
-        keep = inc.groupBy("item").agg(F.count(F.lit(1)).alias("__r")).filter(F.col("__r") >= F.lit(min_weight))
-        inc = inc.join(keep.select("item"), "item", "left_semi").select("g", "item")
-    hot = (
-        inc.groupBy("g").agg(F.count(F.lit(1)).alias("deg"))
-        .filter(F.col("deg") > F.lit(block_size))
-        .select("g", F.ceil(F.col("deg") / F.lit(block_size)).cast("int").alias("nb"))
+        per_item = inc.groupBy("item").agg(F.count(F.lit(1)).alias("__r"))
+        rare = F.coalesce(F.sum(F.when(F.col("__r") < F.lit(min_weight), F.col("__r"))), F.lit(0))
+        if per_item.select(rare >= F.sum("__r") * F.lit(PREFILTER_SHARE)).first()[0]:
+            keep = per_item.filter(F.col("__r") >= F.lit(min_weight)).select("item")
+            inc = materialize(inc.join(keep, "item", "left_semi").select("g", "item"), "incidence-kept")
+    degree = inc.groupBy("g").agg(F.count(F.lit(1)).alias("deg"))
+    made, largest = degree.agg(F.sum(F.col("deg") * (F.col("deg") - 1) / 2), F.max("deg")).first()
+    n = max(1, -(-int(made or 0) // PAIRS_PER_TASK), inc.sparkSession.sparkContext.defaultParallelism)
+    if (largest or 0) <= block_size:
+        dealt = inc.repartition(n, "g")
+        left, right = dealt.withColumnRenamed("item", "src"), dealt.withColumnRenamed("item", "dst")
+        pairs = left.join(right, (left.g == right.g) & (F.col("src") < F.col("dst"))).select("src", "dst")
+    else:
+        pairs = _block_pairs(inc, degree, block_size, n)
+    return (
+        pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+        .filter(F.col("weight") >= F.lit(min_weight))
+    )
+
+
+def _block_pairs(inc: DataFrame, degree: DataFrame, block_size: int, n: int) -> DataFrame:
+    """Every unordered pair of a reviewer's products, one join key per unordered pair of product blocks.
+
+    Only reviewers above the block size need their degree joined back: at most rows/block_size of them, so AQE
+    broadcasts that frame by measured size and keeps a sort-merge join beyond it.
+    """
+    hot = degree.filter(F.col("deg") > F.lit(block_size)).select(
+        "g", F.ceil(F.col("deg") / F.lit(block_size)).cast("int").alias("nb")
     )
     x = inc.join(hot, "g", "left").select(
         "g", "item", F.coalesce(F.col("nb"), F.lit(1)).alias("nb")
@@ -61,15 +83,11 @@ def pair_counts(inc: DataFrame, min_weight: int = 2, block_size: int = DEFAULT_B
         "g", F.col("item").alias("b"), F.explode(F.sequence(F.lit(0), F.col("blk"))).alias("bi"),
         F.col("blk").alias("bj"),
     ).repartition(n, "g", "bi", "bj")
-    pairs = (
+    return (
         left.join(right, ["g", "bi", "bj"])
         .filter((F.col("bi") != F.col("bj")) | (F.col("a") < F.col("b")))
         .select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
     )
-    return (
-        pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-        .filter(F.col("weight") >= F.lit(min_weight))
-    )
 
 
 def co_purchase_edges(
@@ -77,7 +95,7 @@ def co_purchase_edges(
     group: str = "reviewer_id", item: str = "product_id",
 ) -> DataFrame:
     """E6/E7 without categories: (src, dst, weight), one stored direction (smaller id first)."""
-    return pair_counts(incidence(reviews, group, item), min_weight, block_size)
+    return pair_counts(materialize(incidence(reviews, group, item), "incidence"), min_weight, block_size)
 
 
 def anchored_pair_counts(inc: DataFrame, anchors, min_weight: int = 2) -> DataFrame:

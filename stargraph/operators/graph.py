@@ -7,7 +7,9 @@ Older graph: Customer / Product / Review nodes; PURCHASED, WROTE, ABOUT, SIMILAR
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import aggregates as A
@@ -68,14 +70,15 @@ def build_belongs_to(products: DataFrame) -> DataFrame:
 
 
 def with_categories(edges: DataFrame, belongs_to: DataFrame) -> DataFrame:
-    """Both endpoint categories and the ``cross_cat`` flag (names differ, null-safe)."""
+    """Both endpoint categories and the ``cross_cat`` flag: both are known and differ (A8 and A9 count the
+    same edges)."""
     c1 = belongs_to.select(F.col("src").alias("__p1"), F.col("dst").alias("src_category"))
     c2 = belongs_to.select(F.col("src").alias("__p2"), F.col("dst").alias("dst_category"))
     return (
         edges.join(c1, edges.src == c1.__p1, "left")
         .join(c2, F.col("dst") == c2.__p2, "left")
         .drop("__p1", "__p2")
-        .withColumn("cross_cat", ~F.col("src_category").eqNullSafe(F.col("dst_category")))
+        .withColumn("cross_cat", F.coalesce(F.col("src_category") != F.col("dst_category"), F.lit(False)))
     )
 
 
@@ -130,7 +133,7 @@ def merge_categories(frames: dict[str, DataFrame], category_col: str = "category
     """Union of per-category datasets (columns may differ) with the category as a literal column."""
     out = None
     for name, df in frames.items():
-        tagged = df.withColumn(category_col, F.lit(name))
+        tagged = df.withColumn(category_col, F.lit(name).cast("string"))
         out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
     if out is None:
         raise ValueError("no frames")
@@ -138,17 +141,16 @@ def merge_categories(frames: dict[str, DataFrame], category_col: str = "category
 
 
 def assign_batches(df: DataFrame, id_col: str, batch_size: int = 500, bucket_rows: int = 1_000_000,
-                   bucket_col=None) -> DataFrame:
+                   bucket_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """Write batches of at most ``batch_size`` rows, formed inside hash buckets of the id.
 
     batch = floor((row_number() over (partition by bucket order by id) - 1) / batch_size).  The number of
     buckets grows with the data – ``ceil(rows / bucket_rows)``, the row count being a scalar subquery – so each
     window partition holds about ``bucket_rows`` rows however large the table.  Deterministic, so a retried
-    task forms the same batches.  ``bucket_col`` overrides the bucket expression.
+    task forms the same batches.  ``bucket_of`` maps the number of buckets to the bucket (default: a hash).
     """
-    if bucket_col is None:
-        buckets = F.greatest(F.lit(1), F.ceil(df.agg(F.count(F.lit(1))).scalar() / F.lit(bucket_rows)))
-        bucket_col = F.pmod(F.xxhash64(id_col), buckets)
+    buckets = F.greatest(F.lit(1), F.ceil(df.agg(F.count(F.lit(1))).scalar() / F.lit(bucket_rows)))
+    bucket_col = bucket_of(buckets) if bucket_of else F.pmod(F.xxhash64(id_col), buckets)
     w = Window.partitionBy("bucket").orderBy(id_col)
     return (
         df.withColumn("bucket", bucket_col.cast("int"))
@@ -156,6 +158,17 @@ def assign_batches(df: DataFrame, id_col: str, batch_size: int = 500, bucket_row
     )
 
 
+def write_batches(df: DataFrame, id_col: str, path: str, batch_size: int = 500, bucket_rows: int = 1_000_000,
+                  mode: str = "errorifexists") -> None:
+    """E11's sink: one file per batch of at most ``batch_size`` rows, under ``bucket=<n>/``.
+
+    A bucket is one task's (the shuffle of ``assign_batches`` puts it there), sorted by batch, and the file writer
+    starts a new file after ``batch_size`` rows, so a consumer can send each file as one request.
+    """
+    batched = assign_batches(df, id_col, batch_size, bucket_rows).sortWithinPartitions("bucket", "batch", id_col)
+    batched.write.mode(mode).option("maxRecordsPerFile", batch_size).partitionBy("bucket").json(path)
+
+
 class ReviewGraph:
     """The final graph's node and edge tables.
 
@@ -164,7 +177,8 @@ class ReviewGraph:
     (``ReviewGraph(reviews=…, products=…, …)``, e.g. over stored tables).
     """
 
-    TABLES = ("reviews", "products", "reviewers", "categories", "belongs_to", "co_purchased", "reviewed", "active_in")
+    TABLES = ("reviews", "products", "reviewers", "categories", "belongs_to", "co_purchased", "co_purchased_reversed",
+              "reviewed", "active_in")
 
     def __init__(self, reviews: DataFrame | None = None, params: dict | None = None, **frames: DataFrame):
         unknown = set(frames) - set(self.TABLES)
@@ -192,18 +206,19 @@ class ReviewGraph:
     def anchored_edges(self, anchors) -> DataFrame:
         """Undirected CO_PURCHASED rows (src = anchor, dst, weight, cross_cat, src_category, dst_category) for
         the product ids in ``anchors`` (a frame with an ``item`` column, or a list of ids): a filtered scan of
-        the stored edge table when there is one – literal ids become ``isin`` filters on each direction that
-        reach the parquet scan – otherwise counted from the reviews of the anchors' reviewers only (no global
+        the stored edge table when there is one – literal ids become ``isin`` filters on ``src`` of each stored
+        direction that reach the parquet scan – otherwise counted from the reviews of the anchors' reviewers only (no global
         pair table)."""
         if self.is_given("co_purchased"):
             from .patterns import reverse_edges, union_directions
 
             co = self.co_purchased
+            back = self._frames["co_purchased_reversed"] if self.is_given("co_purchased_reversed") else None
             if not isinstance(anchors, DataFrame):
                 ids = list(anchors)
-                as_stored = co.filter(F.col("src").isin(ids))
-                return as_stored.unionByName(reverse_edges(co.filter(F.col("dst").isin(ids))))
-            und = union_directions(co)
+                other = reverse_edges(co.filter(F.col("dst").isin(ids))) if back is None else back.filter(F.col("src").isin(ids))
+                return co.filter(F.col("src").isin(ids)).unionByName(other)
+            und = union_directions(co) if back is None else co.unionByName(back)
             return und.join(anchors.select(F.col("item").alias("src")).distinct(), "src", "left_semi")
         from .copurchase import anchored_pair_counts, incidence
 

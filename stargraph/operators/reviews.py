@@ -39,11 +39,11 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
 
 
 def keep_latest(df: DataFrame, keys: Sequence[str], load_col: str, tie: Sequence[str]) -> DataFrame:
-    """One row per key: highest ``load_col``; within a load the smallest by ``tie``.
+    """One row per key: highest ``load_col``; within a load the smallest by ``tie``; a null load is the oldest.
 
-    Equivalent to ``row_number() over (partition by keys order by load desc, tie asc) = 1``.
+    Equivalent to ``row_number() over (partition by keys order by load desc nulls last, tie asc) = 1``.
     """
-    neg_load = (-F.col(load_col)).alias("__neg_load")
+    neg_load = F.coalesce(-F.col(load_col).cast("bigint"), F.lit((1 << 63) - 1))
     return keep_first(df.withColumn("__neg_load", neg_load), keys, ["__neg_load", *tie]).drop("__neg_load")
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import copurchase_degree
+from ..operators.copurchase import anchored_pair_counts, incidence
 from ..operators.graph import ReviewGraph
 from ..operators.patterns import two_hop, union_directions
 
@@ -259,11 +260,12 @@ def subgraph_rows(g: ReviewGraph, intent: str, entity_id=None, category: str | N
 
 # ── Q10 ──────────────────────────────────────────────────────────────────────────────────────────────────
 def product_neighbourhood(reviews: DataFrame, pid, k: int = 30) -> DataFrame:
-    """Q10: co-buyer paths of one product × the product's reviews (optional), flagged when the co-buyer wrote
-    the review; the first k rows in (reviewer_id, other_id, review_id) order.
+    """Q10: co-buyer paths of one product × the product's reviews (optional) × its SIMILAR_TO edges (optional, as
+    stored: towards the larger id), flagged when the co-buyer wrote the review; the first k rows in
+    (reviewer_id, other_id, review_id, sim_id) order.
 
-    The k smallest rows of (paths × reviews) in that order come from the k smallest paths and the k smallest
-    reviews, so both sides are cut to k before they are combined (an equi-join on the anchor id).
+    The k smallest rows of the product in that order come from the k smallest paths, reviews and edges, so each
+    side is cut to k before they are combined (equi-joins on the anchor id).
     """
     purchases = reviews.select("reviewer_id", "product_id").distinct()
     paths = two_hop(purchases, pid).orderBy("reviewer_id", "other_id").limit(k)
@@ -272,8 +274,20 @@ def product_neighbourhood(reviews: DataFrame, pid, k: int = 30) -> DataFrame:
         .select(F.col("product_id").alias("__pid"), "review_id", F.col("reviewer_id").alias("author_id"))
         .orderBy("review_id").limit(k)
     )
-    rows = paths.join(revs, paths.pid == revs.__pid, "left").select(
-        "pid", "reviewer_id", "other_id", "review_id",
-        F.coalesce(F.col("author_id") == F.col("reviewer_id"), F.lit(False)).alias("wrote"),
+    similar = (
+        anchored_pair_counts(incidence(reviews), [pid], min_weight=1)
+        .filter(F.col("other") > F.col("anchor"))
+        .select(F.col("anchor").alias("__sim_of"), F.col("other").alias("sim_id"), F.col("weight").alias("sim_weight"))
+        .orderBy("sim_id").limit(k)
     )
-    return rows.orderBy("reviewer_id", "other_id", F.col("review_id").asc_nulls_first()).limit(k)
+    rows = (
+        paths.join(revs, paths.pid == revs.__pid, "left")
+        .join(similar, F.col("pid") == F.col("__sim_of"), "left")
+        .select(
+            "pid", "reviewer_id", "other_id", "review_id",
+            F.coalesce(F.col("author_id") == F.col("reviewer_id"), F.lit(False)).alias("wrote"), "sim_id", "sim_weight",
+        )
+    )
+    return rows.orderBy(
+        "reviewer_id", "other_id", F.col("review_id").asc_nulls_first(), F.col("sim_id").asc_nulls_first()
+    ).limit(k)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.graph import ReviewGraph, build_graph
 from ..operators.reviews import reviews_from_tables
+from ..session import materialize
 from ..sources.tables import Tables
 from . import intents as Q
 from . import sql_oracle as O
@@ -23,6 +24,14 @@ ORACLE: dict[str, str] = {}
 MIN_REVIEWS = 20
 ANCHOR = 28
 CATEGORY = "STANDARD"
+BOT_TEST = O.BOT_TEST
+RARE_WEIGHT = 4  # co-purchase weight at which some products have no neighbour
+
+
+def rare(sql: str) -> str:
+    """A query over co-purchase edges of at least ``RARE_WEIGHT``."""
+    assert "e.weight >= 2" in sql
+    return sql.replace("e.weight >= 2", f"e.weight >= {RARE_WEIGHT}")
 
 
 def query(name: str, sql: str | None = None):
@@ -42,6 +51,8 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str, **kw) -> ReviewGraph:
     kw.setdefault("materialize", True)
+    kw.setdefault("bot_min_reviews", BOT_TEST[0])
+    kw.setdefault("bot_min_ratio", BOT_TEST[1])
     return build_graph(reviews(spark, sf_dir), **kw)
 
 
@@ -71,14 +82,14 @@ def _q5(spark, d):
     return Q.category_affinity_edges(graph(spark, d), k=20)
 
 
-@query("combined_score_rows", O.combined_score_rows(MIN_REVIEWS, 10))
+@query("combined_score_rows", rare(O.combined_score_rows(MIN_REVIEWS, 10)))
 def _q6(spark, d):
-    return Q.combined_score_rows(graph(spark, d), min_reviews=MIN_REVIEWS, k=10)
+    return Q.combined_score_rows(graph(spark, d, min_weight=RARE_WEIGHT), min_reviews=MIN_REVIEWS, k=10)
 
 
-@query("combined_score_rank", O.combined_score_rank(MIN_REVIEWS, 15))
+@query("combined_score_rank", rare(O.combined_score_rank(MIN_REVIEWS, 15)))
 def _q7(spark, d):
-    return Q.combined_score_rank(graph(spark, d), min_reviews=MIN_REVIEWS, k=15)
+    return Q.combined_score_rank(graph(spark, d, min_weight=RARE_WEIGHT), min_reviews=MIN_REVIEWS, k=15)
 
 
 @query("top_n_per_category", O.top_n_per_category(10, MIN_REVIEWS))
@@ -99,10 +110,8 @@ from ..operators import graph as G  # noqa: E402
 from ..operators import patterns as J  # noqa: E402
 from ..operators import reviews as R  # noqa: E402
 
-BOT_TEST = (40, 0.3)  # biting bot parameters for the test data (library default: > 500 reviews, ratio > 0.95)
 META_MAX_SIZE = 45  # titles known only for parts up to this size, so title coverage is below 100 %
-# Fixed values of the test data: the six part types, used as six per-category datasets.
-PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+# Two of the per-category datasets come without titles.
 UNTITLED_DATASETS = ["ECONOMY", "PROMO"]
 
 RAW = "WITH " + O.RAW_REVIEWS
@@ -143,17 +152,22 @@ def _a3(spark, d):
 
 @query("active_in", O.q("""
 SELECT reviewer_id, category, CAST(count(*) AS BIGINT) AS review_count, CAST(sum(stars) AS DOUBLE) / count(*) AS avg_stars
-FROM reviews GROUP BY reviewer_id, category HAVING count(*) >= 2"""))
+FROM reviews WHERE category <> '' GROUP BY reviewer_id, category HAVING count(*) >= 2"""))
 def _a4(spark, d):
     return A.active_in(graph(spark, d).reviews, min_reviews=2)
 
 
+def order_buyers(r):
+    """Reviews with the order as the buyer: many orders hold one product only, every reviewer holds more."""
+    return r.withColumn("reviewer_id", F.floor(F.col("review_id") / 10))
+
+
 @query("multi_buyer_stats", O.q(""",
-per AS (SELECT reviewer_id, count(DISTINCT product_id) AS n FROM reviews GROUP BY reviewer_id HAVING count(DISTINCT product_id) > 1)
+per AS (SELECT review_id // 10 AS buyer, count(DISTINCT product_id) AS n FROM reviews GROUP BY 1 HAVING count(DISTINCT product_id) > 1)
 SELECT CAST(count(*) AS BIGINT) AS multi_buyers, CAST(sum(n) AS DOUBLE) / count(*) AS avg_items,
        CAST(max(n) AS BIGINT) AS max_items FROM per"""))
 def _a5(spark, d):
-    return A.multi_buyer_stats(graph(spark, d).reviews)
+    return A.multi_buyer_stats(order_buyers(graph(spark, d).reviews))
 
 
 @query("multi_buyer_share", """
@@ -199,7 +213,7 @@ parts AS (
   UNION ALL SELECT 'relationship', 'REVIEWED', count(*) FROM reviews
   UNION ALL SELECT 'relationship', 'CO_PURCHASED', count(*) FROM co
   UNION ALL SELECT 'relationship', 'BELONGS_TO', count(*) FROM belongs_to
-  UNION ALL SELECT 'relationship', 'ACTIVE_IN', count(*) FROM (SELECT DISTINCT reviewer_id, category FROM reviews))
+  UNION ALL SELECT 'relationship', 'ACTIVE_IN', count(*) FROM (SELECT DISTINCT reviewer_id, category FROM reviews WHERE category <> ''))
 SELECT coalesce(kind, 'all') AS kind, coalesce(name, 'total') AS name, CAST(sum(n) AS BIGINT) AS n
 FROM parts GROUP BY ROLLUP (kind, name)"""
 
@@ -308,12 +322,13 @@ def _e6(spark, d):
     return graph(spark, d).co_purchased
 
 
-@query("build_similar_to_v1", RAW + """,
-inc AS (SELECT DISTINCT reviewer_id AS g, product_id AS item FROM all_reviews)
+@query("build_similar_to_v1", RAW + "," + O.bots_cte(*BOT_TEST) + """,
+inc AS (SELECT DISTINCT reviewer_id AS g, product_id AS item FROM all_reviews
+        WHERE reviewer_id NOT IN (SELECT reviewer_id FROM bots))
 SELECT a.item AS src, b.item AS dst, CAST(count(*) AS BIGINT) AS weight
 FROM inc a JOIN inc b ON a.g = b.g AND a.item < b.item GROUP BY a.item, b.item""")
 def _e7(spark, d):
-    return G.build_similar_to(reviews(spark, d))
+    return G.build_similar_to(graph(spark, d).reviews)
 
 
 @query("build_v1_edges", RAW + """
@@ -336,23 +351,25 @@ def _e9(spark, d):
 SELECT review_id, reviewer_id, product_id,
        CASE WHEN category IN ({", ".join(repr(c) for c in UNTITLED_DATASETS)}) THEN NULL ELSE title END AS title,
        stars, ts, category
-FROM all_reviews WHERE category IN ({", ".join(repr(c) for c in PART_TYPES)})""")
+FROM all_reviews""")
 def _e10(spark, d):
-    r = reviews(spark, d)
+    r = materialize(reviews(spark, d), "categories")
+    names = sorted((x[0] for x in r.select("category").distinct().collect()), key=lambda c: (c is None, c))
     frames = {}
-    for c in PART_TYPES:
-        f = r.filter(F.col("category") == c).drop("category")
+    for c in names:  # the per-category datasets of the export, as many as there are categories
+        f = r.filter(F.col("category").eqNullSafe(F.lit(c).cast("string"))).drop("category")
         frames[c] = f.drop("title") if c in UNTITLED_DATASETS else f
     return G.merge_categories(frames)
 
 
 @query("batch_writes", RAW + """
-SELECT review_id, CAST(review_id % 8 AS INTEGER) AS bucket,
-       CAST((row_number() OVER (PARTITION BY review_id % 8 ORDER BY review_id) - 1) // 500 AS INTEGER) AS batch
-FROM all_reviews""")
+SELECT review_id, CAST(bucket AS INTEGER) AS bucket,
+       CAST((row_number() OVER (PARTITION BY bucket ORDER BY review_id) - 1) // 500 AS INTEGER) AS batch
+FROM (SELECT review_id, review_id % greatest(1, CAST(ceil((SELECT count(*) FROM all_reviews) / 5000.0) AS BIGINT)) AS bucket
+      FROM all_reviews)""")
 def _e11(spark, d):
     r = reviews(spark, d).select("review_id")
-    return G.assign_batches(r, "review_id", 500, bucket_col=F.pmod(F.col("review_id"), F.lit(8)))
+    return G.assign_batches(r, "review_id", 500, bucket_rows=5000, bucket_of=lambda n: F.pmod(F.col("review_id"), n))
 
 
 # ── P: projections and filters ───────────────────────────────────────────────────────────────────────────
@@ -461,12 +478,12 @@ def _j3(spark, d):
     return J.endpoint_attributes(g.co_purchased.select("src", "dst", "weight"), g.products, g.belongs_to)
 
 
-@query("optional_expand", O.q(f"""
+@query("optional_expand", rare(O.q(f"""
 SELECT p.product_id AS pid, u.dst AS pid2, u.weight, b2.dst AS category2
 FROM products p LEFT JOIN und u ON p.product_id = u.src LEFT JOIN belongs_to b2 ON u.dst = b2.src
-WHERE p.review_count >= {MIN_REVIEWS}"""))
+WHERE p.review_count >= {MIN_REVIEWS}""")))
 def _j4(spark, d):
-    g = graph(spark, d)
+    g = graph(spark, d, min_weight=RARE_WEIGHT)
     p = g.products.filter(F.col("review_count") >= MIN_REVIEWS).select("product_id")
     und = J.union_directions(g.co_purchased.select("src", "dst", "weight"))
     step = p.join(und, p.product_id == und.src, "left")
@@ -476,23 +493,21 @@ def _j4(spark, d):
     )
 
 
-@query("optional_bound_check", RAW + f""",
-pr AS (SELECT DISTINCT reviewer_id, product_id FROM all_reviews),
-paths AS (SELECT a.product_id AS pid, a.reviewer_id, b.product_id AS other_id
-          FROM pr a JOIN pr b ON a.reviewer_id = b.reviewer_id AND b.product_id <> a.product_id
-          WHERE a.product_id = {ANCHOR}),
-rv AS (SELECT product_id, review_id FROM all_reviews WHERE product_id = {ANCHOR}),
-wrote AS (SELECT DISTINCT reviewer_id AS src, review_id AS dst FROM all_reviews)
-SELECT p.pid, p.reviewer_id, p.other_id, r.review_id, w.src IS NOT NULL AS wrote
-FROM paths p LEFT JOIN rv r ON p.pid = r.product_id
-LEFT JOIN wrote w ON w.src = p.reviewer_id AND w.dst = r.review_id""")
+@query("optional_bound_check", RAW + """,
+pr AS (SELECT DISTINCT reviewer_id, product_id AS pid FROM all_reviews),
+rv AS (SELECT product_id, min(review_id) AS review_id FROM all_reviews GROUP BY product_id)
+SELECT p.reviewer_id, p.pid, r.review_id,
+       EXISTS (SELECT 1 FROM all_reviews w WHERE w.reviewer_id = p.reviewer_id AND w.review_id = r.review_id) AS wrote
+FROM pr p JOIN rv r ON p.pid = r.product_id""")
 def _j5(spark, d):
-    r = reviews(spark, d)
-    paths = J.two_hop(r.select("reviewer_id", "product_id").distinct(), ANCHOR)
-    revs = r.filter(F.col("product_id") == ANCHOR).select(F.col("product_id").alias("__pid"), "review_id")
-    rows = paths.join(revs, paths.pid == revs.__pid, "left").drop("__pid")
+    """Every purchase with the product's first review: did this buyer write it?"""
+    r = materialize(reviews(spark, d).select("reviewer_id", "product_id", "review_id"), "bound-check")
+    first = r.groupBy(F.col("product_id").alias("pid")).agg(F.min("review_id").alias("review_id"))
+    rows = r.select("reviewer_id", F.col("product_id").alias("pid")).distinct().join(first, "pid")
     wrote = r.select(F.col("reviewer_id").alias("src"), F.col("review_id").alias("dst"))
-    return J.optional_bound_check(rows, wrote, "reviewer_id", "review_id", "wrote")
+    return J.optional_bound_check(rows, wrote, "reviewer_id", "review_id", "wrote").select(
+        "reviewer_id", "pid", "review_id", "wrote"
+    )
 
 
 @query("two_hop_copurchase", RAW + f""",
@@ -520,10 +535,11 @@ def _j8(spark, d):
 
 
 @query("keep_multibuyers", RAW + """,
-multi AS (SELECT reviewer_id FROM all_reviews GROUP BY reviewer_id HAVING count(DISTINCT product_id) > 1)
-SELECT * FROM all_reviews WHERE reviewer_id IN (SELECT reviewer_id FROM multi)""")
+bought AS (SELECT * REPLACE (review_id // 10 AS reviewer_id) FROM all_reviews),
+multi AS (SELECT reviewer_id FROM bought GROUP BY reviewer_id HAVING count(DISTINCT product_id) > 1)
+SELECT * FROM bought WHERE reviewer_id IN (SELECT reviewer_id FROM multi)""")
 def _j9(spark, d):
-    return R.keep_multibuyers(reviews(spark, d))
+    return R.keep_multibuyers(order_buyers(reviews(spark, d)))
 
 
 @query("edge_cross_cat", O.q("SELECT src, dst, weight, src_category, dst_category, cross_cat FROM co"))
@@ -565,6 +581,41 @@ def _g3(spark, d):
     return SG.subgraph_summary(SG.subgraph_nodes(rows, g.products), SG.subgraph_edges(rows))
 
 
+INTENTS = ("top_rated", "top_by_category", "copurchase", "category_affinity", "combined_score", "copurchase_of_product")
+
+
+def _summary_sql(name: str, cte: str, two_ended: bool) -> str:
+    """One branch's node and relationship counts; rows of one end get an empty second end."""
+    rows = "rows" if two_ended else "(SELECT *, CAST(NULL AS BIGINT) AS pid2, CAST(NULL AS VARCHAR) AS category2, CAST(NULL AS BIGINT) AS weight FROM rows)"
+    return f"SELECT '{name}' AS intent, * FROM (" + O.q(cte + O.subgraph_nodes_sql(rows) + O.subgraph_edges_sql(rows) + """
+SELECT CAST((SELECT count(*) FROM sg_nodes) AS BIGINT) AS nodes,
+       CAST((SELECT count(*) FROM sg_edges) AS BIGINT) AS relationships""") + ")"
+
+
+@query("subgraph_intents", "\nUNION ALL\n".join([
+    _summary_sql("top_rated", O.cte_top_rated("rows", 5, 15), False),
+    _summary_sql("top_by_category", O.cte_per_category("per_cat", 15, 3)
+                 + f", rows AS (SELECT * FROM per_cat WHERE category = '{CATEGORY}')", False),
+    _summary_sql("copurchase", O.cte_pairs_global("rows", 10), True),
+    _summary_sql("category_affinity", O.cte_pairs_global("rows", 20, cross_only=True), True),
+    _summary_sql("combined_score", O.cte_combined("rows", 5, 10), True),
+    _summary_sql("copurchase_of_product", O.cte_pairs_anchor("rows", ANCHOR, 15), True)]))
+def _g_all(spark, d):
+    """Every branch of the dispatch (Q9) through node, edge and summary assembly."""
+    built = graph(spark, d)
+    g = built.with_tables(products=materialize(built.products, "products"))
+    g = g.with_tables(co_purchased=materialize(g.co_purchased, "co-purchased"))
+    out = None
+    for name in INTENTS:
+        entity = ANCHOR if name == "copurchase_of_product" else None
+        _, rows = Q.subgraph_rows(g, "copurchase" if entity else name, entity, CATEGORY if name == "top_by_category" else None)
+        rows = materialize(rows, f"rows-{name}")
+        one = SG.subgraph_summary(SG.subgraph_nodes(rows, g.products), SG.subgraph_edges(rows))
+        one = one.select(F.lit(name).alias("intent"), "nodes", "relationships")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ── R: retrieval over a table of questions ───────────────────────────────────────────────────────────────
 # The three routing words map onto three part types of the test data.
 TEST_CATEGORY_MAP = {"juguete": "SMALL", "deporte": "LARGE", "videojuego": "PROMO"}
@@ -598,9 +649,46 @@ answers AS (SELECT r.conv_id, r.turn, r.question, r.intent, r.category, c.contex
             FROM routed r LEFT JOIN contexts c ON r.intent = c.intent AND r.category IS NOT DISTINCT FROM c.category)"""
 
 
-@query("answer_contexts", O.q(ANSWERS_SQL + "\nSELECT * FROM answers"))
+# Every third pair question names a product, every third one that does not exist; some category questions lose
+# their category, and some questions have an intent that no query serves.
+ENTITY_SQL = CTX + ROUTED + f""",
+asked AS (SELECT conv_id, turn, question, CASE WHEN conv_id % 11 = 5 THEN 'weather' ELSE intent END AS intent,
+                 CASE WHEN conv_id % 4 = 0 THEN NULL ELSE category END AS category,
+                 CASE WHEN intent IN ('copurchase', 'similar_to') THEN
+                   CASE conv_id % 3 WHEN 1 THEN conv_id % 50 + 1 WHEN 2 THEN -1 END END AS product_id FROM routed),
+ids AS (SELECT DISTINCT product_id FROM asked WHERE product_id IS NOT NULL AND intent IN ('copurchase', 'similar_to')),
+both_ways AS (
+  SELECT src AS p1, dst AS p2, weight, src_category AS c1, dst_category AS c2 FROM co
+  UNION ALL SELECT dst, src, weight, dst_category, src_category FROM co WHERE src <> dst),
+near AS (SELECT p1, p2, weight, row_number() OVER (PARTITION BY p1 ORDER BY weight DESC, p2) AS rank
+         FROM both_ways JOIN ids ON p1 = product_id WHERE c1 IS NOT NULL AND c2 IS NOT NULL),
+near_rows AS (SELECT n.p1, n.rank, n.weight, a.title, a.bayesian_score AS score, a.avg_stars AS stars,
+                     a.review_count AS reviews, b.title AS title2
+              FROM near n JOIN products a ON n.p1 = a.product_id JOIN products b ON n.p2 = b.product_id WHERE n.rank <= 15),
+near_ctx AS (SELECT p1, string_agg({O.line_sql(True)}, chr(10) ORDER BY rank) AS context FROM near_rows GROUP BY p1)
+SELECT q.conv_id, q.turn, q.question, q.intent, q.category, q.product_id,
+       CASE WHEN i.product_id IS NOT NULL THEN coalesce(n.context, '') ELSE c.context END AS context
+FROM asked q
+LEFT JOIN ids i ON q.intent IN ('copurchase', 'similar_to') AND q.product_id = i.product_id
+LEFT JOIN near_ctx n ON i.product_id = n.p1
+LEFT JOIN contexts c ON c.intent = CASE WHEN q.intent = 'weather' OR (q.intent = 'top_by_category' AND q.category IS NULL)
+                                        THEN 'top_rated' ELSE q.intent END
+  AND c.category IS NOT DISTINCT FROM CASE WHEN q.intent = 'top_by_category' THEN q.category END"""
+
+
+@query("answer_contexts", O.q(ENTITY_SQL))
 def _r3(spark, d):
-    return RT.answer_contexts(routed_questions(spark, d), contexts(spark, d))
+    g = graph(spark, d)
+    k = F.pmod(F.col("conv_id"), F.lit(3))
+    named = F.when(F.col("intent").isin("copurchase", "similar_to"),
+                   F.when(k == 1, F.pmod(F.col("conv_id"), F.lit(50)) + 1).when(k == 2, F.lit(-1)))
+    asked = (
+        routed_questions(spark, d)
+        .withColumn("product_id", named.cast("bigint"))
+        .withColumn("category", F.when(F.pmod(F.col("conv_id"), F.lit(4)) != 0, F.col("category")))
+        .withColumn("intent", F.when(F.pmod(F.col("conv_id"), F.lit(11)) == 5, F.lit("weather")).otherwise(F.col("intent")))
+    )
+    return RT.answer_contexts(asked, contexts(spark, d, g), g)
 
 
 # ── X: scalar and text functions ─────────────────────────────────────────────────────────────────────────
@@ -646,7 +734,7 @@ STARS_RAW_SQL = """CASE (event_id % 6) WHEN 0 THEN CAST(value AS VARCHAR) WHEN 1
 @query("stars_to_int", f"""
 WITH r AS (SELECT event_id, {STARS_RAW_SQL} AS raw FROM events),
 d AS (SELECT event_id, TRY_CAST(trim(raw) AS DOUBLE) AS v FROM r)
-SELECT event_id, coalesce(TRY_CAST(trunc(CASE WHEN isnan(v) THEN 0.0 ELSE coalesce(v, 0.0) END) AS INTEGER), 0) AS stars
+SELECT event_id, coalesce(TRY_CAST(trunc(CASE WHEN isnan(v) THEN 0.0 ELSE coalesce(v, 0.0) END) AS BIGINT), 0) AS stars
 FROM d""")
 def _x4(spark, d):
     e = Tables(spark, d).events
@@ -695,10 +783,14 @@ def _x9(spark, d):
 
 
 @query("edge_width", O.q("""
+, odd AS (SELECT src, dst, CASE WHEN (src + dst) % 5 = 0 THEN NULL ELSE weight - 2 + src % 12 END AS weight FROM co)
 SELECT src, dst, weight, CAST(least(CASE WHEN coalesce(weight, 0) = 0 THEN 1 ELSE weight END, 10) AS BIGINT) AS width
-FROM co"""))
+FROM odd"""))
 def _x10(spark, d):
-    return graph(spark, d).co_purchased.select("src", "dst", "weight", X.edge_width(F.col("weight")).alias("width"))
+    # weights from 0 to beyond the cap, and nulls
+    odd = F.when((F.col("src") + F.col("dst")) % 5 != 0, F.col("weight") - 2 + F.col("src") % 12)
+    co = graph(spark, d).co_purchased.select("src", "dst", odd.alias("weight"))
+    return co.select("src", "dst", "weight", X.edge_width(F.col("weight")).alias("width"))
 
 
 @query("review_year", RAW + "\nSELECT review_id, CAST(year(ts) AS INTEGER) AS year FROM all_reviews")
@@ -741,7 +833,8 @@ def responses(spark, d):
 
 
 @query("unwrap_body", O.q(ANSWERS_SQL + """
-SELECT conv_id, turn, split_part(context, chr(10), 1) AS answer, intent, context, category,
+SELECT conv_id, turn, coalesce(split_part(context, chr(10), 1), '') AS answer, intent,
+       coalesce(context, '') AS context, category,
        CAST(NULL AS VARCHAR) AS error FROM answers"""))
 def _x13(spark, d):
     r = responses(spark, d)
@@ -865,14 +958,36 @@ def _s6(spark, d):
     return lines.filter(F.col("value") != "doc_id\tbody\tlang").select(F.col("value").alias("line"))
 
 
-@query("write_graph_tables", O.q(GRAPH_PARTS_SQL.split("SELECT coalesce")[0] + "\nSELECT name, n FROM parts"))
+@query("write_graph_tables", O.q(GRAPH_PARTS_SQL.split("SELECT coalesce")[0] + """,
+sums AS (
+  SELECT 'Product' AS name, CAST(sum(product_id * review_count + length(coalesce(title, '')) + length(coalesce(category, ''))) AS BIGINT) AS digest FROM products
+  UNION ALL SELECT 'Reviewer', CAST(sum(reviewer_id * n) AS BIGINT) FROM (SELECT reviewer_id, count(*) AS n FROM reviews GROUP BY reviewer_id)
+  UNION ALL SELECT 'Category', CAST(sum(length(name)) AS BIGINT) FROM categories
+  UNION ALL SELECT 'REVIEWED', CAST(sum(reviewer_id * 7 + product_id * 3 + review_id * stars) AS BIGINT) FROM reviews
+  UNION ALL SELECT 'CO_PURCHASED', CAST(sum(src * 7 + dst * 3 + weight * CASE WHEN cross_cat THEN 11 ELSE 5 END) AS BIGINT) FROM co
+  UNION ALL SELECT 'BELONGS_TO', CAST(sum(src * length(dst)) AS BIGINT) FROM belongs_to
+  UNION ALL SELECT 'ACTIVE_IN', CAST(sum(reviewer_id * length(category) * n) AS BIGINT) FROM
+    (SELECT reviewer_id, category, count(*) AS n FROM reviews WHERE category <> '' GROUP BY ALL))
+SELECT p.name, p.n, s.digest FROM parts p JOIN sums s ON p.name = s.name"""))
 def _s7(spark, d):
-    g = graph(spark, d)
+    """Counts and a content digest of every stored table, read back from storage."""
     base = scratch_path(spark, "graph")
-    GS.write_graph_tables(g, base)
+    GS.write_graph_tables(graph(spark, d), base)
+    digests = {
+        "Product": F.col("product_id") * F.col("review_count") + F.length(F.coalesce("title", F.lit("")))
+        + F.length(F.coalesce("category", F.lit(""))),
+        "Reviewer": F.col("reviewer_id") * F.col("review_count"),
+        "Category": F.length("name"),
+        "REVIEWED": F.col("src") * 7 + F.col("dst") * 3 + F.col("review_id") * F.col("stars"),
+        "CO_PURCHASED": F.col("src") * 7 + F.col("dst") * 3 + F.col("weight") * F.when(F.col("cross_cat"), 11).otherwise(5),
+        "BELONGS_TO": F.col("src") * F.length("dst"),
+        "ACTIVE_IN": F.col("src") * F.length("dst") * F.col("review_count"),
+    }
     out = None
     for name in GS.LAYOUT:
-        c = GS.scan(spark, base, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        c = GS.scan(spark, base, name).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(digests[name].cast("bigint")).alias("digest")
+        ).select(F.lit(name).alias("name"), "n", "digest")
         out = c if out is None else out.unionByName(c)
     return out
 
@@ -884,8 +999,32 @@ SELECT CAST(count(*) AS BIGINT) AS input,
 FROM documents""")
 def _s8(spark, d):
     path = dirty_csv(spark, d)
-    return S.cleaning_report(S.read_csv_all_records(spark, path, CSV_SCHEMA),
-                             S.read_csv_strict_arity(spark, path, ["doc_id", "body", "lang"]))
+    report = scratch_path(spark, "cleaning-report")
+    S.write_report(S.cleaning_report(S.read_csv_all_records(spark, path, ["doc_id", "body", "lang"])), report)
+    return spark.read.schema("input long, kept long, dropped long").json(report)
+
+
+@query("clean_to_graph", O.q("SELECT * FROM products"))
+def _s_chain(spark, d):
+    """The whole way from raw files: every review as a raw CSV record with its columns in another order (and one
+    record of a wrong arity after every 50th), cleaned, reloaded and built into product nodes."""
+    from ..sources import review_export as RE
+
+    r = reviews(spark, d)
+
+    def quoted(c):
+        return F.concat(F.lit('"'), X.double_quotes(F.col(c).cast("string")), F.lit('"'))
+
+    header = ["reviewer_id", "review_date", "product_category", "stars", "product_title", "review_id", "unused", "product_id"]
+    values = [F.col("reviewer_id").cast("string"), F.col("ts").cast("string"), quoted("category"), F.col("stars").cast("string"),
+              quoted("title"), F.col("review_id").cast("string"), F.lit("x"), F.col("product_id").cast("string")]
+    line = F.concat_ws(",", *values)
+    broken = F.when(F.pmod(F.col("review_id"), F.lit(50)) == 1, F.concat(line, F.lit("\n1,2,3"))).otherwise(line)
+    raw, tsv = scratch_path(spark, "raw-reviews"), scratch_path(spark, "clean-reviews")
+    S.write_lines_with_header(r.select(broken), ",".join(header), raw)
+    RE.clean_reviews(spark, raw, tsv, scratch_path(spark, "clean-report"))
+    loaded = RE.reviews_from_tsv(spark, tsv, "bigint")
+    return build_graph(loaded, materialize=True, bot_min_reviews=BOT_TEST[0], bot_min_ratio=BOT_TEST[1]).products
 
 
 # ── ST: streaming reload ─────────────────────────────────────────────────────────────────────────────────
@@ -909,12 +1048,11 @@ def _st1(spark, d):
     base = scratch_path(spark, "reload")
     deliveries, table, ckpt = f"{base}/deliveries", f"{base}/table", f"{base}/_checkpoint"
     schema = li.select(*RAW_ROW_COLUMNS).schema
-    latest = None
+    t = None
     for n, part in enumerate([~finished, finished, finished], start=1):
         li.filter(part).select(*RAW_ROW_COLUMNS).write.parquet(ST.delivery_path(deliveries, n))
-        latest = ST.run_reload(spark, deliveries, schema, table, ckpt,
-                               ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_shipdate"])
-    t = spark.read.parquet(latest)
+        t = ST.run_reload(spark, deliveries, schema, table, ckpt,
+                          ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_shipdate"])
     return t.select(
         R.review_key(F.col("l_orderkey"), F.col("l_linenumber")).alias("review_id"),
         F.col("l_partkey").alias("product_id"), "l_suppkey", F.col("l_shipdate").alias("ts"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import blank_to_null, num_text, table_title
+from ..functions.text import blank_to_null, num_text, strip, table_title
 from ..operators.graph import ReviewGraph
 from . import intents as Q
 
@@ -164,8 +164,8 @@ def parse_context(contexts: DataFrame, context_col: str = "context", keep: list[
     parts = F.transform(
         F.split(F.col("line"), "[|]"),
         lambda p: F.struct(
-            F.trim(F.regexp_extract(p, "^([^:]*)", 1)).alias("k"),
-            F.trim(F.regexp_extract(p, "^[^:]*:(.*)$", 1)).alias("v"),
+            strip(F.regexp_extract(p, "^([^:]*)", 1)).alias("k"),
+            strip(F.regexp_extract(p, "(?s)^[^:]*:(.*)$", 1)).alias("v"),
         ),
     )
 
@@ -183,25 +183,77 @@ def parse_context(contexts: DataFrame, context_col: str = "context", keep: list[
 
 
 # ── R3 ───────────────────────────────────────────────────────────────────────────────────────────────────
-def answer_contexts(routed: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Every routed question joined to the context of its (intent, category) – a left equi-join on the
-    intent with a null-safe category match; the context table is small (one row per intent/category)."""
+PAIR_INTENTS = ("copurchase", "similar_to")
+SERVED_INTENTS = ("top_rated", "generic", "top_by_category", "category_affinity", "combined_score", *PAIR_INTENTS)
+
+
+def entity_contexts(g: ReviewGraph, ids: DataFrame, k: int = 15) -> DataFrame:
+    """The co-purchase context of every product id in ``ids.item``: ``item, context``, for ids that have neighbours.
+
+    The edges of all ids are fetched at once (``ReviewGraph.anchored_edges``) and ranked per id with a group limit.
+    """
+    from pyspark.sql import Window
+
+    per_item = Window.partitionBy("src").orderBy(F.col("weight").desc(), F.col("dst").asc())
+    top = (
+        g.anchored_edges(ids.select("item"))
+        .filter(F.col("src_category").isNotNull() & F.col("dst_category").isNotNull())
+        .withColumn("rank", F.row_number().over(per_item))
+        .filter(F.col("rank") <= F.lit(k))
+        .select("src", "dst", "weight", "rank")
+    )
+    p = g.products
+    one = p.select(
+        F.col("product_id").alias("__p1"), "title", F.col("bayesian_score").alias("score"),
+        F.col("avg_stars").alias("stars"), F.col("review_count").alias("reviews"),
+    )
+    two = p.select(F.col("product_id").alias("__p2"), F.col("title").alias("title2"))
+    rows = top.join(one, F.col("src") == F.col("__p1")).join(two, F.col("dst") == F.col("__p2"))
+    lines = rows.select(
+        F.col("src").alias("item"), "rank",
+        context_line("title", "score", "stars", "reviews", "title2", "weight").alias("line"),
+    )
+    return build_context(lines, ["item"])
+
+
+def answer_contexts(routed: DataFrame, contexts: DataFrame, g: ReviewGraph | None = None) -> DataFrame:
+    """Every routed question with its context.
+
+    A pair intent (``copurchase``, ``similar_to``) with a ``product_id`` gets that product's neighbours (empty text
+    if it has none; needs ``g``).  Every other question is joined to the context of its (intent, category), after
+    the fallback of the dispatch: a category question without a category, or an intent that no query serves, reads
+    the top rated products.  The context tables are small next to the questions.
+    """
+    served = F.col("intent").isin(*SERVED_INTENTS) & ~((F.col("intent") == "top_by_category") & F.col("category").isNull())
+    of = routed.select(
+        *routed.columns,
+        F.when(F.coalesce(served, F.lit(False)), F.col("intent")).otherwise(F.lit("top_rated")).alias("__want"),
+        F.when(F.col("intent") == "top_by_category", F.col("category")).alias("__cat"),
+    )
     c = contexts.select(F.col("intent").alias("__i"), F.col("category").alias("__c"), "context")
-    return routed.join(
-        c, (routed.intent == c.__i) & routed.category.eqNullSafe(c.__c), "left"
-    ).drop("__i", "__c")
+    general = of.join(c, (F.col("__want") == F.col("__i")) & F.col("__cat").eqNullSafe(F.col("__c")), "left")
+    general = general.drop("__i", "__c", "__want", "__cat")
+    if g is None or "product_id" not in routed.columns:
+        return general
+    named = F.col("intent").isin(*PAIR_INTENTS) & F.col("product_id").isNotNull()
+    ids = routed.filter(named).select(F.col("product_id").alias("item")).distinct()
+    near = entity_contexts(g, ids).select("item", F.col("context").alias("__near"))
+    return general.join(near, F.col("product_id") == F.col("item"), "left").select(
+        *routed.columns,
+        F.when(F.coalesce(named, F.lit(False)), F.coalesce(F.col("__near"), F.lit(""))).otherwise(F.col("context")).alias("context"),
+    )
 
 
 # ── X13 / X14 ────────────────────────────────────────────────────────────────────────────────────────────
 def build_request(df: DataFrame, question: str = "question", product_id: str | None = None,
                   category: str | None = None) -> Column:
-    """The request body: ``question``, the trimmed ``product_id`` unless blank, ``category`` if present
+    """The request body: ``question``, the trimmed ``product_id`` unless blank, ``category`` unless empty
     (``to_json`` leaves null fields out)."""
     fields = [F.col(question).alias("question")]
     if product_id is not None:
         fields.append(blank_to_null(F.col(product_id).cast("string")).alias("product_id"))
     if category is not None:
-        fields.append(F.col(category).alias("category"))
+        fields.append(F.nullif(F.col(category), F.lit("")).alias("category"))
     return F.to_json(F.struct(*fields))
 
 
@@ -209,14 +261,14 @@ def unwrap_body(raw: Column) -> Column:
     """A gateway response → struct(answer, intent, context, category, error).
 
     Uses ``body`` when present (an object, or a JSON string holding one), else the whole object;
-    the intent defaults to ``generic``.
+    the intent defaults to ``generic``, and without an error ``answer`` and ``context`` default to empty text.
     """
     body = F.coalesce(F.get_json_object(raw, "$.body"), raw)
     s = F.from_json(body, RESPONSE_SCHEMA)
     return F.struct(
-        s["answer"].alias("answer"),
+        F.when(s["error"].isNull(), F.coalesce(s["answer"], F.lit(""))).otherwise(s["answer"]).alias("answer"),
         F.coalesce(s["intent"], F.lit("generic")).alias("intent"),
-        s["context"].alias("context"),
+        F.when(s["error"].isNull(), F.coalesce(s["context"], F.lit(""))).otherwise(s["context"]).alias("context"),
         s["category"].alias("category"),
         s["error"].alias("error"),
     )

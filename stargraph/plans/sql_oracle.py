@@ -6,6 +6,9 @@ casts round), null order is always explicit (DuckDB sorts nulls last by default,
 """
 from __future__ import annotations
 
+# biting bot parameters for the test data (library default: > 500 reviews, ratio > 0.95)
+BOT_TEST = (40, 0.3)
+
 # keyed upsert over the raw deliveries: first row per review key by (l_partkey, l_suppkey, l_shipdate)
 RAW_REVIEWS = """
 li AS (
@@ -36,7 +39,7 @@ GRAPH = (
     "WITH "
     + RAW_REVIEWS
     + ","
-    + bots_cte()
+    + bots_cte(*BOT_TEST)
     + """,
 reviews AS (SELECT * FROM all_reviews WHERE reviewer_id NOT IN (SELECT reviewer_id FROM bots)),
 pstats AS (
@@ -58,7 +61,7 @@ pairs AS (
   GROUP BY a.item, b.item),
 co AS (
   SELECT e.src, e.dst, e.weight, c1.dst AS src_category, c2.dst AS dst_category,
-         c1.dst IS DISTINCT FROM c2.dst AS cross_cat
+         coalesce(c1.dst <> c2.dst, false) AS cross_cat
   FROM pairs e LEFT JOIN belongs_to c1 ON e.src = c1.src LEFT JOIN belongs_to c2 ON e.dst = c2.src
   WHERE e.weight >= 2),
 und AS (
@@ -153,10 +156,14 @@ pr AS (SELECT DISTINCT reviewer_id, product_id FROM all_reviews),
 paths AS (SELECT a.product_id AS pid, a.reviewer_id, b.product_id AS other_id
           FROM pr a JOIN pr b ON a.reviewer_id = b.reviewer_id AND b.product_id <> a.product_id
           WHERE a.product_id = {pid}),
-rv AS (SELECT product_id, review_id, reviewer_id AS author_id FROM all_reviews WHERE product_id = {pid})
-SELECT p.pid, p.reviewer_id, p.other_id, r.review_id, coalesce(r.author_id = p.reviewer_id, false) AS wrote
-FROM paths p LEFT JOIN rv r ON p.pid = r.product_id
-ORDER BY p.reviewer_id, p.other_id, r.review_id ASC NULLS FIRST LIMIT {k}"""
+rv AS (SELECT product_id, review_id, reviewer_id AS author_id FROM all_reviews WHERE product_id = {pid}),
+sim AS (SELECT a.product_id AS of_id, b.product_id AS sim_id, CAST(count(*) AS BIGINT) AS sim_weight
+        FROM pr a JOIN pr b ON a.reviewer_id = b.reviewer_id AND b.product_id > a.product_id
+        WHERE a.product_id = {pid} GROUP BY ALL)
+SELECT p.pid, p.reviewer_id, p.other_id, r.review_id, coalesce(r.author_id = p.reviewer_id, false) AS wrote,
+       s.sim_id, s.sim_weight
+FROM paths p LEFT JOIN rv r ON p.pid = r.product_id LEFT JOIN sim s ON p.pid = s.of_id
+ORDER BY p.reviewer_id, p.other_id, r.review_id ASC NULLS FIRST, s.sim_id ASC NULLS FIRST LIMIT {k}"""
 
 
 # ── CTE builders for rows with a rank (subgraph assembly, retrieval contexts) ───────────────────────────

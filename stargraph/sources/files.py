@@ -33,6 +33,26 @@ def _schema(columns: T.StructType | Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
+def header_columns(spark: SparkSession, path: str | list[str]) -> list[str]:
+    """The column names in the first line of the export (read without a pass over the data)."""
+    return spark.read.options(header=True, escape='"', inferSchema=False).csv(path).columns
+
+
+def _file_schema(spark: SparkSession, path, wanted: T.StructType, header: bool) -> T.StructType:
+    """The wanted fields in the file's own order, other columns as text; without a header as given."""
+    if not header:
+        return wanted
+    types = {f.name: f.dataType for f in wanted.fields}
+    return T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header_columns(spark, path)])
+
+
+def _named(df: DataFrame, wanted: T.StructType) -> DataFrame:
+    """The wanted columns by name; one that the file lacks is null."""
+    return df.select(*[
+        F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in wanted.fields
+    ])
+
+
 def field_count(record: Column) -> Column:
     """Fields of a raw CSV record: commas outside quoted sections, plus one.
 
@@ -49,9 +69,11 @@ def read_csv_tolerant(
 ) -> DataFrame:
     """Tolerant CSV read – keep short rows (padded with null), skip rows with too many fields.
 
-    ``na_values`` lists texts read as missing (the empty field always is).
+    ``na_values`` lists texts read as missing (the empty field always is).  With a header the columns are matched
+    by name.
     """
-    schema = _schema(columns)
+    wanted = _schema(columns)
+    schema = _file_schema(spark, path, wanted, header)
     n = len(schema.fields)
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     df = (
@@ -60,19 +82,20 @@ def read_csv_tolerant(
         .schema(with_corrupt).csv(path)
     )
     kept = df.filter(F.col(CORRUPT).isNull() | (field_count(F.col(CORRUPT)) <= F.lit(n))).drop(CORRUPT)
+    kept = _named(kept, wanted)
     extra = [v for v in na_values if v != ""]
     if extra:
         kept = kept.select(*[
             F.when(F.col(f.name).cast("string").isin(extra), F.lit(None).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name)
             if isinstance(f.dataType, T.StringType) else F.col(f.name)
-            for f in schema.fields
+            for f in wanted.fields
         ])
     return kept
 
 
 def read_csv_all_records(spark: SparkSession, path, columns, header: bool = True) -> DataFrame:
-    """Every record of a CSV file, malformed ones included (the input side of a cleaning report)."""
-    schema = _schema(columns)
+    """Every record of a CSV file, malformed ones included and marked (the input of a cleaning report)."""
+    schema = _file_schema(spark, path, _schema(columns), header)
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     return (
         spark.read.options(header=header, multiLine=True, escape='"', mode="PERMISSIVE",
@@ -82,21 +105,37 @@ def read_csv_all_records(spark: SparkSession, path, columns, header: bool = True
 
 
 def read_csv_strict_arity(spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True) -> DataFrame:
-    """Only records whose field count equals the header's; every field as text; undecodable bytes
-    (read as U+FFFD) are dropped from the values."""
+    """Only records whose field count equals the header's; every field as text, columns matched by name;
+    undecodable bytes (read as U+FFFD) are dropped from the values."""
+    wanted = _schema(list(columns))
+    schema = _file_schema(spark, path, wanted, header)
     df = (
-        spark.read.options(header=header, multiLine=True, escape='"', mode="DROPMALFORMED", encoding="UTF-8")
-        .schema(_schema(list(columns))).csv(path)
+        spark.read.options(header=header, multiLine=True, escape='"', mode="DROPMALFORMED", encoding="UTF-8", columnPruning=False)
+        .schema(schema).csv(path)
     )
+    df = _named(df, wanted)
     return df.select(*[F.regexp_replace(F.col(c), REPLACEMENT_CHAR, "").alias(c) for c in columns])
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
-    """S3: JSON-lines records with an explicit schema (no inference pass), keeping only ``columns``."""
-    df = spark.read.schema(schema).json(path)
+    """S3: JSON-lines records with an explicit schema (no inference pass), keeping only ``columns``.
+
+    Lines that are not JSON are dropped (``count_jsonl`` counts them).
+    """
+    df = _all_json(spark, path, schema).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     return df.select(*columns) if columns else df
 
 
+def _all_json(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    return spark.read.options(mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT).schema(with_corrupt).json(path)
+
+
+def count_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """``input, kept, dropped`` of ``read_jsonl``."""
+    return _report(_all_json(spark, path, schema), F.col(CORRUPT).isNull())
+
+
 def read_tsv(spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True) -> DataFrame:
     """The unquoted, backslash-escaped TSV written by ``write_tsv_noquote`` (values cleaned by X1, so
     without tabs or line breaks).  Fields are read raw and unescaped afterwards (``\\x`` → ``x``)."""
@@ -117,25 +156,16 @@ def tsv_escape(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r'([\\\t\r\n"])', r"\\$1")
 
 
-def _prepend_header(header: str):
-    def run(batches):
-        import pyarrow as pa
-
-        first = True
-        for batch in batches:
-            if first:
-                typ = batch.schema.field(0).type
-                yield pa.RecordBatch.from_arrays([pa.array([header], type=typ)], schema=batch.schema)
-                first = False
-            yield batch
-
-    return run
-
-
 def write_lines_with_header(lines: DataFrame, header: str, path: str, mode: str = "errorifexists") -> None:
-    """Text files whose first line is ``header`` (one per written file, i.e. per non-empty partition)."""
-    out = lines.toDF("value").mapInArrow(_prepend_header(header), "value string")
-    out.write.mode(mode).text(path)
+    """Text files whose first line is ``header``: one file per task (``maxRecordsPerFile`` is switched off for this
+    write, whatever the session says), the header in front of the task's first line.  An empty frame writes one
+    file with the header alone."""
+    line = F.coalesce(F.col(lines.columns[0]), F.lit(""))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # the row number inside the task
+    headed = lines.select(F.when(first, F.concat(F.lit(header + "\n"), line)).otherwise(line).alias("value"))
+    if lines.isEmpty():
+        headed = lines.sparkSession.range(1).coalesce(1).select(F.lit(header).alias("value"))
+    headed.write.mode(mode).option("maxRecordsPerFile", 0).text(path)
 
 
 def write_tsv_noquote(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -145,10 +175,19 @@ def write_tsv_noquote(df: DataFrame, path: str, mode: str = "errorifexists") ->
     write_lines_with_header(df.select(line), "\t".join(df.columns), path, mode)
 
 
-def cleaning_report(all_records: DataFrame, kept: DataFrame) -> DataFrame:
-    """``input, kept, dropped`` of one cleaning run (two counts as scalar subqueries, one row)."""
-    n_in = all_records.agg(F.count(F.lit(1))).scalar()
-    n_kept = kept.agg(F.count(F.lit(1))).scalar()
-    return kept.sparkSession.range(1).select(
-        n_in.alias("input"), n_kept.alias("kept"), (n_in - n_kept).alias("dropped")
-    )
+def _report(records: DataFrame, keep: Column) -> DataFrame:
+    first = F.col(records.columns[0])  # Spark reads the corrupt-record column only together with another one
+    counted = records.select(keep.alias("keep"), first.isNull().alias("none"))
+    return counted.agg(
+        F.count("none").alias("input"), F.count(F.when(F.col("keep"), F.col("none"))).alias("kept")
+    ).withColumn("dropped", F.col("input") - F.col("kept"))
+
+
+def cleaning_report(all_records: DataFrame) -> DataFrame:
+    """``input, kept, dropped`` of a strict cleaning run, in one pass over ``read_csv_all_records``."""
+    return _report(all_records, F.col(CORRUPT).isNull())
+
+
+def write_report(report: DataFrame, path: str, mode: str = "append") -> None:
+    """S8's sink: the report's rows as JSON lines (one file a run, so that runs add up)."""
+    report.coalesce(1).write.mode(mode).json(path)

@@ -1,13 +1,20 @@
 """Graph table storage (S7) and label / relationship scans.
 
-Products are partitioned by category (a category filter prunes whole folders); CO_PURCHASED is sorted by
-``src`` within each file so that parquet min/max statistics skip row groups for an anchored lookup.
+Products are partitioned by category (a category filter prunes whole folders); every category is written by one
+group of tasks, not by every task.  CO_PURCHASED is stored in both directions, each range-partitioned and sorted
+by its first endpoint, so an anchored lookup opens the few files whose range holds the id.  Tables are read with
+the schema that was written next to them, so a category that looks like a number stays text.
 """
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.graph import ReviewGraph
+from ..operators.patterns import reverse_edges
 
 # label / relationship type → (table folder, partition columns)
 LAYOUT = {
@@ -19,26 +26,35 @@ LAYOUT = {
     "BELONGS_TO": ("belongs_to", []),
     "ACTIVE_IN": ("active_in", []),
 }
+REVERSED = "co_purchased_reversed"
+REVIEWS = "reviews"
 
 
 def _frames(g: ReviewGraph) -> dict[str, DataFrame]:
     return {
         "Product": g.products, "Reviewer": g.reviewers, "Category": g.categories, "REVIEWED": g.reviewed,
-        "CO_PURCHASED": g.co_purchased.sortWithinPartitions("src"), "BELONGS_TO": g.belongs_to,
-        "ACTIVE_IN": g.active_in,
+        "CO_PURCHASED": g.co_purchased, "BELONGS_TO": g.belongs_to, "ACTIVE_IN": g.active_in,
     }
 
 
-def _write(df: DataFrame, base: str, name: str, mode: str) -> str:
-    folder, parts = LAYOUT[name]
+def _write(df: DataFrame, base: str, folder: str, mode: str, parts: list[str] = (), ranged: str | None = None) -> str:
     path = f"{base.rstrip('/')}/{folder}"
-    w = df.write.mode(mode)
+    out = df.repartitionByRange(ranged).sortWithinPartitions(ranged) if ranged else df
     if parts:
-        w = w.partitionBy(*parts)
-    w.parquet(path)
+        out = out.repartition(*parts).sortWithinPartitions(*parts)
+    writer = out.write.mode(mode)
+    (writer.partitionBy(*parts) if parts else writer).parquet(path)
+    spark = df.sparkSession
+    spark.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{path}_schema")
     return path
 
 
+def _read(spark: SparkSession, base: str, folder: str) -> DataFrame:
+    path = f"{base.rstrip('/')}/{folder}"
+    schema = T.StructType.fromJson(json.loads(spark.read.text(f"{path}_schema").first()[0]))
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
 def write_graph_tables(g: ReviewGraph, base: str, mode: str = "errorifexists") -> dict[str, str]:
     """One parquet table per node label and relationship type under ``base``; returns their paths.
 
@@ -47,21 +63,22 @@ def write_graph_tables(g: ReviewGraph, base: str, mode: str = "errorifexists") -
     all reviews runs once instead of once per table.  The copy is read with the written schema: partition
     type inference must not turn a category name that looks like a number into a number.
     """
-    paths = {"Product": _write(g.products, base, "Product", mode)}
+    folder, parts = LAYOUT["Product"]
+    paths = {"Product": _write(g.products, base, folder, mode, parts)}
     if not g.is_given("products"):
-        spark = g.products.sparkSession
-        stored = spark.read.schema(g.products.schema).parquet(paths["Product"])
-        g = g.with_tables(products=stored.select(*g.products.columns))
+        g = g.with_tables(products=_read(g.products.sparkSession, base, folder))
     for name, df in _frames(g).items():
         if name != "Product":
-            paths[name] = _write(df, base, name, mode)
+            paths[name] = _write(df, base, LAYOUT[name][0], mode, ranged="src" if name == "CO_PURCHASED" else None)
+    stored = scan(g.products.sparkSession, base, "CO_PURCHASED")
+    _write(reverse_edges(stored), base, REVERSED, mode, ranged="src")
+    _write(g.reviews, base, REVIEWS, mode)
     return paths
 
 
 def scan(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The stored table of one node label or relationship type."""
-    folder, _ = LAYOUT[name]
-    return spark.read.parquet(f"{base.rstrip('/')}/{folder}")
+    return _read(spark, base, LAYOUT[name][0])
 
 
 def scan_nodes(spark: SparkSession, base: str, label: str) -> DataFrame:
@@ -73,9 +90,10 @@ def scan_edges(spark: SparkSession, base: str, rel_type: str) -> DataFrame:
 
 
 def load_graph(spark: SparkSession, base: str) -> ReviewGraph:
-    """A ``ReviewGraph`` over stored tables (``reviews`` is the REVIEWED edge table)."""
+    """A ``ReviewGraph`` over stored tables."""
     return ReviewGraph(
-        reviews=scan(spark, base, "REVIEWED"),
+        reviews=_read(spark, base, REVIEWS),
+        co_purchased_reversed=_read(spark, base, REVERSED),
         products=scan(spark, base, "Product"),
         reviewers=scan(spark, base, "Reviewer"),
         categories=scan(spark, base, "Category"),
