@@ -1,3 +1,5 @@
+"""Folders of the test tables, and a DuckDB connection over one of them."""
+import duckdb
 import pytest
 
 from stargraph.sources.tables import TABLES
@@ -17,8 +19,6 @@ def sf_mid():
 
 @pytest.fixture(scope="session")
 def duck_mid():
-    import duckdb
-
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{MID}/{t}.parquet')")

@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from llm_data import sf_mid  # noqa: F401
 from stargraph.llm import decontaminate, fingerprint, langid, line_dedup, mixing, quality, queries, secrets, simhash, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"

@@ -5,6 +5,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
+from llm_data import duck_mid, sf_mid, sf_small  # noqa: F401
 from stargraph.llm import queries
 from stargraph.testing import compare
 from test_operators import brute_hits, brute_lines, brute_simhash, brute_targets
