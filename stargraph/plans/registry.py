@@ -893,13 +893,13 @@ def dirty_csv(spark, d) -> str:
 SELECT doc_id, text AS body, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE lang END AS lang
 FROM documents WHERE doc_id % 7 NOT IN (1, 2)""")
 def _s1(spark, d):
-    return S.read_csv_tolerant(spark, dirty_csv(spark, d), CSV_SCHEMA)
+    return S.read_csv_tolerant(spark, dirty_csv(spark, d), CSV_SCHEMA, split=True)
 
 
 @query("read_csv_strict_arity", """
 SELECT CAST(doc_id AS VARCHAR) AS doc_id, text AS body, lang FROM documents WHERE doc_id % 7 NOT IN (0, 1, 2)""")
 def _s2(spark, d):
-    return S.read_csv_strict_arity(spark, dirty_csv(spark, d), ["doc_id", "body", "lang"])
+    return S.read_csv_strict_arity(spark, dirty_csv(spark, d), ["doc_id", "body", "lang"], split=True)
 
 
 EVENT_SCHEMA = T.StructType([
@@ -1000,7 +1000,7 @@ FROM documents""")
 def _s8(spark, d):
     path = dirty_csv(spark, d)
     report = scratch_path(spark, "cleaning-report")
-    S.write_report(S.cleaning_report(S.read_csv_all_records(spark, path, ["doc_id", "body", "lang"])), report)
+    S.write_report(S.cleaning_report(S.read_csv_all_records(spark, path, ["doc_id", "body", "lang"], split=True)), report)
     return spark.read.schema("input long, kept long, dropped long").json(report)
 
 

@@ -7,14 +7,15 @@ Three meanings of a "bad" CSV line exist in the reference, and each reader keeps
 * blank lines vanish in both.
 
 Spark's CSV reader flags short *and* long rows as corrupt in PERMISSIVE mode, so S1 counts the fields of a
-flagged record itself (commas outside quoted sections + 1).  Multi-line quoted fields need ``multiLine``,
-which reads each file in one task: keep export files at a few hundred MB so the read stays parallel.
+flagged record itself (commas outside quoted sections + 1).  Quoted fields may hold line breaks, which Spark reads
+with ``multiLine``, one task per file.  With ``split=True`` the readers cut a file into blocks instead
+(``csv_records``); that needs quoting by the rule (a quote only opens, closes or is doubled inside a quoted field).
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,9 +64,59 @@ def field_count(record: Column) -> Column:
     return F.length(F.regexp_replace(unquoted, "[^,]", "")) + F.lit(1)
 
 
+def csv_records(spark: SparkSession, path: str | list[str], header: bool = True) -> DataFrame:
+    """``record``: the records of CSV files as text, read in blocks however large a file is.
+
+    A line starts a record where the number of quotes before it is even.  The quotes are counted per block, summed
+    over the few blocks of a file, and counted on inside each block; a record that reaches into the next blocks
+    belongs to the block that it starts in.  Windows run per block (``spark.sql.files.maxPartitionBytes`` at most).
+    """
+    value = F.col("value")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        value, F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+        F.monotonically_increasing_id().alias("i"),  # only its order inside a block counts
+        (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))).alias("q"),
+    )
+    earlier = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    opened = lines.groupBy("f", "b").agg(F.sum("q").alias("q")).select(
+        "f", "b", F.coalesce(F.sum("q").over(earlier), F.lit(0)).alias("q0")
+    )
+    inside = Window.partitionBy("f", "b").orderBy("i")
+    before = F.col("q0") + F.coalesce(F.sum("q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = (
+        lines.join(opened, ["f", "b"])
+        .withColumn("starts", (before % 2 == 0).cast("int"))
+        .withColumn("n", F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    )
+    last = numbered.groupBy("f", "b").agg(F.max("n").alias("n")).withColumn(
+        "open", F.last(F.when(F.col("n") > 0, F.struct("b", "n")), ignorenulls=True).over(earlier)
+    )
+    owner = numbered.join(last.select("f", "b", "open"), ["f", "b"]).select(
+        "f", "b", "i", "value",
+        F.when(F.col("n") > 0, F.struct("b", "n")).otherwise(F.col("open")).alias("of"),
+    )
+    records = owner.groupBy("f", "of").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "i", "value"))), lambda x: x["value"]), "\n").alias("record")
+    )
+    if header:
+        records = records.filter((F.col("of.b") != 0) | (F.col("of.n") != 1))
+    text = F.regexp_replace("record", "\r$", "")  # of a CRLF line end
+    return records.select(text.alias("record")).filter(F.trim("record") != "")
+
+
+def _flagged(spark: SparkSession, path, schema: T.StructType, header: bool, split: bool) -> DataFrame:
+    """All records under ``schema``, those that do not fit it marked in ``_corrupt_record``."""
+    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    options = dict(escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
+    if not split:
+        return spark.read.options(header=header, multiLine=True, **options).schema(with_corrupt).csv(path)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_corrupt.fields)
+    return csv_records(spark, path, header).select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
+
+
 def read_csv_tolerant(
     spark: SparkSession, path: str | list[str], columns: T.StructType | Sequence[str], header: bool = True,
-    na_values: Sequence[str] = ("",),
+    na_values: Sequence[str] = ("",), split: bool = False,
 ) -> DataFrame:
     """Tolerant CSV read – keep short rows (padded with null), skip rows with too many fields.
 
@@ -75,13 +126,9 @@ def read_csv_tolerant(
     wanted = _schema(columns)
     schema = _file_schema(spark, path, wanted, header)
     n = len(schema.fields)
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    df = (
-        spark.read.options(header=header, multiLine=True, escape='"', mode="PERMISSIVE",
-                           columnNameOfCorruptRecord=CORRUPT)
-        .schema(with_corrupt).csv(path)
-    )
-    kept = df.filter(F.col(CORRUPT).isNull() | (field_count(F.col(CORRUPT)) <= F.lit(n))).drop(CORRUPT)
+    df = _flagged(spark, path, schema, header, split)
+    fits = F.col(CORRUPT).isNull() | (field_count(F.col(CORRUPT)) <= F.lit(n))
+    kept = df.filter(fits & _with_first(df)).drop(CORRUPT)
     kept = _named(kept, wanted)
     extra = [v for v in na_values if v != ""]
     if extra:
@@ -93,27 +140,19 @@ def read_csv_tolerant(
     return kept
 
 
-def read_csv_all_records(spark: SparkSession, path, columns, header: bool = True) -> DataFrame:
+def read_csv_all_records(spark: SparkSession, path, columns, header: bool = True, split: bool = False) -> DataFrame:
     """Every record of a CSV file, malformed ones included and marked (the input of a cleaning report)."""
-    schema = _file_schema(spark, path, _schema(columns), header)
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    return (
-        spark.read.options(header=header, multiLine=True, escape='"', mode="PERMISSIVE",
-                           columnNameOfCorruptRecord=CORRUPT)
-        .schema(with_corrupt).csv(path)
-    )
+    return _flagged(spark, path, _file_schema(spark, path, _schema(columns), header), header, split)
 
 
-def read_csv_strict_arity(spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True) -> DataFrame:
+def read_csv_strict_arity(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True, split: bool = False
+) -> DataFrame:
     """Only records whose field count equals the header's; every field as text, columns matched by name;
     undecodable bytes (read as U+FFFD) are dropped from the values."""
     wanted = _schema(list(columns))
-    schema = _file_schema(spark, path, wanted, header)
-    df = (
-        spark.read.options(header=header, multiLine=True, escape='"', mode="DROPMALFORMED", encoding="UTF-8", columnPruning=False)
-        .schema(schema).csv(path)
-    )
-    df = _named(df, wanted)
+    df = _flagged(spark, path, _file_schema(spark, path, wanted, header), header, split)
+    df = _named(df.filter(F.col(CORRUPT).isNull() & _with_first(df)).drop(CORRUPT), wanted)
     return df.select(*[F.regexp_replace(F.col(c), REPLACEMENT_CHAR, "").alias(c) for c in columns])
 
 
@@ -122,7 +161,8 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType,
 
     Lines that are not JSON are dropped (``count_jsonl`` counts them).
     """
-    df = _all_json(spark, path, schema).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    df = _all_json(spark, path, schema)
+    df = df.filter(F.col(CORRUPT).isNull() & _with_first(df)).drop(CORRUPT)
     return df.select(*columns) if columns else df
 
 
@@ -175,11 +215,16 @@ def write_tsv_noquote(df: DataFrame, path: str, mode: str = "errorifexists") ->
     write_lines_with_header(df.select(line), "\t".join(df.columns), path, mode)
 
 
+def _with_first(df: DataFrame) -> Column:
+    """Always true, but it reads the first column: Spark refuses to read the corrupt-record column alone, which is
+    what is left when a caller only counts rows."""
+    first = F.col(f"`{df.columns[0]}`")
+    return first.isNull() | (F.length(F.to_json(F.struct(first))) >= 0)
+
+
 def _report(records: DataFrame, keep: Column) -> DataFrame:
-    first = F.col(records.columns[0])  # Spark reads the corrupt-record column only together with another one
-    counted = records.select(keep.alias("keep"), first.isNull().alias("none"))
-    return counted.agg(
-        F.count("none").alias("input"), F.count(F.when(F.col("keep"), F.col("none"))).alias("kept")
+    return records.agg(
+        F.count(F.lit(1)).alias("input"), F.count(F.when(keep & _with_first(records), F.lit(1))).alias("kept")
     ).withColumn("dropped", F.col("input") - F.col("kept"))
 
 

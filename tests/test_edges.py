@@ -90,6 +90,27 @@ def test_csv_columns_follow_the_header(spark):
     assert (report.input, report.kept, report.dropped) == (3, 1, 2)
 
 
+def test_split_csv_reads_records_over_block_borders(spark):
+    rows = [(i, ("line %d\n" % i) * (i % 9) + 'a "q", b' * (i % 3) + "x" * (i % 50)) for i in range(400)]
+    records = [('%d,"%s",t' % (i, v.replace('"', '""')) + (",extra" if i % 10 == 0 else ""),) for i, v in rows]
+    path = scratch_path(spark, "csv-blocks")
+    S.write_lines_with_header(spark.createDataFrame(records, "line string").coalesce(1), "id,v,t", path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        blocks = spark.read.text(path).select("_metadata.file_block_start").distinct().count()
+        strict = S.read_csv_strict_arity(spark, path, ["id", "v"], split=True)
+        got = {int(r.id): r.v for r in strict.collect()}
+        whole = {int(r.id): r.v for r in S.read_csv_strict_arity(spark, path, ["id", "v"]).collect()}
+        assert blocks > 20 and strict.count() == len(got)
+        assert {i: v or "" for i, v in got.items()} == {i: v for i, v in rows if i % 10}
+        assert got == whole
+        report = S.cleaning_report(S.read_csv_all_records(spark, path, ["id"], split=True)).first()
+        assert tuple(report) == (400, 360, 40)
+        assert S.read_csv_tolerant(spark, path, ["id", "v", "t"], split=True).count() == 360
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_malformed_json_lines_are_dropped_and_counted(spark):
     path = scratch_path(spark, "jsonl")
     spark.createDataFrame([('{"a":1}',), ("{broken",), ('{"a":2}',)], "v string").write.text(path)
