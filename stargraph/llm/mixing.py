@@ -113,29 +113,29 @@ def mix(
     order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     bucket = F.pmod(F.conv(F.substring("_mx_order", 1, 8), 16, 10).cast("long"), F.lit(1 << 32))
     bucket = F.floor(bucket * F.lit(buckets) / F.lit(float(1 << 32))).cast("int")
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], order.alias("_mx_order")).withColumn("_mx_bucket", bucket)
+    # a source key that is never null: the running sums and the join below then share one shuffle of the documents
+    named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], order.alias("_mx_order"), named.alias("_mx_source"))
+    keyed = keyed.withColumn("_mx_bucket", bucket)
 
-    cells = keyed.groupBy("source", "_mx_bucket").agg(F.sum("size").alias("cell"))
+    cells = keyed.groupBy("source", "_mx_source", "_mx_bucket").agg(F.sum("size").alias("cell"))
     per_source = targets(cells.groupBy("source").agg(F.sum("cell").alias("size")), weights, share, repeats)
-    earlier = Window.partitionBy("source").orderBy("_mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_mx_source").orderBy("_mx_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cells.select(
-        F.col("source").alias("_mx_source"),
-        F.col("_mx_bucket").alias("_mx_cell"),
-        F.coalesce(F.sum("cell").over(earlier), F.lit(0)).alias("_mx_offset"),
+        "_mx_source", "_mx_bucket", F.coalesce(F.sum("cell").over(earlier), F.lit(0)).alias("_mx_offset")
     )
     plan = offsets.join(
-        per_source.select(F.col("source").alias("_mx_of"), "source_size", F.col("klass").alias("_mx_klass"), "target"),
-        F.col("_mx_source").eqNullSafe(F.col("_mx_of")),
-    ).drop("_mx_of")
+        per_source.select(named.alias("_mx_source"), "source_size", F.col("klass").alias("_mx_klass"), "target"), "_mx_source"
+    )
 
     inside = (
-        Window.partitionBy("source", "_mx_bucket")
+        Window.partitionBy("_mx_source", "_mx_bucket")
         .orderBy("_mx_order", "doc_id", "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     due = (
         keyed.withColumn("_mx_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(plan, F.col("source").eqNullSafe(F.col("_mx_source")) & (F.col("_mx_bucket") == F.col("_mx_cell")))
+        .join(plan, ["_mx_source", "_mx_bucket"])
         .withColumn("_mx_at", F.col("_mx_offset") + F.col("_mx_before"))
     )
     whole = F.floor("target").cast("long")
