@@ -36,7 +36,7 @@ def main(argv):
     items = [
         ("E6 build_co_purchased (from the tables)", registry.QUERIES["build_co_purchased"](spark, sf_dir),
          "scans of the written keyed reviews (the keyed load ran once, in the graph load's write); bots dropped by "
-         "a broadcast anti join against the written bot list; explicit pair repartition; partial count before the "
+         "a broadcast anti join against the written bot list; one incidence exchange, reused by both join sides; partial count before the "
          "pair shuffle"),
         ("E2 build_product_nodes (from the tables)", registry.QUERIES["build_product_nodes"](spark, sf_dir),
          "one hash pre-aggregate per (product, title, category) before the shuffle, no join; the global mean is a "
