@@ -19,6 +19,7 @@ columns are ignored.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,8 @@ from stargraph.llm.common import text_or_empty
 
 SAMPLES = 32
 RANGES = 512
+RANGE_ROWS = 20_000
+MOST_RANGES = 16_384
 _BITS = 21
 
 
@@ -100,26 +103,41 @@ def likeness(one: Column, two: Column, samples: int = SAMPLES) -> Column:
     )
 
 
+def _numbers(values: list[int]) -> Column:
+    """A constant array from one literal (a literal for every element would make a large plan)."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def _range_of(low: Column, borders: list[int]) -> tuple[Column, Column]:
+    """The place of the last border that is not above ``low``, found in two steps, and the borders as an array."""
+    step = max(1, math.isqrt(len(borders)))
+    first = _numbers(borders)
+    block = F.size(F.filter(_numbers(borders[::step]), lambda b: b <= low)) - 1
+    return _let(
+        block, lambda k: k * step + F.size(F.filter(F.slice(first, k * step + 1, F.lit(step)), lambda b: b <= low)) - 1
+    ), first
+
+
 def neighbours(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
     """``part, at, doc_id, text, guest, next_text``: the rows of each range of doc_id in order, each with the text
-    of the next row.  Guests are the rows of the next range that a range's last row needs; callers drop them when
+    of the next row.  There are ``ranges`` ranges, more if one would hold over ``RANGE_ROWS`` rows (``MOST_RANGES`` at
+    most: larger ranges are sorted on disk).  Guests are the rows of the next range that a range's last row needs; callers drop them when
     they have used them.  The result is partitioned by ``part``; (``part``, ``at``) is unique.
     """
     low = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col("doc_id"), text_or_empty(F.col("text")).alias("text"), low.alias("low"))
+    smallest, count = rows.agg(F.min("low"), F.count(F.lit(1))).first()
+    ranges = max(ranges, min(MOST_RANGES, count // RANGE_ROWS))
     shares = [i / ranges for i in range(ranges + 1)]
     # values of the column itself, so every border is the first id of its range
-    borders = rows.agg(F.percentile_approx("low", shares, 100 * ranges)).first()[0] or []
-    smallest = rows.agg(F.min("low")).first()[0]
-    borders = sorted({*borders, smallest} - {None})
-    first = F.array(*[F.lit(b).cast("long") for b in borders]) if borders else F.array().cast("array<bigint>")
-    part = F.size(F.filter(first, lambda b: b <= F.col("low"))) - 1
-    before = F.pmod(F.col("part") - 1, F.lit(max(1, len(borders))))
+    borders = rows.agg(F.percentile_approx("low", shares, 10 * max(ranges, 1000))).first()[0] or []
+    borders = sorted({*borders, smallest} - {None}) or [0]
+    part, first = _range_of(F.col("low"), borders)
+    before = F.pmod(F.col("part") - 1, F.lit(len(borders)))
     placed = rows.withColumn("part", part)
-    hosts = F.when(
-        F.array_contains(first, F.col("low")),
-        F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")), F.struct(before.alias("part"), F.lit(True).alias("guest"))),
-    ).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest"))))
+    host = F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("guest")))
+    guest = F.array(F.struct(before.alias("part"), F.lit(True).alias("guest")))
+    hosts = F.when(F.get(first, F.col("part")) == F.col("low"), F.concat(host, guest)).otherwise(host)
     dealt = placed.withColumn("host", F.explode(hosts)).select("doc_id", "text", "low", "host.part", "host.guest")
     order = Window.partitionBy("part").orderBy("guest", "low", F.col("doc_id").isNotNull(), F.xxhash64("text"))
     return dealt.select(
