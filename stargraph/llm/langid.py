@@ -1,14 +1,14 @@
 """Language identification by cross-parsing entropy.
 
 Learning: per language, a bounded sample of labelled text (``SAMPLE_DOCS`` rows in a fixed pseudo-random order, at
-most ``PER_DOC`` characters of each and ``SAMPLE_CHARS`` in all) becomes a suffix automaton, which accepts exactly
-the substrings of the sample.  Prediction: a text is cut greedily into phrases, each the longest match in the
+most ``PER_DOC`` characters of each, ``SAMPLE_CHARS`` together and ``ALL_CHARS`` over all languages) becomes a suffix
+automaton, which accepts exactly the substrings of the sample.  Prediction: a text is cut greedily into phrases, each the longest match in the
 sample; the number of phrases times log2(sample length) per symbol estimates the cross entropy, and the language
 with the fewest normalised phrases wins (ties: the smallest language code).
 
 Symbols are the letters with case folded; every run of other characters is one blank, a letter that the
-sample lacks belongs to the phrase that it ends.  Texts are parsed in whole, in lanes of ``LANE`` symbols that are stepped together with numpy
-(a lane's first phrase starts afresh); the phrases of a text's lanes are summed.
+sample lacks belongs to the phrase that it ends.  Texts are parsed in whole, in lanes of ``LANE`` symbols that are
+stepped together with numpy (a lane's first phrase starts afresh); the phrases of a text's lanes are summed.
 
 ``score`` is the margin (b - a) / (b + a) of the best a and second best b cross entropies, 1.0 if only one
 language was learned.  Text null, empty or without a letter: ``und`` with score 0.0; the same if no language was
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from stargraph.llm.common import by_value
 
 SAMPLE_CHARS = 12_000
+ALL_CHARS = 300_000  # of all languages together, which bounds the table that is shipped to the tasks
 SAMPLE_DOCS = 64
 PER_DOC = 600
 LANE = 512
@@ -94,7 +95,8 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]], sample_chars: int = SAMPLE_CHARS):
         self.languages = sorted(samples)
-        texts = {lang: " ".join(samples[lang])[:sample_chars] for lang in self.languages}
+        share = min(sample_chars, ALL_CHARS // max(1, len(self.languages)))
+        texts = {lang: " ".join(samples[lang])[:share] for lang in self.languages}
         seen: dict[str, int] = {}
         for c in "".join(texts.values()).lower():
             if c.isalpha():

@@ -10,8 +10,8 @@
 ``score``        the forest's vote for every candidate; a secret has ``score >= THRESHOLD``.
 
 ``weak_labels`` supplies labelled findings where no reviewed ones exist: a quoted value assigned to a credential
-name is a secret if it mixes letters and digits; everything else is not.  The forest sees none of these rules,
-only the features.
+name is a secret if it mixes letters and digits; everything else is not.  Some features overlap with that rule, so
+a forest learned from it reproduces the rule; it is a stand-in for reviewed findings.
 
 Nulls: a null text has no candidates; a null path is an empty path; null ids stay.  Repeated rows give repeated
 findings.  Without labelled findings, or with one class only, every candidate keeps that class (1.0 without
