@@ -171,7 +171,9 @@ def grouped(
 ) -> DataFrame:
     """``doc_id, text_hash, fp, component_id`` per document."""
     prints = materialize(fingerprints(docs, shingle), "simhash-prints")
-    return prints.join(components(prints, links(prints, max_bits, blocks)), "fp")
+    # written, so that the join below has a shuffle on both sides and AQE can split a fingerprint with many copies
+    reached = materialize(components(prints, links(prints, max_bits, blocks)), "simhash-components")
+    return prints.join(reached, "fp")
 
 
 def near_duplicates(
