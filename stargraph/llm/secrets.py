@@ -1,7 +1,11 @@
 """Secret scanning with a random forest that removes false positives (DataFrame operations and Spark ML only).
 
-``candidates``   every run of 16 or more of ``[A-Za-z0-9+/_-]`` (up to two ``=`` after it) in a whole text, with the
-                 characters before and after it and the path it was found under.
+``candidates``   in a whole text, with the characters before and after each and the path it was found under:
+                 the value after a credential name and ``=`` or ``:`` (or after ``Bearer``), quoted or not, of
+                 ``MIN_VALUE`` or more characters of any kind; the password in ``scheme://user:password@host``; a
+                 token of dotted parts (JWT); every other run of 16 or more of ``[A-Za-z0-9+/_-]`` (up to two ``=``
+                 after it).  A value with blanks in it counts only in quotes that close within ``QUOTED`` characters
+                 of the same line; otherwise it ends at the first blank.
 ``features``     length, shares of character classes, transitions between classes and between vowels and
                  consonants, coverage by a dictionary of common words, the shape of the path, and the
                  neighbouring words (assignment, quotes, credential names).
@@ -10,8 +14,10 @@
 ``score``        the forest's vote for every candidate; a secret has ``score >= THRESHOLD``.
 
 ``weak_labels`` supplies labelled findings where no reviewed ones exist: a quoted value assigned to a credential
-name is a secret if it mixes letters and digits; everything else is not.  Some features overlap with that rule, so
-a forest learned from it reproduces the rule; it is a stand-in for reviewed findings.
+name is a secret if it mixes letters and digits, and so is a key in an issuer's own format; a placeholder or a common word assigned to one is not, nor is what
+has no credential name before it, unless its own shape is that of a key.  Everything else (such as unquoted values
+of credential names) is not reviewed: it is scored and does not teach.  Some features overlap with that rule, so a
+forest learned from it reproduces the rule; it is a stand-in for reviewed findings.
 
 Nulls: a null text has no candidates; a null path is an empty path; null ids stay.  Repeated rows give repeated
 findings.  Without labelled findings, or with one class only, every candidate keeps that class (1.0 without
@@ -36,8 +42,42 @@ SEED = 8
 THRESHOLD = 0.5
 AROUND = 48  # characters kept before and after a candidate
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
-CREDENTIAL = r"(?i)(token|secret|passw|passwd|pwd|api.?key|access.?key|private.?key|auth|credential|bearer)"
+MIN_VALUE = 6  # characters of the shortest value after a credential name
+QUOTED = 256  # characters of the longest quoted value with blanks in it
+
+#: ``auth`` but not ``author`` (``authorization`` is one).
+NAMES = r"token|secret|passw|passphrase|pwd|api.?key|access.?key|private.?key|auth(?!or(?!i[sz]))|credential|bearer"
+CREDENTIAL = f"(?i)({NAMES})"
+
+_RUN = "[A-Za-z0-9+/_-]"
+_QUOTE = r"\\{0,3}[\"'`]"
+_NAMED = (  # a word with a credential name in it and = or : (also => and :=), or the word Bearer
+    rf"(?:{_RUN}*?(?=[a-cpstA-CPST])(?i:{NAMES})[A-Za-z0-9_.-]{{0,64}}(?:{_QUOTE})?\]?[^\S\r\n]*[:=]{{1,2}}>?[^\S\r\n]*"
+    r"(?:(?i:bearer|basic|token)[^\S\r\n]+)?|(?i:bearer)[^\S\r\n]+)"
+)
+_END = (  # another name or entry, a tag, a quote that closes, or marks before a blank
+    rf"(?:(?:{_QUOTE})?[&;,|](?:{_QUOTE})?[\w.-]{{1,64}}(?:{_QUOTE})?\x20?[=:]|<[/A-Za-z!]|{_QUOTE}[,;:)\]}}+>\\]"
+    r"|[,;.)\]}\"'`]{0,8}(?:\s|$))"
+)
+#: Group 1 is what stands before the value of a credential name, group 2 the quote that opens it.
+CANDIDATE = (
+    rf"(?<=:)(?<=://[^\s/:@\"'`<>]{{0,64}}:)[^\s/\"'`<>?#]{{{MIN_VALUE},}}(?=@)"
+    rf"|(?<!{_RUN})(?={_RUN})(?:({_NAMED}({_QUOTE})?)"
+    rf"(?:(?=\S|[^\S\r\n]+[^\s\"'`])(?:(?!\2)(?:\\.|[^\r\n\\])){{{MIN_VALUE},{QUOTED}}}(?=\2)"
+    rf"|(?!{_QUOTE})(?!\S{{0,{MIN_VALUE - 1}}}?{_END})\S{{{MIN_VALUE},}}?(?={_END}))"
+    rf"|eyJ[A-Za-z0-9_-]{{5,}}(?:\.[A-Za-z0-9_-]{{4,}}){{1,4}}"
+    rf"|{_RUN}{{16,}}={{0,2}})"
+)
+
+#: Keys in a format that one issuer alone gives out, and how other keys begin.
+ISSUED = (
+    r"^((AKIA|ASIA)[A-Z0-9]{16}|AIza[A-Za-z0-9_-]{35}|gh[opsur]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|[sr]k_live_[A-Za-z0-9]{16,})$"
+)
+KEY_SHAPE = r"^(eyJ|AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abeoprs]-|sk[_-]|pk_|MII)"
+PLACEHOLDER = (
+    r"(?i)^(\$\{[^}]*\}?|\$\([^)]*\)?|\{\{.*|<[^>]*>?|\*+|x{6,}|your[_ -].*|(os|process|self|config|settings|env)\.[a-z_.]+"
+    r"|none|null|undefined|true|false|string|required|optional|redacted|placeholder)$"
+)
 
 #: Common words of the dictionary feature (fixed values).
 DICTIONARY = (
@@ -58,13 +98,15 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     found = docs.select(
         "doc_id",
         F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"),
-        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("values"),
+        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("whole"),
         text.alias("text"),
-    ).filter(F.size("values") > 0)
-    between = F.transform(
-        F.split("text", CANDIDATE, -1), lambda p: F.struct(F.left(p, F.lit(AROUND)).alias("l"), F.right(p, F.lit(AROUND)).alias("r"))
-    )
-    return found.select("doc_id", "path", "values", between.alias("between")).select(
+    ).filter(F.size("whole") > 0)
+    # the name belongs to what stands before the value
+    found = found.withColumn("names", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(1)))
+    values = F.zip_with("whole", "names", lambda w, n: F.substr(w, F.length(n) + 1))
+    gaps = F.zip_with(F.split("text", CANDIDATE, -1), F.concat("names", F.array(F.lit(""))), lambda g, n: F.concat(g, n))
+    between = F.transform(gaps, lambda p: F.struct(F.left(p, F.lit(AROUND)).alias("l"), F.right(p, F.lit(AROUND)).alias("r")))
+    return found.select("doc_id", "path", values.alias("values"), between.alias("between")).select(
         "doc_id",
         "path",
         F.posexplode(
@@ -94,6 +136,7 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "lower": share("[a-z]"),
         "hex": share("[0-9a-f]"),
         "marks": share("[+/_=-]"),
+        "other_marks": share("[^A-Za-z0-9+/_=-]"),
         "kind_changes": share("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])"),
         "case_changes": share("(?<=[a-z])(?=[A-Z])"),
         "vowel_changes": share("(?i)(?<=[aeiou])(?=[b-df-hj-np-tv-z])"),
@@ -107,7 +150,8 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
         "quoted_before": flag(before.rlike(r"[\"']$")),
         "quoted_after": flag(after.rlike(r"^[\"']")),
         "credential_near": flag(before.rlike(CREDENTIAL)),
-        "credential_last": flag(before.rlike(CREDENTIAL + r"\W*$")),
+        "credential_last": flag(before.rlike(CREDENTIAL + r"[\w.-]{0,64}\W*$")),
+        "issued": flag(value.rlike(ISSUED)),
         "alone": flag(after.rlike(r"^(\s|$)") & before.rlike(r"(^|\s)$")),
     }
     return found.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"x_{n}") for n, c in columns.items()]), [
@@ -116,10 +160,18 @@ def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """``found`` with ``label`` (1.0 or 0.0) from the assignment rule."""
-    assigned = F.col("before").rlike(r"(?i)\b(token|secret|password|passwd|api_?key|access_?key|private_?key)\s{0,2}[=:]\s{0,2}[\"']$")
-    mixed = F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-    return found.withColumn("label", (assigned & mixed & F.col("after").rlike("^[\"']")).cast("double"))
+    """``found`` with ``label`` from the assignment rule: 1.0, 0.0 (clear non-secrets) or null (not reviewed)."""
+    value, before = F.col("value"), F.col("before")
+    assigned = before.rlike(r"(?i)\b(token|secret|password|passwd|api_?key|access_?key|private_?key)\s{0,2}[=:]\s{0,2}[\"']$")
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+    named = before.rlike(CREDENTIAL) | value.rlike(CREDENTIAL + r"[\w.-]*[=:]")
+    shaped = value.rlike(KEY_SHAPE) | before.rlike(r"://[^\s/:@]*:$")
+    issued = value.rlike(ISSUED) & ~value.rlike("(?i)example")
+    plain = value.rlike(PLACEHOLDER) | F.lower(value).isin(sorted(set(DICTIONARY)))
+    return found.withColumn(
+        "label",
+        F.when(plain, 0.0).when(issued | (assigned & mixed & F.col("after").rlike("^[\"']")), 1.0).when(~named & ~shaped, 0.0),
+    )
 
 
 def fit(labelled: DataFrame, names: list[str], max_labelled: int = MAX_LABELLED) -> Callable[[DataFrame], DataFrame]:
