@@ -9,8 +9,9 @@
 ``features``     length, shares of character classes, transitions between classes and between vowels and
                  consonants, coverage by a dictionary of common words, the shape of the path, and the
                  neighbouring words (assignment, quotes, credential names).
-``fit``          a random forest over labelled findings.  At most about ``MAX_LABELLED`` of them are used, chosen by
-                 a hash (a documented bound: the forest is small, the candidates that it judges are all).
+``fit``          a random forest over labelled findings.  At most ``MAX_PER_LABEL`` of each label are used, the first
+                 by a hash (a documented bound: the forest is small, the candidates that it judges are all), and
+                 both labels weigh the same, so that rare secrets are neither missed nor outvoted.
 ``score``        the forest's vote for every candidate; a secret has ``score >= THRESHOLD``.
 
 ``weak_labels`` supplies labelled findings where no reviewed ones exist: a quoted value assigned to a credential
@@ -33,9 +34,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stargraph.llm.common import text_or_empty
+from stargraph.llm.common import materialize, text_or_empty
 
-MAX_LABELLED = 10_000
+MAX_PER_LABEL = 5_000
 TREES = 20
 DEPTH = 6
 SEED = 8
@@ -174,22 +175,24 @@ def weak_labels(found: DataFrame) -> DataFrame:
     )
 
 
-def fit(labelled: DataFrame, names: list[str], max_labelled: int = MAX_LABELLED) -> Callable[[DataFrame], DataFrame]:
+def fit(labelled: DataFrame, names: list[str], max_per_label: int = MAX_PER_LABEL) -> Callable[[DataFrame], DataFrame]:
     """A scorer learned from rows of features and ``label``; it adds ``score`` (0 to 1)."""
-    seen = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect() if r.label is not None}
+    order = F.xxhash64(F.lit(SEED), "doc_id", "nth", "value")
+    rows = labelled.select(*names, F.col("label").cast("double").alias("label"), order.alias("at"))
+    first = [rows.filter(F.col("label") == c).orderBy("at", *names).limit(max_per_label) for c in (0.0, 1.0)]
+    learned = materialize(first[0].unionByName(first[1]), "secret-learned")
+    seen = {r.label: r.n for r in learned.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         only = float(*seen) if seen else 1.0
         return lambda rows: rows.withColumn("score", F.lit(only))
-    million = 1_000_000
-    share = min(million, max_labelled * million // sum(seen.values()))
-    order = F.xxhash64(F.lit(SEED), "doc_id", "nth", "value")
-    learned = labelled.filter(F.col("label").isNotNull() & (F.pmod(order, F.lit(million)) < share))
+    weight = F.when(F.col("label") == 1.0, sum(seen.values()) / (2 * seen[1.0])).otherwise(sum(seen.values()) / (2 * seen[0.0]))
     assemble = VectorAssembler(inputCols=names, outputCol="_ss_x")
     forest = RandomForestClassifier(
-        featuresCol="_ss_x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8
+        featuresCol="_ss_x", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8
     )
     # sorted, so that the same findings give the same trees however they were partitioned
-    model = forest.fit(assemble.transform(learned.select(*names, "label", order.alias("at"))).coalesce(1).sortWithinPartitions("at"))
+    taught = assemble.transform(learned.withColumn("weight", weight))
+    model = forest.fit(taught.coalesce(1).sortWithinPartitions("label", "at", *names))
 
     def score(rows: DataFrame) -> DataFrame:
         voted = model.transform(assemble.transform(rows))

@@ -391,6 +391,16 @@ def test_unreviewed_secrets_do_not_teach(spark):
     assert secrets.scan(found, F.lit(True)).count() == len(texts)
 
 
+def test_rare_secrets_are_learned(spark):
+    rare = [(i, f'token = "{hashlib.sha1(str(i).encode()).hexdigest()}"', "s") for i in range(3)]
+    docs = spark.createDataFrame(rare, "doc_id long, text string, source string").unionByName(
+        spark.range(10, 60_000).selectExpr("id AS doc_id", "concat('see ', sha1(string(id))) AS text", "'s' AS source")
+    )
+    found = secrets.weak_labels(secrets.candidates(docs))
+    rows = secrets.scan(found, F.lit(True)).groupBy(F.col("doc_id") < 10, "secret").count().collect()
+    assert sorted(tuple(r) for r in rows) == [(False, False, 59_990), (True, True, 3)]
+
+
 def test_url_filter_matches_brute_force(spark):
     rng = random.Random(8)
     hosts = ["a.b.example.com", "b.example.com", "x.org", "example.com"]
