@@ -243,6 +243,16 @@ def test_language_odd_rows(spark, odd):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_copies_take_one_place_in_the_language_sample(spark):
+    rows = [("de", f"{i} " + "wort " * 150 + "copy" * (i % 2)) for i in range(20)] + [("en", "a copy of one text " * 40 + str(i % 2)) for i in range(400)]
+    rows += [("en", f"other words {i} " * 50) for i in range(20)]
+    samples = langid.learn_samples(spark.createDataFrame(rows, "lang string, text string"), sample_docs=15)
+    assert [len(samples[k]) == len(set(samples[k])) == 15 for k in ("de", "en")] == [True, True]
+    assert langid.learn_samples(spark.createDataFrame(rows * 3, "lang string, text string"), sample_docs=15) == samples
+    few = langid.learn_samples(spark.createDataFrame(rows[20:], "lang string, text string"))
+    assert len(few["en"]) == 21  # the copies differ behind the slice only
+
+
 # ── Mixing ───────────────────────────────────────────────────────────────────────────────────────────────
 def brute_targets(sizes, weights=(3.0, 1.0, 2.0)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
