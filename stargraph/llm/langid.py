@@ -1,12 +1,11 @@
 """Language identification by cross-parsing entropy.
 
 Learning: per language, a bounded sample of labelled text (``SAMPLE_DOCS`` distinct slices in a fixed pseudo-random
-order, at most ``PER_DOC`` characters of each, ``SAMPLE_CHARS`` together and ``ALL_CHARS`` over all languages) becomes
-a suffix automaton, which accepts exactly the substrings of the sample.  Prediction: a text is cut greedily into
+order, at most ``PER_DOC`` characters of each and ``SAMPLE_CHARS`` together) becomes a suffix automaton, which accepts exactly the substrings of the sample.  Prediction: a text is cut greedily into
 phrases, each the longest match in the sample; the number of phrases times log2(sample length) per symbol estimates
 the cross entropy, and the language with the fewest normalised phrases wins (ties: the smallest language code).
 
-Symbols are the letters with case folded; every run of other characters is one blank, a letter that the
+Symbols are all letters of the samples with case folded; every run of other characters is one blank, a letter that the
 sample lacks belongs to the phrase that it ends.  Texts are parsed in whole, in lanes of ``LANE`` symbols that are
 stepped together with numpy (a lane's first phrase starts afresh); the phrases of a text's lanes are summed.
 
@@ -16,6 +15,7 @@ learned.  Null ids and repeated rows stay rows; extra columns are ignored; an em
 """
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +26,11 @@ from pyspark.sql import functions as F
 from stargraph.llm.common import by_value
 
 SAMPLE_CHARS = 12_000
-ALL_CHARS = 300_000  # of all languages together, which bounds the table that is shipped to the tasks
 SAMPLE_DOCS = 64
 PER_DOC = 600
 LANE = 512
 _PIECE = 1 << 20  # characters that are parsed together
-_SYMBOLS = 250  # symbols of their own; rarer letters of the samples count as unknown
+_ROOM = 3  # slots per transition of the packed tables
 
 
 def learn_samples(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, per_doc: int = PER_DOC) -> dict[str, list[str]]:
@@ -87,46 +86,68 @@ def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
+def fold(c: str) -> str:
+    low = c.lower()
+    return low if len(low) == 1 else c
+
+
+def pack(states: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``base, owner, to``: state s goes by symbol c to ``to[base[s] + c]`` if ``owner[base[s] + c] == base[s]``.
+
+    The rows of the states lie over one another, each at a base of its own where its transitions find free slots, so
+    the table grows with the transitions and not with states times symbols.
+    """
+    room = _ROOM * sum(map(len, states)) + len(states)
+    rng = random.Random(room)
+    owner, used = [-1] * (room + width), bytearray(room)
+    base = np.zeros(len(states), dtype=np.int32)
+    for s in sorted(range(len(states)), key=lambda s: -len(states[s])):
+        at = int(rng.random() * room)
+        while used[at] or any(owner[at + c] >= 0 for c in states[s]):
+            at = int(rng.random() * room)
+        used[at], base[s] = 1, at
+        for c in states[s]:
+            owner[at + c] = at
+    to = np.zeros(room + width, dtype=np.int32)
+    for s, edges in enumerate(states):
+        for c, t in edges.items():
+            to[base[s] + c] = base[t]
+    return base, np.array(owner, dtype=np.int32), to
+
+
 class Model:
-    """Per language the automaton as a dense table over shared symbols.
+    """Per language the automaton as a packed table (see ``pack``) over shared symbols, all end to end.
 
-    A cell holds the offset of the next state's row, or, where the phrase ends, minus the offset of the row that
-    the symbol reaches from the start.  ``symbol_of`` maps code points to symbols (0 blank, 1 unknown letter).
+    ``first`` holds per language and symbol the state that the symbol reaches from the start, where the next phrase
+    begins.  ``symbol_of`` maps code points to symbols (0 blank, 1 a letter that no sample has).
     """
 
     def __init__(self, samples: dict[str, list[str]], sample_chars: int = SAMPLE_CHARS):
         self.languages = sorted(samples)
-        share = min(sample_chars, ALL_CHARS // max(1, len(self.languages)))
-        texts = {lang: " ".join(samples[lang])[:share] for lang in self.languages}
-        seen: dict[str, int] = {}
-        for c in "".join(texts.values()).lower():
-            if c.isalpha():
-                seen[c] = seen.get(c, 0) + 1
-        common = sorted(sorted(seen, key=lambda c: (-seen[c], c))[:_SYMBOLS])
-        number = {c: i + 2 for i, c in enumerate(common)}
-        self.width = len(common) + 2
+        texts = {lang: " ".join(samples[lang])[:sample_chars] for lang in self.languages}
+        letters = sorted({fold(c) for text in texts.values() for c in set(text) if c.isalpha()})
+        number = {c: i + 2 for i, c in enumerate(letters)}
+        self.width = len(letters) + 2
         self.symbol_of = np.array(
-            [number.get(c.lower(), 1) if c.isalpha() else 0 for c in map(chr, range(0x110000))], dtype=np.uint8
+            [number.get(fold(c), 1) if c.isalpha() else 0 for c in map(chr, range(0x110000))],
+            dtype=np.min_scalar_type(self.width),
         )
-        rows = self.width  # offset 0 stays unused, so that every offset has a sign
-        tables, self.starts, self.bits = [np.zeros(self.width, dtype=np.int32)], [], []
-        for lang in self.languages:
+        rows, owners, tos = 0, [], []
+        self.starts, self.bits = [], []
+        self.first = np.zeros((len(self.languages), self.width), dtype=np.int32)
+        for i, lang in enumerate(self.languages):
             symbols, _ = self.symbols([texts[lang]])
             states = suffix_automaton(symbols.tolist())
-            table = np.zeros((len(states), self.width), dtype=np.int32)
-            first = np.full(self.width, -rows, dtype=np.int32)
-            for c, to in states[0].items():
-                first[c] = -(rows + to * self.width)
-            table[:] = first
-            for state, edges in enumerate(states):
-                for c, to in edges.items():
-                    table[state, c] = rows + to * self.width
-            table[:, 1] = -rows  # an unknown letter always ends the phrase
-            tables.append(table.ravel())
-            self.starts.append(rows)
+            base, owner, to = pack(states, self.width)
+            self.first[i] = rows + base[0]
+            for c, t in states[0].items():
+                self.first[i, c] = rows + base[t]
+            owners.append(np.where(owner >= 0, owner + rows, -1).astype(np.int32))
+            tos.append(to + np.int32(rows))
+            self.starts.append(rows + int(base[0]))
             self.bits.append(np.log2(max(2, len(symbols))))
-            rows += table.size
-        self.table = np.concatenate(tables)
+            rows += len(owner)
+        self.owner, self.to = (np.concatenate([np.zeros(0, dtype=np.int32), *parts]) for parts in (owners, tos))
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' symbols end to end, runs of blanks as one, and the number of symbols of each text."""
@@ -154,9 +175,12 @@ class Model:
         state = np.repeat(np.array(self.starts, dtype=np.int32)[:, None], len(order), axis=1)
         count = np.zeros(state.shape, dtype=np.int32)
         for step, k in enumerate(live.tolist()):
-            cell = self.table[state[:, :k] + symbols[start[:k] + step]]
-            count[:, :k] += cell < 0
-            np.abs(cell, out=state[:, :k])
+            symbol = symbols[start[:k] + step]
+            now = state[:, :k]
+            cell = now + symbol
+            goes_on = self.owner.take(cell) == now
+            count[:, :k] += ~goes_on
+            state[:, :k] = np.where(goes_on, self.to.take(cell), self.first.take(symbol, axis=1))
         total = np.stack([np.bincount(owner[order], weights=row, minlength=len(texts)) for row in count])
         return total, sizes, letters
 

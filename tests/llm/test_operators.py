@@ -226,6 +226,21 @@ def test_phrases_match_brute_force():
         assert [int(x) for x in total[k]] == [brute_phrases(t.lower(), sample) for t in texts]
 
 
+def test_phrases_of_many_letters_and_languages():
+    rng = random.Random(5)
+    say = lambda at, n: "".join(chr(at + min(rng.randrange(900), rng.randrange(900))) for _ in range(n))
+    samples = {"ja": [say(0x5400, 2000)], "zh": [say(0x5000, 3000)], "tr": ["\u0130yi g\u00fcnler \u0130stanbul"]}
+    model = langid.Model(samples)
+    texts = [samples["zh"][0][1000:1400], samples["ja"][0][5:300], say(0x5200, 400), "\u0130stanbul"]
+    total, _, _ = model.phrases(texts)
+    for k, lang in enumerate(model.languages):
+        if lang != "tr":
+            assert [int(x) for x in total[k][:3]] == [brute_phrases(t, samples[lang][0]) for t in texts[:3]]
+    assert model.predict(texts)[0][0] == "zh" and model.predict(texts)[0][1] == "ja" and total[model.languages.index("tr")][3] == 0
+    many = langid.Model({f"l{i}": ["".join(rng.choice("abcdefgh") for _ in range(13_000))] for i in range(30)})
+    assert set(many.bits) == {np.log2(langid.SAMPLE_CHARS)}
+
+
 def test_language_held_out(spark, sf_mid):
     docs = spark.read.parquet(f"{sf_mid}/documents.parquet").select("doc_id", "lang")
     rows = queries.op6_language(spark, sf_mid).join(docs, "doc_id").filter("held_out and lang is not null").collect()
