@@ -10,7 +10,8 @@ email, ip, card, phone   the base kinds, defined by the patterns in ``BASE`` (le
 address                  from a scheme: ``scheme://host...`` whose host is a dotted name, an IPv4 address or
                          ``localhost``; trailing punctuation is left out
 account                  from a cue: an IBAN (country letters, mod-97 check) or an account, customer, passport,
-                         tax or social security number of 6 to 20 letters and digits with at least 5 digits
+                         tax or social security number of 6 to 20 letters and digits with at least 5 digits, also
+                         in blank-separated groups (of up to 4, or of equal size up to 6); cues match in any case
 
 Spans are code points, end exclusive.  Null text: empty.  Null ids and repeated rows stay rows of their own; extra
 columns are ignored; an empty table gives an empty result.  Every parser is linear in the text.
@@ -62,12 +63,16 @@ def automaton() -> ahocorasick.Automaton:
     found.add_word("@", ("at", 1))
     found.add_word("://", ("scheme", 3))
     for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            found.add_word(form, ("cue", len(form)))
+        found.add_word(cue, ("cue", len(cue)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """A-Z to a-z and nothing else, so that every character keeps its place."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for at, c in enumerate(reversed(digits)):
@@ -89,11 +94,22 @@ def _account(text: str, at: int) -> tuple[int, int] | None:
     found = _NUMBER.match(text, start)
     if not found or start == at:
         return None
-    # an IBAN first, as grouped runs shrink from the right; else the first run of letters and digits
+    # an IBAN first, as grouped runs shrink from the right; else blank-separated groups, the most first; else the
+    # first run of letters and digits
     pieces = [m.end() for m in re.finditer(r"[A-Z0-9]+", found.group())]
     for end in reversed(pieces):
         if iban(re.sub("[ -]", "", found.group()[:end])):
             return start, start + end
+    groups = re.match(r"[A-Z0-9]+(?: [A-Z0-9]+)*", found.group()).group().split(" ")
+    while len(groups) > 1:
+        value, end = "".join(groups), start + len(" ".join(groups))
+        sizes = {len(g) for g in groups}
+        alike = max(sizes) <= 4 or len(sizes) == 1 and max(sizes) <= 6
+        marked = all(any(c.isdigit() for c in g) for g in groups[1:]) and (len(groups[0]) <= 3 or not groups[0].isalpha())
+        whole = not text[end : end + 1].isalnum() and text[end : end + 1] != "-"
+        if alike and marked and whole and 6 <= len(value) <= 20 and sum(c.isdigit() for c in value) >= 5:
+            return start, end
+        groups.pop()
     run = re.match(r"[A-Z0-9]+(?:-[A-Z0-9]+)*", found.group()).group()
     value = run.replace("-", "")
     if 6 <= len(value) <= 20 and sum(c.isdigit() for c in value) >= 5:
@@ -105,7 +121,7 @@ def spans(text: str, anchors: ahocorasick.Automaton) -> dict[str, list[tuple[int
     """Spans per kind, in text order."""
     out: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     email_end = ip_end = card_end = phone_end = address_end = account_end = 0
-    for last, (anchor, width) in anchors.iter(text):
+    for last, (anchor, width) in anchors.iter(lowered(text)):
         at = last - width + 1
         if anchor == "digit":
             if at >= ip_end:

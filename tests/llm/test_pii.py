@@ -61,6 +61,16 @@ def test_added_kinds():
     assert not any(pii.spans("The account of the iban was http:// and compte le", ANCHORS).values())
 
 
+def test_cues_of_any_case_and_grouped_accounts():
+    cases = {
+        "Customer ID: 12345678": "12345678", "Tax ID 123456789": "123456789", "\u0130\u0130 cUSTOMER iD 99887766, x": "99887766",
+        "Account 1234 5678 9012": "1234 5678 9012", "SSN 123 45 6789.": "123 45 6789", "account no: 123456 789012 now": "123456 789012",
+        "Account 1234 5678 9012 3rd USD": "1234 5678 9012", "Account 12345678 USD 500": "12345678", "ssn 123-45-6789 2024": "123-45-6789",
+    }
+    for text, value in cases.items():
+        assert [text[a:b] for a, b in pii.spans(text, ANCHORS)["account"]] == [value], text
+
+
 def test_report(spark):
     rows = [(1, "mail a.b@c.de now 1.2.3.4", "x"), (2, None, "x"), (None, "", "y"), (1, "mail a.b@c.de now 1.2.3.4", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, found string")
