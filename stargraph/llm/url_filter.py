@@ -4,12 +4,13 @@ A list is a history of dated entries: ``kind`` (``host``, ``domain`` or ``prefix
 ``allow`` or ``expire``) and ``day``.  The entries of one key become validity intervals, each lasting until the key's
 next entry; of entries of one key and day the strongest counts (block, then allow, then expire).  Every capture is
 evaluated as of the day it was fetched against the entries of its host, of every domain above it (two labels or
-more) and of its host with the first path segment.  The most specific active entry decides: prefix, host, longest
-domain.
+more) and of its host with its first path segments, one key per number of segments.  The most specific active entry
+decides: longest prefix, host, longest domain.  A prefix ends at a segment, a slash after its last segment does not
+count; a prefix without a path stands for URLs without one (``host`` entries hold for all).
 
-Work is done per distinct (host, segment, day) and per distinct (key, day), so a host that holds a third of all
-captures is one row per day; a key's history has at most one row per day.  The verdicts go back to the captures by
-a join whose keys are salted.
+Work is done per distinct (host, path, day), the path cut to as many segments as the longest listed prefix has, and
+per distinct (key, day), so a host that holds a third of all captures is one row per day and cut path; a key's
+history has at most one row per day.  The verdicts go back to the captures by a join whose keys are salted.
 
 Nulls: a capture with a null, malformed or over-long host (253 characters), or with a null day, has the verdict
 ``none``; entries with a null value, day or unknown action are ignored.  Ties and repeated rows: see above, and
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 SALTS = 16
 _STRENGTH = ("expire", "allow", "block")
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+_PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)"
 
 
@@ -38,11 +40,16 @@ def segment_of(url: Column) -> Column:
     return F.regexp_extract(url, _SEGMENT, 1)
 
 
+def path_of(url: Column, depth: int) -> Column:
+    """The first ``depth`` path segments with their slashes (empty text if there is no path)."""
+    return F.array_join(F.slice(F.split(F.regexp_extract(url, _PATH, 1), "/", -1), 1, depth + 1), "/")
+
+
 def _key(kind: str, value: Column) -> Column:
     return F.concat(F.lit(kind + ":"), value)
 
 
-def candidate_keys(host: Column, segment: Column) -> Column:
+def candidate_keys(host: Column, path: Column) -> Column:
     """``array<struct<rank: int, key: string>>``, the most specific key with the highest rank."""
     labels = F.split(host, r"\.", -1)
     domains = F.transform(
@@ -52,11 +59,28 @@ def candidate_keys(host: Column, segment: Column) -> Column:
             _key("domain", F.array_join(F.slice(labels, i, F.size(labels)), ".")).alias("key"),
         ),
     )
-    exact = F.array(
-        F.struct(F.lit(1001).alias("rank"), _key("prefix", F.concat(host, segment)).alias("key")),
-        F.struct(F.lit(1000).alias("rank"), _key("host", host).alias("key")),
+    segments = F.split(path, "/", -1)  # the first is empty
+    prefixes = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(segments) - 1, F.lit(1))),
+        lambda i: F.struct(
+            (i + 1000).alias("rank"),
+            _key("prefix", F.concat(host, F.array_join(F.slice(segments, F.lit(1), i + 1), "/"))).alias("key"),
+        ),
     )
-    return F.concat(exact, domains)
+    exact = F.array(F.struct(F.lit(1000).alias("rank"), _key("host", host).alias("key")))
+    return F.concat(prefixes, exact, domains)
+
+
+def _listed() -> Column:
+    """An entry's value without slashes after a last path segment."""
+    value = F.lower("value")
+    return F.when(F.col("kind") == "prefix", F.regexp_replace(value, "^([^/]+/.*[^/])/+$", "$1")).otherwise(value)
+
+
+def depth_of(entries: DataFrame) -> int:
+    """Path segments of the longest listed prefix, at least 1."""
+    slashes = F.regexp_count(_listed(), F.lit("/"))
+    return max(1, entries.filter(F.col("kind") == "prefix").agg(F.max(slashes)).first()[0] or 0)
 
 
 def history(entries: DataFrame) -> DataFrame:
@@ -65,7 +89,7 @@ def history(entries: DataFrame) -> DataFrame:
     return (
         entries.filter(F.col("kind").isin("host", "domain", "prefix") & F.col("value").isNotNull() & F.col("day").isNotNull())
         .filter(F.col("action").isin(*_STRENGTH))
-        .groupBy(F.concat_ws(":", "kind", F.lower("value")).alias("key"), "day")
+        .groupBy(F.concat_ws(":", "kind", _listed()).alias("key"), "day")
         .agg(F.max(strength).alias("strength"))
     )
 
@@ -104,24 +128,24 @@ def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> Dat
     """``captures`` (``url, day``) plus ``host, verdict`` (block, allow, none)``, matched, since``."""
     kept = [c for c in captures.columns if c not in ("host", "verdict", "matched", "since")]
     rows = captures.select(
-        *[F.col(f"`{c}`") for c in kept], host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("_uf_segment")
+        *[F.col(f"`{c}`") for c in kept], host_of(F.col("url")).alias("host"), path_of(F.col("url"), depth_of(entries)).alias("_uf_path")
     )
     combos = (
         rows.filter(F.col("host").isNotNull() & F.col("day").isNotNull())
-        .select("host", "_uf_segment", "day")
+        .select("host", "_uf_path", "day")
         .distinct()
-        .withColumn("_uf_key", F.explode(candidate_keys(F.col("host"), F.col("_uf_segment"))))
-        .select("host", "_uf_segment", "day", F.col("_uf_key.rank").alias("rank"), F.col("_uf_key.key").alias("key"))
+        .withColumn("_uf_key", F.explode(candidate_keys(F.col("host"), F.col("_uf_path"))))
+        .select("host", "_uf_path", "day", F.col("_uf_key.rank").alias("rank"), F.col("_uf_key.key").alias("key"))
     )
     answers = as_of(combos.select("key", "day").distinct(), entries)
     best = (
         combos.join(answers, ["key", "day"])
-        .groupBy("host", "_uf_segment", "day")
+        .groupBy("host", "_uf_path", "day")
         .agg(F.max(F.struct("rank", "action", "key", "since")).alias("_uf_best"))
     )
     spread = best.select(
         F.col("host").alias("_uf_host"),
-        F.col("_uf_segment").alias("_uf_seg"),
+        F.col("_uf_path").alias("_uf_seg"),
         F.col("day").alias("_uf_day"),
         "_uf_best",
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_uf_of"),
@@ -129,7 +153,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> Dat
     salted = rows.withColumn("_uf_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in kept]), F.lit(salts)).cast("int"))
     same = (
         (F.col("host") == F.col("_uf_host"))
-        & (F.col("_uf_segment") == F.col("_uf_seg"))
+        & (F.col("_uf_path") == F.col("_uf_seg"))
         & (F.col("day") == F.col("_uf_day"))
         & (F.col("_uf_salt") == F.col("_uf_of"))
     )

@@ -458,3 +458,13 @@ def test_url_filter_matches_brute_force(spark):
     some = spark.createDataFrame(captures[:5], "page_id long, url string, day int")
     assert {r.verdict for r in url_filter.evaluate(some, empty).collect()} == {"none"}
     assert url_filter.evaluate(some.limit(0), empty).count() == 0
+
+
+def test_url_prefixes_of_any_depth(spark):
+    entries = [("prefix", "x.org/p/q", "block", 1), ("prefix", "x.org/p/", "allow", 1), ("prefix", "x.org/a/b/c//", "block", 1), ("prefix", "x.org", "block", 1)]
+    urls = {"http://x.org/p/q": "block", "http://x.org/p/q/r?s": "block", "http://x.org/p/qq": "allow", "http://x.org/p": "allow", "http://x.org/p/": "allow",
+            "http://x.org/a/b": "none", "http://x.org/a/b/c/d": "block", "http://x.org/a/b/c/": "block", "http://x.org": "block", "http://x.org/z": "none"}
+    captures = spark.createDataFrame([(i, u, 2) for i, u in enumerate(urls)], "page_id long, url string, day int")
+    rows = url_filter.evaluate(captures, spark.createDataFrame(entries, "kind string, value string, action string, day int")).orderBy("page_id").collect()
+    assert [r.verdict for r in rows] == list(urls.values())
+    assert rows[1].matched == "prefix:x.org/p/q"
