@@ -140,6 +140,14 @@ def merge_categories(frames: dict[str, DataFrame], category_col: str = "category
     return out
 
 
+def merge_datasets(frames: list[DataFrame]) -> DataFrame:
+    """E10 for datasets that hold many categories each, in a column of their own (other columns may differ)."""
+    out, *rest = frames
+    for df in rest:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
 def assign_batches(df: DataFrame, id_col: str, batch_size: int = 500, bucket_rows: int = 1_000_000,
                    bucket_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """Write batches of at most ``batch_size`` rows, formed inside hash buckets of the id.

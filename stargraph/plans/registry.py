@@ -354,12 +354,10 @@ SELECT review_id, reviewer_id, product_id,
 FROM all_reviews""")
 def _e10(spark, d):
     r = materialize(reviews(spark, d), "categories")
-    names = sorted((x[0] for x in r.select("category").distinct().collect()), key=lambda c: (c is None, c))
-    frames = {}
-    for c in names:  # the per-category datasets of the export, as many as there are categories
-        f = r.filter(F.col("category").eqNullSafe(F.lit(c).cast("string"))).drop("category")
-        frames[c] = f.drop("title") if c in UNTITLED_DATASETS else f
-    return G.merge_categories(frames)
+    r = r.select(*[c for c in r.columns if c != "category"], "category")
+    untitled = F.coalesce(F.col("category").isin(UNTITLED_DATASETS), F.lit(False))
+    # two datasets keyed by their category column, however many categories there are
+    return G.merge_datasets([r.filter(~untitled), r.filter(untitled).drop("title")])
 
 
 @query("batch_writes", RAW + """

@@ -169,6 +169,14 @@ def test_merge_categories_keeps_every_category(spark):
     assert {r.category for r in G.merge_categories(frames).collect()} == set(frames)
 
 
+def test_merge_categories_plan_does_not_grow(spark):
+    from stargraph.plans import registry
+
+    merged = registry.QUERIES["merge_categories"](spark, "/root/testdata/sf0.001")
+    assert merged.select("category").distinct().count() > 2
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 2
+
+
 def test_stored_graph_keeps_types_and_usable_reviews(spark):
     base = scratch_path(spark, "small-graph")
     graph_store.write_graph_tables(G.build_graph(small_reviews(spark)), base)
