@@ -131,3 +131,63 @@ SELECT n.page_id, n.day, n.host, CASE a.strength WHEN 2 THEN 'block' WHEN 1 THEN
        a.k AS matched, a.since
 FROM named n LEFT JOIN active a ON n.host = a.host AND n.seg = a.seg AND n.day = a.day AND a.place = 1
 """
+
+INFILL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS s, length(coalesce(text, ''))::BIGINT AS n,
+         sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents
+), h AS (
+  SELECT *, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3,
+         ('0x' || d[25:32])::BIGINT AS h4 FROM t
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(s, '<P>') OR contains(s, '<S>') OR contains(s, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), p AS (
+  SELECT *, substr(s, 1, a) AS prefix, substr(s, a + 1, b - a) AS middle, substr(s, b + 1) AS suffix FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN s WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(s) AS restored_sha256
+FROM p
+"""
+
+FILTER_AUDIT = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS s,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), copies AS (SELECT s, min(doc_id) AS first FROM t GROUP BY s
+), marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), docs AS (
+  SELECT t.doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, MAP {
+         'A': len(ws) < 100, 'B': 100 * len(list_distinct(ws)) < 80 * len(ws),
+         'C': 100 * length(regexp_replace(t.s, '[^A-Z]+', '', 'g')) > 10 * length(t.s),
+         'D': regexp_matches(t.s, '[#$%&*|]'), 'E': coalesce(t.doc_id > copies.first, false)} AS fails
+  FROM t JOIN copies ON t.s = copies.s LEFT JOIN marks ON t.doc_id = marks.doc_id
+), cells AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM docs GROUP BY part, fails
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT part, o AS filter_order, step, o[step] AS f, n, good, toxic, fails[o[step]] AS fail,
+         list_any_value(list_filter(string_split(o[1:step - 1], ''), lambda x: x <> '' AND fails[x])) IS NOT NULL AS gone,
+         len(list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: fails[x])) = 1 AS alone
+  FROM cells, orders, unnest([1, 2, 3, 4, 5]) AS u(step)
+), sums AS (
+  SELECT part, filter_order, step::INTEGER AS step, f, sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN gone AND fail THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fail AND alone THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN NOT gone AND fail THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN NOT gone AND fail THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM steps GROUP BY part, filter_order, step, f
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM sums
+"""

@@ -6,7 +6,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stargraph.llm import decontaminate, fingerprint, langid, line_dedup, mixing, oracles, pii, quality, secrets, simhash, url_filter
+from stargraph.llm import (
+    decontaminate, filter_audit, fingerprint, infill, langid, line_dedup, mixing, oracles, packing, pii, quality, secrets,
+    simhash, url_filter,
+)
 from stargraph.llm.common import documents, materialize, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +18,8 @@ ORACLE: dict[str, str] = {
     "op4_decontamination": oracles.DECONTAMINATION,
     "op7_mixing": oracles.MIXING,
     "op10_url_filter": oracles.URL_FILTER,
+    "op12_infill": oracles.INFILL,
+    "op13_filter_audit": oracles.FILTER_AUDIT,
 }
 
 
@@ -96,3 +101,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     verdicts = url_filter.evaluate(url_filter.derived_captures(pages), url_filter.derived_entries(pages))
     return verdicts.select("page_id", "day", "host", "verdict", "matched", "since")
+
+
+@query
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.report(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.report(documents(spark, sf_dir))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(documents(spark, sf_dir), table(spark, sf_dir, "labels"))

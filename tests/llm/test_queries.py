@@ -15,7 +15,7 @@ def test_names_and_sql():
     import __spark_entry__ as E
 
     names = E.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in names if k.startswith("op") and k[2].isdigit()}
     assert "pipeline" in names and set(queries.ORACLE) <= set(queries.QUERIES)
 
 
