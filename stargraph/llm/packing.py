@@ -22,6 +22,8 @@ from __future__ import annotations
 import heapq
 import os
 from collections.abc import Iterator
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,8 @@ BLOCK = 1 << 21       # ids of a block: about a thousand windows
 LUMP = 64             # shorter rests are laid together first, so that a block has at most BLOCK / LUMP partitions
 END_ID = 1
 KNOWN_WORDS = 1 << 19  # words whose ids a task remembers
-SLICE = 4 << 20       # characters tokenized at a time
+ENCODE = 4096         # words encoded at a time
+SLICE = 4 << 20       # bytes of text tokenized at a time
 EMIT = 8 << 20        # bytes of ids in a batch of pieces
 
 
@@ -64,12 +67,14 @@ class Words:
         if len(self.number) > KNOWN_WORDS:
             self.forget()
         new = [w for w in words if w not in self.number]
+        flat, sizes = [self.flat], []
+        for i in range(0, len(new), ENCODE):
+            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + ENCODE], add_special_tokens=False)]
+            sizes += map(len, coded)
+            flat.append(np.fromiter(chain.from_iterable(coded), np.uint32))
         if new:
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for c in coded for i in c), np.uint32, int(sizes.sum()))])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.flat, self.ends = np.concatenate(flat), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,21 +104,24 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     ``path`` names a tokenizer file that every executor can open.
     """
-    key = docs.schema["doc_id"].dataType
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("ids", T.BinaryType())])
+    return _texts(docs).mapInArrow(partial(_tokens, path=path, end_id=end_id), schema)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path)
-        for batch in batches:
-            for part in _slices(batch, 1, SLICE):
-                ids, sizes = words.encode(part.column(1), end_id)
-                offsets = np.concatenate([[0], np.cumsum(sizes * 4)])
-                binary = pa.LargeBinaryArray.from_buffers(
-                    pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]
-                )
-                yield pa.RecordBatch.from_arrays([part.column(0), binary.cast(pa.binary())], ["doc_id", "ids"])
 
-    schema = T.StructType([T.StructField("doc_id", key), T.StructField("ids", T.BinaryType())])
-    return docs.select("doc_id", text_or_empty(F.col("text")).alias("text")).mapInArrow(run, schema)
+def _tokens(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    words = Words(path)
+    for batch in batches:
+        for part in _slices(batch, 1, SLICE):
+            ids, sizes = words.encode(part.column(1), end_id)
+            offsets = np.concatenate([[0], np.cumsum(sizes * 4)])
+            binary = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))]
+            )
+            yield pa.RecordBatch.from_arrays([part.column(0), binary.cast(pa.binary())], ["doc_id", "ids"])
 
 
 # ── Windows ──────────────────────────────────────────────────────────────────────────────────────────────
@@ -208,80 +216,88 @@ def pack(tokens: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFra
     ``start`` counts the document's ids before the piece, ``offset`` the sequence's; a sequence has no gap.
     ``sequence_id`` is unique over all tasks.  A sequence shorter than ``window`` is to be padded.
     """
-    key = tokens.schema["doc_id"].dataType
-    schema = T.StructType([
-        T.StructField("doc_id", key), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
-        T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", T.LongType()),
-        T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()),
-    ])
+    return tokens.select("doc_id", "ids").mapInArrow(partial(_pieces, window=window, block=block), _schema(tokens))
+
+
+def pack_texts(docs: DataFrame, path: str, window: int = WINDOW, block: int = BLOCK, end_id: int = END_ID) -> DataFrame:
+    """``pack`` of ``tokenize``, in one Python worker a task instead of two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        sequence = TaskContext.get().partitionId() << 33
-        docs: dict[int, tuple] = {}  # number: doc_id, ids
-        waiting: list[Piece] = []
-        rows: list[tuple] = []
-        seen = held = emitted = 0
-        types = [pa.null()]
-
-        def place(group: list[Piece]) -> None:
-            nonlocal sequence, emitted
-            at = 0
-            for doc, start, length in group:
-                doc_id, ids = docs[doc]
-                rows.append((doc_id, start, length, ids[start * 4 : (start + length) * 4], len(ids) // 4, sequence, at))
-                at += length
-            emitted += at * 4
-            sequence += 1
-
-        def batch_of() -> pa.RecordBatch:
-            nonlocal emitted
-            kinds = [types[0], pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            arrays = [pa.array(values, kind) for values, kind in zip(zip(*rows), kinds)]
-            rows.clear()
-            emitted = 0
-            return pa.RecordBatch.from_arrays(arrays, schema.fieldNames())
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal waiting, held
-            groups, waiting = windows_of(waiting, window, last)
-            for group in groups:
-                place(group)
-                if emitted >= EMIT:
-                    yield batch_of()
-            held = sum(p[2] for p in waiting)
-            kept = {p[0] for p in waiting}
-            for doc in [d for d in docs if d not in kept]:
-                del docs[doc]
-
-        for batch in batches:
-            types[0] = batch.schema.field(0).type
-            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                whole, rest = divmod(len(ids) // 4, window)
-                docs[seen] = (doc_id, ids)
-                for i in range(whole):
-                    place([(seen, i * window, window)])
-                    if emitted >= EMIT:
-                        yield batch_of()
-                if rest:
-                    waiting.append((seen, whole * window, rest))
-                    held += rest
-                else:
-                    del docs[seen]
-                seen += 1
-                if held >= block:
-                    yield from flush(False)
-        if waiting:
-            yield from flush(True)
-        if rows:
-            yield batch_of()
-
-    return tokens.select("doc_id", "ids").mapInArrow(run, schema)
+        return _pieces(_tokens(batches, path, end_id), window, block)
+
+    return _texts(docs).mapInArrow(run, _schema(docs))
+
+
+def _schema(df: DataFrame) -> T.StructType:
+    longs = {name: T.StructField(name, T.LongType()) for name in ("start", "length", "doc_tokens", "sequence_id", "offset")}
+    ids = T.StructField("ids", T.BinaryType())
+    return T.StructType([
+        T.StructField("doc_id", df.schema["doc_id"].dataType), longs["start"], longs["length"], ids, longs["doc_tokens"],
+        longs["sequence_id"], longs["offset"],
+    ])
+
+
+class _Sequences:
+    """Rows of finished sequences, handed out in batches of about ``EMIT`` bytes of ids."""
+
+    names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+
+    def __init__(self, first: int):
+        self.number, self.rows, self.size, self.key = first, [], 0, pa.null()
+
+    def place(self, group: list[Piece], docs: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for doc, start, length in group:
+            doc_id, ids = docs[doc]
+            self.rows.append((doc_id, start, length, ids[start * 4 : (start + length) * 4], len(ids) // 4, self.number, at))
+            at += length
+        self.number += 1
+        self.size += at * 4
+        if self.size >= EMIT:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            arrays = [pa.array(values, kind) for values, kind in zip(zip(*self.rows), [self.key, *self.kinds])]
+            self.rows, self.size = [], 0
+            yield pa.RecordBatch.from_arrays(arrays, self.names)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], window: int, block: int) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    out = _Sequences(TaskContext.get().partitionId() << 33)
+    docs: dict[int, tuple] = {}  # number: doc_id, ids of the documents with a waiting piece
+    waiting: list[Piece] = []
+    seen = held = 0
+    for batch in batches:
+        out.key = batch.schema.field(0).type
+        for doc_id, ids in zip(batch.column(0), batch.column(1)):
+            doc_id, ids = doc_id.as_py(), ids.as_py()
+            whole, rest = divmod(len(ids) // 4, window)
+            docs[seen] = (doc_id, ids)
+            for i in range(whole):
+                yield from out.place([(seen, i * window, window)], docs)
+            if rest:
+                waiting.append((seen, whole * window, rest))
+                held += rest
+            else:
+                del docs[seen]
+            seen += 1
+            if held >= block:
+                groups, waiting = windows_of(waiting, window, False)
+                for group in groups:
+                    yield from out.place(group, docs)
+                held = sum(p[2] for p in waiting)
+                docs = {p[0]: docs[p[0]] for p in waiting}
+    for group in windows_of(waiting, window, True)[0]:
+        yield from out.place(group, docs)
+    yield from out.rest()
 
 
 def report(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    """One row per piece with the checksum of its ids (the piece's ids are those of ``pack``)."""
-    return pack(tokenize(docs, path), window).select(
+    """One row per piece with the checksum of its ids."""
+    return pack_texts(docs, path, window).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
