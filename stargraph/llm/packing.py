@@ -20,10 +20,12 @@ again after a lost executor give the same pieces as long as the rows come in the
 from __future__ import annotations
 
 import heapq
+import json
 import os
 from collections.abc import Iterator
 from functools import partial
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -42,43 +44,81 @@ LUMP = 64             # shorter rests are laid together first, so that a block h
 END_ID = 1
 KNOWN_WORDS = 1 << 19  # words whose ids a task remembers
 ENCODE = 4096         # words encoded at a time
+ROW = 64              # words of letters encoded as one text
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")  # an apostrophe may start an ending
 SLICE = 4 << 20       # bytes of text tokenized at a time
 EMIT = 8 << 20        # bytes of ids in a batch of pieces
 
 
 # ── Tokens ───────────────────────────────────────────────────────────────────────────────────────────────
 class Words:
-    """Ids of texts, word by word: no token of this tokenizer reaches over white space, so each distinct word is
-    encoded once and looked up after that."""
+    """Ids of texts.
+
+    Where the tokenizer drops white space and marks the ends of words in its tokens, no token reaches over white space:
+    each distinct word is encoded once and looked up after that.  Marks around a word of letters are tokens of their
+    own there, so such words share what they are without marks and, in ASCII, without capitals; and words of letters
+    are encoded many in a row, as the marked ends tell them apart.  Texts go to any other tokenizer whole.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = t = Tokenizer.from_file(path)
+        end = json.loads(t.to_str())["model"].get("end_of_word_suffix")
+        probes = self.whole(["a", "b", "a  b", " \t\n\x0b\f\r", "(a.", "(", ".", "B"]) if end else []
+        self.by_word = bool(end) and probes[2:5] + probes[7:] == [
+            probes[0] + probes[1], [], probes[5] + probes[0] + probes[6], probes[1]
+        ]
+        if self.by_word:
+            self.ends_word = np.array([(t.id_to_token(i) or "").endswith(end) for i in range(t.get_vocab_size())])
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.atom: dict[str, list[int]] = {"": []}
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, atoms: list[str]) -> None:
+        """Ids of unknown atoms."""
+        letters = [a for a in atoms if a.isalpha() and is_normalized("NFC", a)]
+        rows = [letters[i : i + ROW] for i in range(0, len(letters), ROW)]
+        others = [a for a in atoms if not (a.isalpha() and is_normalized("NFC", a))]
+        for i in range(0, len(rows), ENCODE // ROW):
+            run = rows[i : i + ENCODE // ROW]
+            for row, ids in zip(run, self.whole([" ".join(row) for row in run])):
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(row):
+                    self.atom.update(zip(row, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends))))
+                else:  # letters that the tokenizer does not know as such
+                    others += row
+        for i in range(0, len(others), ENCODE):
+            self.atom.update(zip(others[i : i + ENCODE], self.whole(others[i : i + ENCODE])))
+
     def places(self, words: list[str]) -> np.ndarray:
         """The number of each word; unknown ones are encoded first."""
         if len(self.number) > KNOWN_WORDS:
             self.forget()
         new = [w for w in words if w not in self.number]
-        flat, sizes = [self.flat], []
-        for i in range(0, len(new), ENCODE):
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(new[i : i + ENCODE], add_special_tokens=False)]
-            sizes += map(len, coded)
-            flat.append(np.fromiter(chain.from_iterable(coded), np.uint32))
         if new:
+            atoms = [_atoms(w) for w in new]
+            self.learn(list({a for word in atoms for a in word if a not in self.atom}))
+            ids = self.atom
+            coded = [ids[word[0]] if len(word) == 1 else ids[word[0]] + ids[word[1]] + ids[word[2]] for word in atoms]
+            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
             self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.flat, self.ends = np.concatenate(flat), np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(coded), np.uint32)])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
         return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, an end id after each text, and the number of ids of each text."""
+        if not self.by_word:
+            coded = [[*ids, end_id] for ids in self.whole(texts.to_pylist())]
+            return np.fromiter(chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
         parts = pc.ascii_split_whitespace(texts)
         words = parts.flatten().dictionary_encode()
         at = self.places(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
@@ -89,6 +129,15 @@ class Words:
         return np.insert(ids, last, end_id), np.diff(last, prepend=0) + 1
 
 
+def _atoms(word: str) -> tuple[str, ...]:
+    """Marks, letters, marks; or the word itself (a special token in it must stay whole)."""
+    core = word.strip(MARKS)
+    if not (core.isalpha() and core.lower().isalpha()) or "<|" in word:
+        return (word,)
+    at = word.index(core)
+    return word[:at], core.lower() if core.isascii() else core, word[at + len(core) :]
+
+
 def _slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about ``size`` bytes in a column, one row at least."""
     lengths = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)

@@ -121,6 +121,17 @@ def test_ids_are_those_of_the_whole_text(texts):
 test_ids_are_those_of_the_whole_text.words = packing.Words(PATH)
 
 
+def test_other_tokenizers_take_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, plain = packing.Words(path), Tokenizer.from_file(path)
+    texts = ["two  words", "", " a\n"]
+    ids, sizes = words.encode(pa.array(texts), 7)
+    assert not words.by_word and packing.Words(PATH).by_word
+    assert ids.tolist() == [i for t in texts for i in [*plain.encode(t, add_special_tokens=False).ids, 7]] and len(sizes) == 3
+
+
 def test_forgotten_words_change_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "KNOWN_WORDS", 2)
     words = packing.Words(PATH)
