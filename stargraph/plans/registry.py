@@ -996,9 +996,11 @@ SELECT CAST(count(*) AS BIGINT) AS input,
        CAST(count(*) FILTER (WHERE doc_id % 7 IN (0, 1, 2)) AS BIGINT) AS dropped
 FROM documents""")
 def _s8(spark, d):
-    path = dirty_csv(spark, d)
+    """The cleaning run over the dirty export; its report is taken from the run itself."""
+    from ..sources import review_export as RE
+
     report = scratch_path(spark, "cleaning-report")
-    S.write_report(S.cleaning_report(S.read_csv_all_records(spark, path, ["doc_id", "body", "lang"], split=True)), report)
+    RE.clean_reviews(spark, dirty_csv(spark, d), scratch_path(spark, "cleaned"), report, ["doc_id", "body", "lang"], split=True)
     return spark.read.schema("input long, kept long, dropped long").json(report)
 
 

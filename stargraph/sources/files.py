@@ -9,18 +9,27 @@ Three meanings of a "bad" CSV line exist in the reference, and each reader keeps
 Spark's CSV reader flags short *and* long rows as corrupt in PERMISSIVE mode, so S1 counts the fields of a
 flagged record itself (commas outside quoted sections + 1).  Quoted fields may hold line breaks, which Spark reads
 with ``multiLine``, one task per file.  With ``split=True`` the readers cut a file into blocks instead
-(``csv_records``); that needs quoting by the rule (a quote only opens, closes or is doubled inside a quoted field).
+(``csv_blocks``) and give the same rows, stray and unclosed quotes included; lines end in LF or CRLF there, and a record
+of more than ``csv_blocks.RECORD_BYTES`` bytes is a bad record.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import csv_blocks
+
 CORRUPT = "_corrupt_record"
-REPLACEMENT_CHAR = "�"
+OVERLONG = "\u0000overlong"  # no CSV record holds it as its whole text
+
+#: The well-formed byte sequences of UTF-8 (Unicode standard, table 3-7), as ISO-8859-1 characters.
+_UTF8 = (
+    r"[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|"
+    r"\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}"
+)
 
 
 def select_existing(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
@@ -64,54 +73,42 @@ def field_count(record: Column) -> Column:
     return F.length(F.regexp_replace(unquoted, "[^,]", "")) + F.lit(1)
 
 
-def csv_records(spark: SparkSession, path: str | list[str], header: bool = True) -> DataFrame:
-    """``record``: the records of CSV files as text, read in blocks however large a file is.
+def csv_records(spark: SparkSession, path: str | list[str], header: bool = True, latin: bool = False) -> DataFrame:
+    """``record, size``: the records of CSV files as text (``csv_blocks``), without each file's header.
 
-    A line starts a record where the number of quotes before it is even.  The quotes are counted per block, summed
-    over the few blocks of a file, and counted on inside each block; a record that reaches into the next blocks
-    belongs to the block that it starts in.  Windows run per block (``spark.sql.files.maxPartitionBytes`` at most).
+    With ``latin`` the bytes that are no UTF-8 are dropped from the lines first.
     """
-    value = F.col("value")
-    lines = spark.read.option("lineSep", "\n").text(path).select(
-        value, F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
-        F.monotonically_increasing_id().alias("i"),  # only its order inside a block counts
-        (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))).alias("q"),
-    )
-    earlier = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    opened = lines.groupBy("f", "b").agg(F.sum("q").alias("q")).select(
-        "f", "b", F.coalesce(F.sum("q").over(earlier), F.lit(0)).alias("q0")
-    )
-    inside = Window.partitionBy("f", "b").orderBy("i")
-    before = F.col("q0") + F.coalesce(F.sum("q").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = (
-        lines.join(opened, ["f", "b"])
-        .withColumn("starts", (before % 2 == 0).cast("int"))
-        .withColumn("n", F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    )
-    last = numbered.groupBy("f", "b").agg(F.max("n").alias("n")).withColumn(
-        "open", F.last(F.when(F.col("n") > 0, F.struct("b", "n")), ignorenulls=True).over(earlier)
-    )
-    owner = numbered.join(last.select("f", "b", "open"), ["f", "b"]).select(
-        "f", "b", "i", "value",
-        F.when(F.col("n") > 0, F.struct("b", "n")).otherwise(F.col("open")).alias("of"),
-    )
-    records = owner.groupBy("f", "of").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "i", "value"))), lambda x: x["value"]), "\n").alias("record")
-    )
-    if header:
-        records = records.filter((F.col("of.b") != 0) | (F.col("of.n") != 1))
-    text = F.regexp_replace("record", "\r$", "")  # of a CRLF line end
-    return records.select(text.alias("record")).filter(F.trim("record") != "")
+    prepare = drop_undecodable if latin else lambda line: line
+    found = csv_blocks.records(spark, path, prepare)
+    return (found.filter(~F.col("first")) if header else found).select("record", "size")
+
 
+def _well_formed(latin: Column) -> Column:
+    """UTF-8 text from its bytes as ISO-8859-1 characters, without the bytes that belong to no well-formed sequence."""
+    return F.decode(F.encode(F.regexp_replace(latin, f"((?:{_UTF8})++)|[\\x80-\\xff]", "$1"), "ISO-8859-1"), "UTF-8")
 
-def _flagged(spark: SparkSession, path, schema: T.StructType, header: bool, split: bool) -> DataFrame:
-    """All records under ``schema``, those that do not fit it marked in ``_corrupt_record``."""
+
+def drop_undecodable(text: Column) -> Column:
+    """A line as read, without bytes that are no UTF-8.  A replacement character that the file holds stays."""
+    return F.when(F.is_valid_utf8(text), text).otherwise(_well_formed(F.decode(F.to_binary(text, F.lit("utf-8")), "ISO-8859-1")))
+
+
+def _flagged(spark: SparkSession, path, schema: T.StructType, header: bool, split: bool, latin: bool = False) -> DataFrame:
+    """All records under ``schema``, those that do not fit it marked in ``_corrupt_record``; of a record too long to be
+    read (split only) the mark is ``OVERLONG`` and nothing else is known.
+
+    ``latin``: the file's bytes that are no UTF-8 are dropped (the fields are all text then)."""
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     options = dict(escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     if not split:
-        return spark.read.options(header=header, multiLine=True, **options).schema(with_corrupt).csv(path)
+        if latin:
+            options["encoding"] = "ISO-8859-1"
+        df = spark.read.options(header=header, multiLine=True, **options).schema(with_corrupt).csv(path)
+        return df.select(*[_well_formed(F.col(f"`{f.name}`")).alias(f.name) for f in schema.fields], CORRUPT) if latin else df
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in with_corrupt.fields)
-    return csv_records(spark, path, header).select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
+    parsed = csv_records(spark, path, header, latin).select(F.from_csv("record", ddl, options).alias("r"), "record")
+    mark = F.when(F.col("record").isNull(), F.lit(OVERLONG)).otherwise(F.col(f"r.{CORRUPT}")).alias(CORRUPT)
+    return parsed.select(*[F.col(f"r.`{f.name}`") for f in schema.fields], mark)
 
 
 def read_csv_tolerant(
@@ -127,7 +124,7 @@ def read_csv_tolerant(
     schema = _file_schema(spark, path, wanted, header)
     n = len(schema.fields)
     df = _flagged(spark, path, schema, header, split)
-    fits = F.col(CORRUPT).isNull() | (field_count(F.col(CORRUPT)) <= F.lit(n))
+    fits = F.col(CORRUPT).isNull() | ((F.col(CORRUPT) != OVERLONG) & (field_count(F.col(CORRUPT)) <= F.lit(n)))
     kept = df.filter(fits & _with_first(df)).drop(CORRUPT)
     kept = _named(kept, wanted)
     extra = [v for v in na_values if v != ""]
@@ -149,11 +146,28 @@ def read_csv_strict_arity(
     spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True, split: bool = False
 ) -> DataFrame:
     """Only records whose field count equals the header's; every field as text, columns matched by name;
-    undecodable bytes (read as U+FFFD) are dropped from the values."""
+    bytes that are no UTF-8 are dropped from the values."""
+    return read_csv_strict_counted(spark, path, columns, header, split)[0]
+
+
+def read_csv_strict_counted(
+    spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True, split: bool = False
+) -> tuple[DataFrame, Observation]:
+    """S2 and the counts of S8 (``input``, ``kept``) in one scan: they are observed while the first action on the
+    frame runs, and known after it (``observed_report``)."""
     wanted = _schema(list(columns))
-    df = _flagged(spark, path, _file_schema(spark, path, wanted, header), header, split)
-    df = _named(df.filter(F.col(CORRUPT).isNull() & _with_first(df)).drop(CORRUPT), wanted)
-    return df.select(*[F.regexp_replace(F.col(c), REPLACEMENT_CHAR, "").alias(c) for c in columns])
+    df = _flagged(spark, path, _file_schema(spark, path, wanted, header), header, split, latin=True)
+    fits = F.col(CORRUPT).isNull() & _with_first(df)
+    counts = Observation()
+    df = df.observe(counts, F.count(F.lit(1)).alias("input"), F.count(F.when(fits, F.lit(1))).alias("kept"))
+    return _named(df.filter(fits).drop(CORRUPT), wanted), counts
+
+
+def observed_report(spark: SparkSession, counts: Observation) -> DataFrame:
+    """``input, kept, dropped`` of a finished run."""
+    found = counts.get
+    n, kept = found["input"], found["kept"]
+    return spark.createDataFrame([(n, kept, n - kept)], "input long, kept long, dropped long")
 
 
 def read_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType, columns: Sequence[str] | None = None) -> DataFrame:
@@ -203,9 +217,10 @@ def write_lines_with_header(lines: DataFrame, header: str, path: str, mode: str
     line = F.coalesce(F.col(lines.columns[0]), F.lit(""))
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # the row number inside the task
     headed = lines.select(F.when(first, F.concat(F.lit(header + "\n"), line)).otherwise(line).alias("value"))
-    if lines.isEmpty():
-        headed = lines.sparkSession.range(1).coalesce(1).select(F.lit(header).alias("value"))
     headed.write.mode(mode).option("maxRecordsPerFile", 0).text(path)
+    spark = lines.sparkSession
+    if spark.read.text(path).isEmpty():
+        spark.range(1).coalesce(1).select(F.lit(header).alias("value")).write.mode("append").text(path)
 
 
 def write_tsv_noquote(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -229,7 +244,7 @@ def _report(records: DataFrame, keep: Column) -> DataFrame:
 
 
 def cleaning_report(all_records: DataFrame) -> DataFrame:
-    """``input, kept, dropped`` of a strict cleaning run, in one pass over ``read_csv_all_records``."""
+    """``input, kept, dropped`` of a strict cleaning run without the run, in one pass over ``read_csv_all_records``."""
     return _report(all_records, F.col(CORRUPT).isNull())
 
 

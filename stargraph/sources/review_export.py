@@ -27,14 +27,14 @@ def clean_reviews(
     wanted: Sequence[str] = (*RAW_COLUMNS, *EXTRA_COLUMNS), split: bool = False,
 ) -> str:
     """Clean a raw CSV export into a TSV; returns the TSV's path.  Columns are found by the file's header, in any
-    order; records of another arity are dropped and counted in the report."""
+    order; records of another arity are dropped and counted in the report, which is observed while the TSV is written."""
     present = files.header_columns(spark, raw_path)
     columns = [c for c in wanted if c in present]
-    kept = files.read_csv_strict_arity(spark, raw_path, columns, split=split)
+    kept, counts = files.read_csv_strict_counted(spark, raw_path, columns, split=split)
     cleaned = kept.select(*[clean_text(F.col(c)).alias(c) for c in columns])
     files.write_tsv_noquote(cleaned, tsv_path)
     if report_path:
-        files.write_report(files.cleaning_report(files.read_csv_all_records(spark, raw_path, columns, split=split)), report_path)
+        files.write_report(files.observed_report(spark, counts), report_path)
     return tsv_path
 
 
