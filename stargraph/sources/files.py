@@ -90,7 +90,7 @@ def _well_formed(latin: Column) -> Column:
 
 def drop_undecodable(text: Column) -> Column:
     """A line as read, without bytes that are no UTF-8.  A replacement character that the file holds stays."""
-    return F.when(F.is_valid_utf8(text), text).otherwise(_well_formed(F.decode(F.to_binary(text, F.lit("utf-8")), "ISO-8859-1")))
+    return F.when(F.is_valid_utf8(text), text).otherwise(_well_formed(F.decode(text.cast("binary"), "ISO-8859-1")))
 
 
 def _flagged(spark: SparkSession, path, schema: T.StructType, header: bool, split: bool, latin: bool = False) -> DataFrame:
