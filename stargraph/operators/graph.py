@@ -27,9 +27,19 @@ def build_product_nodes(reviews: DataFrame, prior_weight: float = 10.0, mean=Non
     review row, and a separate text branch would need a second shuffle and a join.)  The global mean is one
     global aggregate over the reviews, without a per-product stage.
     """
-    per_text = reviews.groupBy(
+    m = A.review_mean(reviews) if mean is None else mean
+    return product_nodes(product_text_counts(reviews), prior_weight, m)
+
+
+def product_text_counts(reviews: DataFrame) -> DataFrame:
+    """Reviews and star sums per (product, title, category); an empty category is none."""
+    return reviews.groupBy(
         "product_id", "title", F.when(F.col("category") != "", F.col("category")).alias("category")
     ).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col("stars").cast("bigint")).alias("__s"))
+
+
+def product_nodes(per_text: DataFrame, prior_weight: float, mean) -> DataFrame:
+    """E2 from ``product_text_counts``."""
     stats = (
         per_text.groupBy("product_id")
         .agg(
@@ -38,8 +48,7 @@ def build_product_nodes(reviews: DataFrame, prior_weight: float = 10.0, mean=Non
         )
         .withColumn("avg_stars", F.col("sum_stars") / F.col("review_count"))
     )
-    m = A.review_mean(reviews) if mean is None else mean
-    return A.bayesian_score(stats, prior_weight, m).select(
+    return A.bayesian_score(stats, prior_weight, mean).select(
         "product_id", "title", "category", "bayesian_score", "avg_stars", "review_count"
     )
 
