@@ -94,14 +94,20 @@ FROM pieces
 URL_FILTER = r"""
 WITH named AS (
   SELECT page_id, 19723 + (page_id * 37) % 365 AS day,
-         nullif(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
-         regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)', 1) AS seg
+         regexp_replace(lower(regexp_extract(coalesce(url, ''),
+           '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#@]+)', 1)), '\.$', '') AS h,
+         CASE WHEN h <> '' AND length(h) <= 253 THEN h END AS host,
+         regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)', 1) AS seg,
+         regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*(?:/[^/?#]*)?)', 1) AS path
   FROM pages
 ), subjects AS (
   SELECT DISTINCT 'host' AS kind, host AS value FROM named WHERE host IS NOT NULL
   UNION SELECT DISTINCT 'domain', regexp_replace(host, '^[^.]*\.', '') FROM named
     WHERE host IS NOT NULL AND len(string_split(host, '.')) > 2
   UNION SELECT DISTINCT 'prefix', host || seg FROM named WHERE host IS NOT NULL
+), deeper AS (
+  SELECT kind, value, ('0x' || substr(md5(kind || value), 1, 8))::BIGINT AS d
+  FROM (SELECT DISTINCT 'prefix' AS kind, upper(host) || path || '/' AS value FROM named WHERE host IS NOT NULL AND path <> seg)
 ), digests AS (
   SELECT kind, value, ('0x' || substr(md5(kind || value), 1, 8))::BIGINT AS d FROM subjects
 ), entries AS (
@@ -111,25 +117,28 @@ WITH named AS (
     WHERE kind = 'host' AND d % 8 < 3 AND (d // 1024) % 2 = 0
   UNION ALL SELECT kind, value, 2, 19723 + (d // 8) % 200 FROM digests WHERE kind = 'domain' AND d % 4 = 0
   UNION ALL SELECT kind, value, 1, 19723 + (d // 8) % 200 FROM digests WHERE kind = 'prefix' AND d % 8 = 0
+  UNION ALL SELECT kind, value, 2, 19723 + (d // 8) % 200 FROM deeper WHERE d % 8 = 1
 ), history AS (
-  SELECT kind || ':' || lower(value) AS k, day, max(strength) AS strength FROM entries GROUP BY ALL
+  SELECT kind || ':' || lower(regexp_extract(value, '^[^/]*')) ||
+         regexp_replace(regexp_replace(value, '^[^/]*', ''), '^(/.*[^/])/+$', '\1') AS k, day, max(strength) AS strength FROM entries GROUP BY ALL
 ), spans AS (
   SELECT k, strength, day AS since, lead(day) OVER (PARTITION BY k ORDER BY day) AS until FROM history
 ), keys AS (
-  SELECT DISTINCT host, seg, day, 1001 AS rank, 'prefix:' || host || seg AS k FROM named WHERE host IS NOT NULL
-  UNION SELECT DISTINCT host, seg, day, 1000, 'host:' || host FROM named WHERE host IS NOT NULL
-  UNION SELECT DISTINCT host, seg, day, len(ls) - i + 1, 'domain:' || array_to_string(ls[i:], '.')
+  SELECT DISTINCT host, path, day, 1001 AS rank, 'prefix:' || host || seg AS k FROM named WHERE host IS NOT NULL
+  UNION SELECT DISTINCT host, path, day, 1002, 'prefix:' || host || path FROM named WHERE host IS NOT NULL AND path <> seg
+  UNION SELECT DISTINCT host, path, day, 1000, 'host:' || host FROM named WHERE host IS NOT NULL
+  UNION SELECT DISTINCT host, path, day, len(ls) - i + 1, 'domain:' || array_to_string(ls[i:], '.')
     FROM (SELECT *, string_split(host, '.') AS ls FROM named WHERE host IS NOT NULL),
          unnest(range(1, greatest(len(ls) - 1, 1) + 1)) AS u(i)
 ), active AS (
-  SELECT q.host, q.seg, q.day, q.rank, q.k, s.strength, s.since,
-         row_number() OVER (PARTITION BY q.host, q.seg, q.day ORDER BY q.rank DESC) AS place
+  SELECT q.host, q.path, q.day, q.rank, q.k, s.strength, s.since,
+         row_number() OVER (PARTITION BY q.host, q.path, q.day ORDER BY q.rank DESC) AS place
   FROM keys q JOIN spans s ON q.k = s.k AND s.since <= q.day AND (s.until IS NULL OR q.day < s.until)
   WHERE s.strength > 0
 )
 SELECT n.page_id, n.day, n.host, CASE a.strength WHEN 2 THEN 'block' WHEN 1 THEN 'allow' ELSE 'none' END AS verdict,
        a.k AS matched, a.since
-FROM named n LEFT JOIN active a ON n.host = a.host AND n.seg = a.seg AND n.day = a.day AND a.place = 1
+FROM named n LEFT JOIN active a ON n.host = a.host AND n.path = a.path AND n.day = a.day AND a.place = 1
 """
 
 INFILL = r"""

@@ -6,32 +6,35 @@ next entry; of entries of one key and day the strongest counts (block, then allo
 evaluated as of the day it was fetched against the entries of its host, of every domain above it (two labels or
 more) and of its host with its first path segments, one key per number of segments.  The most specific active entry
 decides: longest prefix, host, longest domain.  A prefix ends at a segment, a slash after its last segment does not
-count; a prefix without a path stands for URLs without one (``host`` entries hold for all).
+count; a prefix without a path stands for URLs without one (``host`` entries hold for all).  Hosts compare without
+case and without a dot at their end, paths with case; an address in brackets is a host.
 
 Work is done per distinct (host, path, day), the path cut to as many segments as the longest listed prefix has, and
-per distinct (key, day), so a host that holds a third of all captures is one row per day and cut path; a key's
-history has at most one row per day.  The verdicts go back to the captures by a join whose keys are salted.
+per distinct (key, day) of listed keys, so a host that holds a third of all captures is one row per day and cut path,
+and captures that no entry could be about leave before the shuffles; a key's history has at most one row per day.  The verdicts go back to the captures by a join whose keys are salted.
 
 Nulls: a capture with a null, malformed or over-long host (253 characters), or with a null day, has the verdict
 ``none``; entries with a null value, day or unknown action are ignored.  Ties and repeated rows: see above, and
 captures stay rows of their own.  With no entries every verdict is ``none``.  Extra columns of the captures pass
-through; working columns start with ``_uf_``.
+through, except that ``host, verdict, matched, since`` are replaced; working columns start with ``_uf_``.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stargraph.llm.common import materialize
+
 SALTS = 16
 _STRENGTH = ("expire", "allow", "block")
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^/:?#@]+)"  # user info ends at the last @; [..]: an address
 _PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 _SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^/?#]*)"
 
 
 def host_of(url: Column) -> Column:
-    """The lower-cased host, null if there is none or it is longer than a host name can be."""
-    host = F.lower(F.regexp_extract(url, _HOST, 1))
+    """The lower-cased host without a dot at its end, null if there is none or it is longer than a host name can be."""
+    host = F.regexp_replace(F.lower(F.regexp_extract(url, _HOST, 1)), r"\.$", "")
     return F.when((host != "") & (F.length(host) <= 253), host)
 
 
@@ -72,9 +75,11 @@ def candidate_keys(host: Column, path: Column) -> Column:
 
 
 def _listed() -> Column:
-    """An entry's value without slashes after a last path segment."""
-    value = F.lower("value")
-    return F.when(F.col("kind") == "prefix", F.regexp_replace(value, "^([^/]+/.*[^/])/+$", "$1")).otherwise(value)
+    """An entry's value: its host lower-cased and without a dot at its end, the path as it is, without slashes after a
+    last segment."""
+    host = F.regexp_replace(F.lower(F.regexp_extract("value", "^[^/]*", 0)), r"\.$", "")
+    path = F.regexp_replace(F.regexp_replace("value", "^[^/]*", ""), "^(/.*[^/])/+$", "$1")
+    return F.when(F.col("kind") == "prefix", F.concat(host, path)).otherwise(F.regexp_replace(F.lower("value"), r"\.$", ""))
 
 
 def depth_of(entries: DataFrame) -> int:
@@ -126,6 +131,7 @@ def as_of(asked: DataFrame, entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> DataFrame:
     """``captures`` (``url, day``) plus ``host, verdict`` (block, allow, none)``, matched, since``."""
+    entries = materialize(entries, "url-entries")
     kept = [c for c in captures.columns if c not in ("host", "verdict", "matched", "since")]
     rows = captures.select(
         *[F.col(f"`{c}`") for c in kept], host_of(F.col("url")).alias("host"), path_of(F.col("url"), depth_of(entries)).alias("_uf_path")
@@ -136,6 +142,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> Dat
         .distinct()
         .withColumn("_uf_key", F.explode(candidate_keys(F.col("host"), F.col("_uf_path"))))
         .select("host", "_uf_path", "day", F.col("_uf_key.rank").alias("rank"), F.col("_uf_key.key").alias("key"))
+        .join(history(entries).select("key").distinct(), "key", "left_semi")
     )
     answers = as_of(combos.select("key", "day").distinct(), entries)
     best = (
@@ -179,9 +186,12 @@ def derived_entries(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts, parent domains and host prefixes of all pages, from digests of their names.
 
     Hosts: three in eight are blocked for some weeks, half of these again later.  Parent domains: a quarter is
-    blocked from some day on.  Prefixes: one in eight is allowed from some day on.
+    blocked from some day on.  Prefixes of one segment: one in eight is allowed from some day on; of two segments, with
+    their host in capitals and a slash at their end: one in eight is blocked from some day on.
     """
-    named = pages.select(host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("segment"))
+    named = pages.select(
+        host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("segment"), path_of(F.col("url"), 2).alias("path")
+    )
     named = named.filter(F.col("host").isNotNull()).distinct()
 
     def listed(kind: str, value: Column) -> DataFrame:
@@ -200,6 +210,8 @@ def derived_entries(pages: DataFrame) -> DataFrame:
     parent = F.when(F.size(F.split("host", r"\.")) > 2, F.regexp_replace("host", r"^[^.]*\.", ""))
     domains = listed("domain", parent).filter(F.col("d") % 4 == 0)
     prefixes = listed("prefix", F.concat("host", "segment")).filter(F.col("d") % 8 == 0)
+    two = F.when(F.size(F.split("path", "/", -1)) == 3, F.concat(F.upper("host"), F.col("path"), F.lit("/")))
+    deeper = listed("prefix", two).filter(F.col("d") % 8 == 1)
     begin = F.floor(F.col("d") / 8) % 200
     return (
         dated(hosts, "block", begin)
@@ -207,4 +219,5 @@ def derived_entries(pages: DataFrame) -> DataFrame:
         .unionByName(dated(hosts.filter(F.floor(F.col("d") / 1024) % 2 == 0), "block", begin + 120))
         .unionByName(dated(domains, "block", begin))
         .unionByName(dated(prefixes, "allow", begin))
+        .unionByName(dated(deeper, "block", begin))
     )

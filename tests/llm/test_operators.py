@@ -468,3 +468,16 @@ def test_url_prefixes_of_any_depth(spark):
     rows = url_filter.evaluate(captures, spark.createDataFrame(entries, "kind string, value string, action string, day int")).orderBy("page_id").collect()
     assert [r.verdict for r in rows] == list(urls.values())
     assert rows[1].matched == "prefix:x.org/p/q"
+
+
+def test_url_authority_and_case(spark):
+    entries = [("prefix", "X.org./Path/A", "block", 1), ("prefix", "x.org/path", "allow", 1), ("host", "Y.org.", "block", 1),
+               ("host", "[2001:DB8::1]", "block", 1), ("host", "v@y.org", "allow", 1)]
+    urls = {
+        "http://x.org/Path/A/b": "block", "http://x.org/path/a": "allow", "http://x.org/Path": "none", "http://x.org./Path/A": "block",
+        "http://u:p@y.org:80/": "block", "http://u@v@y.org": "block", "http://y.org./a": "block", "http://y.org..": "none",
+        "http://[2001:db8::1]:80/a": "block", "http://u@[2001:db8::1]": "block", "http://[2001:db8::2]/": "none",
+    }
+    captures = spark.createDataFrame([(i, u, 2) for i, u in enumerate(urls)], "page_id long, url string, day int")
+    rows = url_filter.evaluate(captures, spark.createDataFrame(entries, "kind string, value string, action string, day int")).orderBy("page_id").collect()
+    assert {r.url: r.verdict for r in rows} == urls
