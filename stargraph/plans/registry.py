@@ -5,6 +5,7 @@ data are given here, the library defaults stay those of the reference.
 """
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1077,8 +1078,10 @@ def maintained_sql(select: str) -> str:
     return graph_sql + select
 
 
+@functools.lru_cache(maxsize=4)
 def maintained_graph(spark, d) -> "GR.MaintainedGraph":
-    """Every review in three deliveries, an AvailableNow run after each; the graph tables follow the reviews."""
+    """Every review in three deliveries, an AvailableNow run after each; the graph tables follow the reviews.  Built
+    once a session for the queries that read them."""
     t = Tables(spark, d)
     o = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("reviewer_id"))
     p = t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("title"), F.col("p_type").alias("category"))

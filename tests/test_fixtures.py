@@ -1,3 +1,4 @@
+import os
 """Golden fixtures (FIXTURES.md §3)."""
 import math
 
@@ -127,3 +128,17 @@ def test_request_and_response_json(spark):
             json.dumps({"answer": "b"})]
     got = spark.createDataFrame([(r,) for r in raws], "raw string").select(RT.unwrap_body(F.col("raw")).alias("b")).collect()
     assert [(g.b.answer, g.b.intent) for g in got] == [("a", "top_rated"), ("a", "top_rated"), ("b", "generic")]
+
+
+def test_entry_imports_without_the_optional_package(tmp_path):
+    """Deleted, or left over as a folder without modules."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "stargraph"), tmp_path / "stargraph", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    (tmp_path / "stargraph" / "llm" / "__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as E; from stargraph.plans import registry; assert set(E.queries()) == set(registry.QUERIES)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
