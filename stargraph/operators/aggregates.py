@@ -154,11 +154,19 @@ def title_coverage(df: DataFrame, title_col: str = "product_title") -> DataFrame
     )
 
 
-def copurchase_degree(undirected_edges: DataFrame) -> DataFrame:
-    """Neighbours and total weight per product, over both directions of each edge."""
-    return undirected_edges.groupBy(F.col("src").alias("product_id")).agg(
-        F.count(_one()).alias("degree"), F.sum("weight").alias("total_weight")
-    )
+def copurchase_degree(edges: DataFrame) -> DataFrame:
+    """Neighbours and total weight per product over both directions of each stored edge (a self-loop counts once).
+
+    Each end is counted on its own, and the two small tables are added: no doubled edge table is shuffled.
+    """
+    def counted(end: str, counts) -> DataFrame:
+        return edges.groupBy(F.col(end).alias("product_id")).agg(
+            F.count(F.when(counts, _one())).alias("n"), F.sum(F.when(counts, F.col("weight"))).alias("w")
+        )
+
+    other = F.col("src") != F.col("dst")  # not a filter: both ends then read one shared exchange
+    ends = counted("src", F.lit(True)).unionByName(counted("dst", other))
+    return ends.groupBy("product_id").agg(F.sum("n").alias("degree"), F.sum("w").alias("total_weight"))
 
 
 def weight_distribution(edges: DataFrame) -> DataFrame:

@@ -149,14 +149,6 @@ def merge_categories(frames: dict[str, DataFrame], category_col: str = "category
     return out
 
 
-def merge_datasets(frames: list[DataFrame]) -> DataFrame:
-    """E10 for datasets that hold many categories each, in a column of their own (other columns may differ)."""
-    out, *rest = frames
-    for df in rest:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out
-
-
 def assign_batches(df: DataFrame, id_col: str, batch_size: int = 500, bucket_rows: int = 1_000_000,
                    bucket_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """Write batches of at most ``batch_size`` rows, formed inside hash buckets of the id.
@@ -175,17 +167,6 @@ def assign_batches(df: DataFrame, id_col: str, batch_size: int = 500, bucket_row
     )
 
 
-def write_batches(df: DataFrame, id_col: str, path: str, batch_size: int = 500, bucket_rows: int = 1_000_000,
-                  mode: str = "errorifexists") -> None:
-    """E11's sink: one file per batch of at most ``batch_size`` rows, under ``bucket=<n>/``.
-
-    A bucket is one task's (the shuffle of ``assign_batches`` puts it there), sorted by batch, and the file writer
-    starts a new file after ``batch_size`` rows, so a consumer can send each file as one request.
-    """
-    batched = assign_batches(df, id_col, batch_size, bucket_rows).sortWithinPartitions("bucket", "batch", id_col)
-    batched.write.mode(mode).option("maxRecordsPerFile", batch_size).partitionBy("bucket").json(path)
-
-
 class ReviewGraph:
     """The final graph's node and edge tables.
 
@@ -194,8 +175,7 @@ class ReviewGraph:
     (``ReviewGraph(reviews=…, products=…, …)``, e.g. over stored tables).
     """
 
-    TABLES = ("reviews", "products", "reviewers", "categories", "belongs_to", "co_purchased", "co_purchased_reversed",
-              "reviewed", "active_in")
+    TABLES = ("reviews", "products", "reviewers", "categories", "belongs_to", "co_purchased", "reviewed", "active_in")
 
     def __init__(self, reviews: DataFrame | None = None, params: dict | None = None, **frames: DataFrame):
         unknown = set(frames) - set(self.TABLES)
@@ -223,20 +203,17 @@ class ReviewGraph:
     def anchored_edges(self, anchors) -> DataFrame:
         """Undirected CO_PURCHASED rows (src = anchor, dst, weight, cross_cat, src_category, dst_category) for
         the product ids in ``anchors`` (a frame with an ``item`` column, or a list of ids): a filtered scan of
-        the stored edge table when there is one – literal ids become ``isin`` filters on ``src`` of each stored
-        direction that reach the parquet scan – otherwise counted from the reviews of the anchors' reviewers only (no global
+        the stored edge table when there is one – literal ids become filters on ``src`` and on ``dst`` that reach the
+        parquet scan – otherwise counted from the reviews of the anchors' reviewers only (no global
         pair table)."""
         if self.is_given("co_purchased"):
             from .patterns import reverse_edges, union_directions
 
             co = self.co_purchased
-            back = self._frames["co_purchased_reversed"] if self.is_given("co_purchased_reversed") else None
             if not isinstance(anchors, DataFrame):
                 ids = list(anchors)
-                other = reverse_edges(co.filter(F.col("dst").isin(ids))) if back is None else back.filter(F.col("src").isin(ids))
-                return co.filter(F.col("src").isin(ids)).unionByName(other)
-            und = union_directions(co) if back is None else co.unionByName(back)
-            return und.join(anchors.select(F.col("item").alias("src")).distinct(), "src", "left_semi")
+                return co.filter(F.col("src").isin(ids)).unionByName(reverse_edges(co.filter(F.col("dst").isin(ids))))
+            return union_directions(co).join(anchors.select(F.col("item").alias("src")).distinct(), "src", "left_semi")
         from .copurchase import anchored_pair_counts, incidence
 
         e = anchored_pair_counts(incidence(self.reviews), anchors, self._p["min_weight"]).select(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import copurchase_degree
 from ..operators.copurchase import anchored_pair_counts, incidence
 from ..operators.graph import ReviewGraph
-from ..operators.patterns import two_hop, union_directions
+from ..operators.patterns import two_hop
 
 BELONGS_TO = "BELONGS_TO"
 CO_PURCHASED = "CO_PURCHASED"
@@ -187,7 +187,7 @@ def combined_score_rows(g: ReviewGraph, min_reviews: int = 5, k: int = 10, with_
 
 def combined_score_rank(g: ReviewGraph, min_reviews: int = 5, k: int = 15, alpha: float = 0.1) -> DataFrame:
     """Q7: ``bayesian + alpha·ln(1 + co-purchase degree)`` (degree 0 without neighbours), rounded to 6 places."""
-    deg = copurchase_degree(union_directions(g.co_purchased.select("src", "dst", "weight")))
+    deg = copurchase_degree(g.co_purchased.select("src", "dst", "weight"))
     scored = (
         g.products.filter((F.col("review_count") >= F.lit(min_reviews)) & _has_category())
         .join(deg.select("product_id", "degree"), "product_id", "left")

@@ -190,6 +190,27 @@ def count_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
     return _report(_all_json(spark, path, schema), F.col(CORRUPT).isNull())
 
 
+def folder_name(file_path: Column) -> Column:
+    """The name of a file's folder, its escapes undone; of a ``column=value`` folder the value (null for Hive's null)."""
+    escaped = F.replace(F.regexp_extract(file_path, "([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B"))
+    name = F.url_decode(escaped)  # of the path as a URI
+    value = F.url_decode(F.replace(F.regexp_extract(name, "^[^=]+=(.*)$", 1), F.lit("+"), F.lit("%2B")))
+    plain = F.when(name.rlike("^[^=]+="), value).otherwise(name)
+    return F.when(plain != "__HIVE_DEFAULT_PARTITION__", plain)
+
+
+def read_datasets(
+    spark: SparkSession, root: str, schema: T.StructType, category_col: str = "category", fmt: str = "parquet", **options,
+) -> DataFrame:
+    """The datasets in the folders below ``root`` as one table, in one scan however many there are.
+
+    The category of a row is the name of its file's folder.  ``schema`` has the columns of all datasets (without the
+    category); a column that a dataset lacks is null, one that ``schema`` lacks is not read.
+    """
+    reader = spark.read.schema(schema).options(recursiveFileLookup=True, **options).format(fmt)
+    return reader.load(root).withColumn(category_col, folder_name(F.col("_metadata.file_path")))
+
+
 def read_tsv(spark: SparkSession, path: str | list[str], columns: Sequence[str], header: bool = True) -> DataFrame:
     """The unquoted, backslash-escaped TSV written by ``write_tsv_noquote`` (values cleaned by X1, so
     without tabs or line breaks).  Fields are read raw and unescaped afterwards (``\\x`` → ``x``)."""

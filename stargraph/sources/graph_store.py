@@ -1,9 +1,10 @@
 """Graph table storage (S7) and label / relationship scans.
 
 Products are partitioned by category (a category filter prunes whole folders); every category is written by one
-group of tasks, not by every task.  CO_PURCHASED is stored in both directions, each range-partitioned and sorted
-by its first endpoint, so an anchored lookup opens the few files whose range holds the id.  Tables are read with
-the schema that was written next to them, so a category that looks like a number stays text.
+group of tasks, not by every task.  CO_PURCHASED is stored once, range-partitioned and sorted by its first endpoint,
+with Parquet bloom filters on both endpoints: an anchored lookup reads the row groups whose range holds the id as first
+endpoint, and those whose filter may hold it as second.  Tables are read with the schema that was written next to them,
+so a category that looks like a number stays text.
 """
 from __future__ import annotations
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.graph import ReviewGraph
-from ..operators.patterns import reverse_edges
+from ..session import materialize
 
 # label / relationship type → (table folder, partition columns)
 LAYOUT = {
@@ -26,7 +27,6 @@ LAYOUT = {
     "BELONGS_TO": ("belongs_to", []),
     "ACTIVE_IN": ("active_in", []),
 }
-REVERSED = "co_purchased_reversed"
 REVIEWS = "reviews"
 
 
@@ -37,12 +37,18 @@ def _frames(g: ReviewGraph) -> dict[str, DataFrame]:
     }
 
 
-def _write(df: DataFrame, base: str, folder: str, mode: str, parts: list[str] = (), ranged: str | None = None) -> str:
+def _write(
+    df: DataFrame, base: str, folder: str, mode: str, parts: list[str] = (), ranged: str | None = None, blooms: list[str] = (),
+) -> str:
     path = f"{base.rstrip('/')}/{folder}"
     out = df.repartitionByRange(ranged).sortWithinPartitions(ranged) if ranged else df
     if parts:
         out = out.repartition(*parts).sortWithinPartitions(*parts)
     writer = out.write.mode(mode)
+    for column in blooms:
+        # sized by the distinct values of the row group; a fixed size would be too large for small ones
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
     (writer.partitionBy(*parts) if parts else writer).parquet(path)
     spark = df.sparkSession
     spark.createDataFrame([(df.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").text(f"{path}_schema")
@@ -67,11 +73,14 @@ def write_graph_tables(g: ReviewGraph, base: str, mode: str = "errorifexists") -
     paths = {"Product": _write(g.products, base, folder, mode, parts)}
     if not g.is_given("products"):
         g = g.with_tables(products=_read(g.products.sparkSession, base, folder))
+    if not g.is_given("co_purchased"):
+        # a range write samples its input first: from a written copy, so the pairs are counted once
+        g = g.with_tables(co_purchased=materialize(g.co_purchased, "co-purchased"))
     for name, df in _frames(g).items():
-        if name != "Product":
-            paths[name] = _write(df, base, LAYOUT[name][0], mode, ranged="src" if name == "CO_PURCHASED" else None)
-    stored = scan(g.products.sparkSession, base, "CO_PURCHASED")
-    _write(reverse_edges(stored), base, REVERSED, mode, ranged="src")
+        if name == "CO_PURCHASED":
+            paths[name] = _write(df, base, LAYOUT[name][0], mode, ranged="src", blooms=["src", "dst"])
+        elif name != "Product":
+            paths[name] = _write(df, base, LAYOUT[name][0], mode)
     _write(g.reviews, base, REVIEWS, mode)
     return paths
 
@@ -93,7 +102,6 @@ def load_graph(spark: SparkSession, base: str) -> ReviewGraph:
     """A ``ReviewGraph`` over stored tables."""
     return ReviewGraph(
         reviews=_read(spark, base, REVIEWS),
-        co_purchased_reversed=_read(spark, base, REVERSED),
         products=scan(spark, base, "Product"),
         reviewers=scan(spark, base, "Reviewer"),
         categories=scan(spark, base, "Category"),

@@ -1,6 +1,6 @@
-import os
 """Golden fixtures (FIXTURES.md §3)."""
 import math
+import os
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
