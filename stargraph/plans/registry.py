@@ -674,7 +674,8 @@ ENTITY_SQL = CTX + ROUTED + f""",
 asked AS (SELECT conv_id, turn, question, CASE WHEN conv_id % 11 = 5 THEN 'weather' ELSE intent END AS intent,
                  CASE WHEN conv_id % 4 = 0 THEN NULL ELSE category END AS category,
                  CASE WHEN intent IN ('copurchase', 'similar_to') THEN
-                   CASE conv_id % 3 WHEN 1 THEN conv_id % 50 + 1 WHEN 2 THEN -1 END END AS product_id FROM routed),
+                   CASE conv_id % 3 WHEN 1 THEN conv_id * 48271 % (SELECT max(product_id) FROM products) + 1 WHEN 2 THEN -1 END END AS product_id
+          FROM routed),
 ids AS (SELECT DISTINCT product_id FROM asked WHERE product_id IS NOT NULL AND intent IN ('copurchase', 'similar_to')),
 both_ways AS (
   SELECT src AS p1, dst AS p2, weight, src_category AS c1, dst_category AS c2 FROM co
@@ -695,19 +696,77 @@ LEFT JOIN contexts c ON c.intent = CASE WHEN q.intent = 'weather' OR (q.intent =
   AND c.category IS NOT DISTINCT FROM CASE WHEN q.intent = 'top_by_category' THEN q.category END"""
 
 
-@query("answer_contexts", O.q(ENTITY_SQL))
-def _r3(spark, d):
-    g = graph(spark, d)
+def asked_questions(spark, d, g) -> DataFrame:
+    """The routed questions of ``ENTITY_SQL``; products are drawn from the whole range of ids."""
     k = F.pmod(F.col("conv_id"), F.lit(3))
+    largest = g.products.agg(F.max("product_id")).scalar()
     named = F.when(F.col("intent").isin("copurchase", "similar_to"),
-                   F.when(k == 1, F.pmod(F.col("conv_id"), F.lit(50)) + 1).when(k == 2, F.lit(-1)))
-    asked = (
+                   F.when(k == 1, F.pmod(F.col("conv_id") * 48271, largest) + 1).when(k == 2, F.lit(-1)))
+    return (
         routed_questions(spark, d)
         .withColumn("product_id", named.cast("bigint"))
         .withColumn("category", F.when(F.pmod(F.col("conv_id"), F.lit(4)) != 0, F.col("category")))
         .withColumn("intent", F.when(F.pmod(F.col("conv_id"), F.lit(11)) == 5, F.lit("weather")).otherwise(F.col("intent")))
     )
-    return RT.answer_contexts(asked, contexts(spark, d, g), g)
+
+
+def written_graph(spark, d) -> ReviewGraph:
+    """The graph with its products and pairs written once for the many queries that read them."""
+    g = graph(spark, d)
+    g = g.with_tables(products=materialize(g.products, "products"))
+    return g.with_tables(co_purchased=materialize(g.co_purchased, "co-purchased"))
+
+
+@query("answer_contexts", O.q(ENTITY_SQL))
+def _r3(spark, d):
+    g = written_graph(spark, d)
+    return RT.answer_contexts(asked_questions(spark, d, g), contexts(spark, d, g), g)
+
+
+QUESTION_SQL = ROUTED + """,
+asked AS (SELECT conv_id, turn, CASE WHEN conv_id % 11 = 5 THEN 'weather' ELSE intent END AS intent,
+                 CASE WHEN conv_id % 4 = 0 THEN NULL ELSE category END AS category,
+                 CASE WHEN intent IN ('copurchase', 'similar_to') THEN
+                   CASE conv_id % 3 WHEN 1 THEN conv_id * 48271 % (SELECT max(product_id) FROM products) + 1 WHEN 2 THEN -1 END END AS product_id
+          FROM routed),
+wants AS (SELECT *, CASE WHEN intent IN ('copurchase', 'similar_to') AND product_id IS NOT NULL THEN 'p' || product_id
+                         WHEN intent IN ('copurchase', 'similar_to') THEN 'copurchase'
+                         WHEN intent = 'category_affinity' OR intent = 'combined_score' THEN intent
+                         WHEN intent = 'top_by_category' AND category <> '' THEN 'c' || category ELSE 'top_rated' END AS want FROM asked)
+""" + O.cte_top_rated("tr", 5, 15) + O.cte_per_category("pc", 15, 3) + O.cte_pairs_global("cg", 10) + O.cte_pairs_global(
+    "ca", 20, cross_only=True) + O.cte_combined("cs", 5, 10) + """,
+both_ways AS (
+  SELECT src AS p1, dst AS p2, weight, src_category AS c1, dst_category AS c2 FROM co
+  UNION ALL SELECT dst, src, weight, dst_category, src_category FROM co WHERE src <> dst),
+near AS (SELECT *, row_number() OVER (PARTITION BY p1 ORDER BY weight DESC, p2) AS rank FROM both_ways
+         WHERE c1 IS NOT NULL AND c2 IS NOT NULL AND p1 IN (SELECT product_id FROM asked)),
+found AS (
+  SELECT 'top_rated' AS want, pid, category, CAST(NULL AS BIGINT) AS pid2, CAST(NULL AS VARCHAR) AS category2 FROM tr
+  UNION ALL SELECT 'c' || category, pid, category, NULL, NULL FROM pc
+  UNION ALL SELECT 'copurchase', pid, category, pid2, category2 FROM cg
+  UNION ALL SELECT 'category_affinity', pid, category, pid2, category2 FROM ca
+  UNION ALL SELECT 'combined_score', pid, category, pid2, category2 FROM cs
+  UNION ALL SELECT 'p' || p1, p1, c1, p2, c2 FROM near WHERE rank <= 15),
+ends AS (SELECT want, pid, category FROM found UNION SELECT want, pid2, category2 FROM found),
+counts AS (
+  SELECT want, sum(n) AS nodes, sum(r) AS relationships FROM (
+    SELECT want, count(DISTINCT pid) + count(DISTINCT nullif(category, '')) AS n,
+           count(*) FILTER (WHERE pid IS NOT NULL AND category <> '') AS r FROM ends GROUP BY want
+    UNION ALL SELECT want, 0, count(*) FROM (SELECT DISTINCT want, least(pid, pid2), greatest(pid, pid2) FROM found
+                                             WHERE pid IS NOT NULL AND pid2 IS NOT NULL) GROUP BY want) GROUP BY want)
+SELECT w.conv_id, w.turn, w.intent, w.category, w.product_id, CAST(coalesce(c.nodes, 0) AS BIGINT) AS nodes,
+       CAST(coalesce(c.relationships, 0) AS BIGINT) AS relationships
+FROM wants w LEFT JOIN counts c ON w.want = c.want"""
+
+
+@query("question_subgraphs", O.q(QUESTION_SQL))
+def _g_questions(spark, d):
+    """Nodes and relationships of the subgraph of every question, in one plan."""
+    from . import question_subgraphs as QS
+
+    g = written_graph(spark, d)
+    asked = asked_questions(spark, d, g).select("conv_id", "turn", "intent", "category", "product_id")
+    return QS.question_summary(g, asked)
 
 
 # ── X: scalar and text functions ─────────────────────────────────────────────────────────────────────────

@@ -298,3 +298,25 @@ def test_datasets_of_folders_in_one_scan(spark):
     got = S.read_datasets(spark, root, T.StructType([T.StructField("review_id", T.LongType()), T.StructField("title", T.StringType())]))
     assert sorted((r.category, r.review_id, r.title) for r in got.collect()) == sorted(
         [("Toys+Games 50%", 0, "t"), ("plain", 1, None), ("a=b", 2, "t"), ("ü", 3, None)])
+
+
+def test_subgraphs_of_a_table_of_questions(spark):
+    from stargraph.plans import question_subgraphs as QS
+    from stargraph.plans import subgraph as SG
+
+    g = registry.graph(spark, SF_SMALL)
+    known = g.co_purchased.first().src
+    asked = [("top_rated", None, None), ("similar_to", None, known), ("copurchase", None, -1), ("copurchase", None, None),
+             ("top_by_category", "STANDARD", None), ("top_by_category", "", None), ("combined_score", None, known), ("weather", None, None)]
+    questions = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)] + [(99, *asked[1])], "q long, intent string, category string, product_id long")
+    keyed, nodes, edges = QS.question_subgraphs(g, questions)
+    summary = {r.q: (r.nodes, r.relationships) for r in QS.question_summary(g, questions).collect()}
+    for key in keyed.filter("q in (1, 4, 6)").collect():
+        _, rows = Q.subgraph_rows(g, key.intent, key.product_id if key.intent == "similar_to" else None, key.category)
+        own = F.lit(True)
+        for k in QS.KEYS:
+            own = own & F.col(k).eqNullSafe(F.lit(key[k]))
+        for many, one in ((nodes, SG.subgraph_nodes(rows, g.products)), (edges, SG.subgraph_edges(rows))):
+            assert sorted(map(str, many.filter(own).drop(*QS.KEYS).collect())) == sorted(map(str, one.collect()))
+        assert summary[key.q] == (nodes.filter(own).count(), edges.filter(own).count())
+    assert summary[2] == (0, 0) and summary[99] == summary[1] and summary[5] == summary[7] == summary[0]
