@@ -4,8 +4,8 @@
                  the value after a credential name and ``=`` or ``:`` (or after ``Bearer``), quoted or not, of
                  ``MIN_VALUE`` or more characters of any kind; the password in ``scheme://user:password@host``; a
                  token of dotted parts (JWT); every other run of 16 or more of ``[A-Za-z0-9+/_-]`` (up to two ``=``
-                 after it).  A value with blanks in it counts only in quotes that close within ``QUOTED`` characters
-                 of the same line; otherwise it ends at the first blank.
+                 after it).  A value with blanks in it counts only in quotes that close on the same line; otherwise it
+                 ends at the first blank.  No value is too long.
 ``features``     length, shares of character classes, transitions between classes and between vowels and
                  consonants, coverage by a dictionary of common words, the shape of the path, and the
                  neighbouring words (assignment, quotes, credential names).
@@ -43,8 +43,8 @@ SEED = 8
 THRESHOLD = 0.5
 AROUND = 48  # characters kept before and after a candidate
 
-MIN_VALUE = 6  # characters of the shortest value after a credential name
-QUOTED = 256  # characters of the longest quoted value with blanks in it
+MIN_VALUE = 4  # characters of the shortest value after a credential name: fewer are no secret
+USER = 4096  # characters of the longest user name in a URL (look-behinds are bounded)
 
 #: ``auth`` but not ``author`` (``authorization`` is one).
 NAMES = r"token|secret|passw|passphrase|pwd|api.?key|access.?key|private.?key|auth(?!or(?!i[sz]))|credential|bearer"
@@ -62,9 +62,9 @@ _END = (  # another name or entry, a tag, a quote that closes, or marks before a
 )
 #: Group 1 is what stands before the value of a credential name, group 2 the quote that opens it.
 CANDIDATE = (
-    rf"(?<=:)(?<=://[^\s/:@\"'`<>]{{0,64}}:)[^\s/\"'`<>?#]{{{MIN_VALUE},}}(?=@)"
+    rf"(?<=:)(?<=://[^\s/:@\"'`<>]{{0,{USER}}}:)[^\s/\"'`<>?#]{{{MIN_VALUE},}}(?=@)"
     rf"|(?<!{_RUN})(?={_RUN})(?:({_NAMED}({_QUOTE})?)"
-    rf"(?:(?=\S|[^\S\r\n]+[^\s\"'`])(?:(?!\2)(?:\\.|[^\r\n\\])){{{MIN_VALUE},{QUOTED}}}(?=\2)"
+    rf"(?:(?<=[\"'`])(?=\S|[^\S\r\n]+[^\s\"'`])(?:(?!\2)(?:\\.|[^\r\n\\])){{{MIN_VALUE},}}+(?=\2)"
     rf"|(?!{_QUOTE})(?!\S{{0,{MIN_VALUE - 1}}}?{_END})\S{{{MIN_VALUE},}}?(?={_END}))"
     rf"|eyJ[A-Za-z0-9_-]{{5,}}(?:\.[A-Za-z0-9_-]{{4,}}){{1,4}}"
     rf"|{_RUN}{{16,}}={{0,2}})"
@@ -179,7 +179,18 @@ def fit(labelled: DataFrame, names: list[str], max_per_label: int = MAX_PER_LABE
     """A scorer learned from rows of features and ``label``; it adds ``score`` (0 to 1)."""
     order = F.xxhash64(F.lit(SEED), "doc_id", "nth", "value")
     rows = labelled.select(*names, F.col("label").cast("double").alias("label"), order.alias("at"))
-    first = [rows.filter(F.col("label") == c).orderBy("at", *names).limit(max_per_label) for c in (0.0, 1.0)]
+    labels = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect() if r.label is not None}
+
+    def lowest(label: float) -> DataFrame:
+        """The first rows by the hash; a bound on the hash leaves about twice as many to be sorted, however many there are."""
+        own = rows.filter(F.col("label") == label)
+        share = 2 * max_per_label / max(labels.get(label, 0), 1)
+        if share < 0.5:
+            own = own.filter(F.shiftrightunsigned("at", 1) < F.lit(int(share * 2**63)))
+            return own.orderBy(F.shiftrightunsigned("at", 1), "at", *names).limit(max_per_label)
+        return own.orderBy("at", *names).limit(max_per_label)
+
+    first = [lowest(c) for c in (0.0, 1.0)]
     learned = materialize(first[0].unionByName(first[1]), "secret-learned")
     seen = {r.label: r.n for r in learned.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:

@@ -374,12 +374,32 @@ def test_secret_candidates(spark):
     assert secrets.candidates(docs.limit(0)).count() == 0
 
 
-def test_secret_forest_on_held_out_rows(spark, sf_mid):
-    docs = spark.read.parquet(f"{sf_mid}/documents.parquet")
-    labels = secrets.weak_labels(secrets.candidates(docs)).select("doc_id", "nth", "label")
-    rows = queries.op8_secrets(spark, sf_mid).join(labels, ["doc_id", "nth"]).collect()
-    assert sum(r.label for r in rows) > 5
-    assert sum(r.secret == (r.label == 1.0) for r in rows) / len(rows) > 0.97
+def test_secret_forest_on_held_out_rows(spark):
+    """Only findings of documents that taught nothing; the labels are the rule's (the tables hold no reviewed ones)."""
+    base = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    held = docs.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0)
+    labels = secrets.weak_labels(secrets.candidates(held)).select("doc_id", "nth", "label")
+    rows = queries.op8_secrets(spark, base).join(labels.filter("label is not null"), ["doc_id", "nth"]).collect()
+    positive, flagged = [r for r in rows if r.label], [r for r in rows if r.secret]
+    assert len(positive) >= 20 and len(rows) > 2 * len(positive)
+    assert sum(r.secret for r in positive) / len(positive) >= 0.9
+    assert sum(r.label for r in flagged) / len(flagged) >= 0.9
+
+
+def test_secrets_learn_from_the_lowest_hashes_only(spark):
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "concat(IF(id % 3 = 0, 'token = \"', 'see '), sha1(string(id)), IF(id % 3 = 0, '\"', '')) AS text", "'s' AS source")
+    found, names = secrets.features(secrets.weak_labels(secrets.candidates(docs)))
+    score = secrets.fit(found, names, max_per_label=100)
+    got = score(found).select((F.col("score") >= 0.5).alias("s"), "label").collect()
+    assert len(got) == 3_000 and sum(r.s == (r.label == 1.0) for r in got) > 2_970
+
+
+def test_secrets_of_one_class_and_empty(spark):
+    docs = spark.createDataFrame([(i, "see " + "a1" * (9 + i), None) for i in range(3)], "doc_id long, text string, source string")
+    found = secrets.weak_labels(secrets.candidates(docs))
+    assert {(r.score, r.secret) for r in secrets.scan(found, F.lit(True)).collect()} == {(0.0, False)}
+    assert secrets.scan(found.limit(0), F.lit(True)).count() == 0
 
 
 def test_secrets_without_labels_keep_everything(spark):
@@ -397,7 +417,9 @@ def test_secret_values_of_any_shape(spark):
         "https://x.org/?token=abc123&password=hunter22&z=1": ["abc123", "hunter22"], '{"token":"x","password":"hunter22","n":1}': ["hunter22"],
         'say \\"password\\": \\"hunter22\\"}': ["hunter22"], "MY_LONG_SERVICE_API_TOKEN=abc-123": ["abc-123"], 'password="a\\"b\\"cdef9"': ['a\\"b\\"cdef9'],
         "token: " + "z" * 100_000: ["z" * 100_000], "token=" * 20_000: ["token=" * 19_999], "password=" + "&" * 50_000: ["&" * 50_000],
-        "author: Johnathan, password=abc": [], "password=   \nfoo bar12345": [],
+        "author: Johnathan, password=abc": [], "password=   \nfoo bar12345": [], "password=hunt5": ["hunt5"],
+        "https://" + "u" * 70 + ":hunter22@h": ["//" + "u" * 70, "hunter22"], 'passphrase = "' + "my dog is old and wise " * 400 + '"': ["my dog is old and wise " * 400],
+        "token=ab " * 30_000: [], "token='" + "ab " * 30_000: [],
     }
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     got = collections.defaultdict(list)
