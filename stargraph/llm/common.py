@@ -31,7 +31,8 @@ def ascii_lower(text: Column) -> Column:
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:
-    """``crc32(doc_id as text) mod modulus`` (null for a null id)."""
+    """``crc32(doc_id as text) mod modulus`` (null for a null id: such a row is neither
+    held out nor learned from, and its ``held_out`` is null)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
