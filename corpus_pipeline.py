@@ -10,7 +10,8 @@ decontamination   documents that hold a benchmark window go
 mixing            what is left is mixed to the source weights and sorted by training position
 
 All but the last return the columns of ``documents``; the last adds size, source_size, target, taken and position.
-Null texts count as empty, rows with a null doc_id are documents like any other, empty tables pass through.
+Null texts count as empty, rows with a null doc_id are documents like any other, empty tables pass through.  Of rows with
+equal doc_id and text that differ elsewhere one stays, not always the same; a column named ``_score`` is reserved.
 """
 from __future__ import annotations
 
