@@ -8,7 +8,7 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "
 # queries that write files inside the callable (their returned frame reads the written files back)
 WRITERS = {"read_csv_tolerant", "read_csv_strict_arity", "read_jsonl", "read_tsv", "write_csv_quote_all",
            "write_tsv_noquote", "write_graph_tables", "write_report_counts", "incremental_reload", "clean_to_graph", "maintained_products",
-           "maintained_reviewers", "maintained_co_purchased"}
+           "maintained_reviewers", "maintained_co_purchased", "merge_categories", "batch_writes"}
 
 
 def _plan(df) -> str:
