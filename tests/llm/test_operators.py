@@ -159,8 +159,8 @@ def brute_hits(rows, items, n=10):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block_words", [decontaminate.BLOCK_WORDS, 30])
-def test_decontamination_matches_brute_force(spark, block_words):
+@pytest.mark.parametrize("block_bytes", [decontaminate.BLOCK_BYTES, 1000])
+def test_decontamination_matches_brute_force(spark, block_bytes):
     rng = random.Random(3)
     vocab = ["the", "Of", "é", "x1", "ab", "zu"]
     say = lambda n: rng.choice([" ", ", ", "\n", "\x00"]).join(rng.choice(vocab) for _ in range(n))
@@ -169,13 +169,50 @@ def test_decontamination_matches_brute_force(spark, block_words):
     rows += [(100, None), (101, ""), (0, rows[0][1]), (None, items[1][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted(map(tuple, decontaminate.report(docs, bench, block_words=block_words).collect()), key=str)
+    got = sorted(map(tuple, decontaminate.report(docs, bench, block_bytes=block_bytes).collect()), key=str)
     want = brute_hits(rows, items)
     assert got == want
-    clean = decontaminate.clean(docs, bench, block_words=block_words)
+    clean = decontaminate.clean(docs, bench, block_bytes=block_bytes)
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(x[0]) for x in want if not x[5])
     assert decontaminate.report(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.report(docs.limit(0), bench).count() == 0
+    blocks = decontaminate._blocks(bench, 10, block_bytes).count()
+    assert blocks == 1 if block_bytes == decontaminate.BLOCK_BYTES else blocks > 2
+
+
+def test_decontamination_tables_are_compact():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(200_000)]
+    texts = [" ".join(rng.choices(words, k=200)).encode() for _ in range(2_000)]
+    texts += [b"same " * 100_000]  # one test string, 99,991 times
+    tables = decontaminate.Tables([str(i) for i in range(len(texts))], texts)
+    assert tables.nbytes < 45 * 500_000
+    assert len(tables.searchers[0].keys) < 2_000 * 191 + 2
+    again = decontaminate.Tables.load(tables.dump())
+    hasher = decontaminate.Hasher()
+    assert again.scan([b"a " + texts[7][:300] + b" b", b"same " * 2_000], hasher)[0][2] == ["7"]
+    assert again.scan([b"same " * 2_000], hasher) == [(2_000, [[0, 2_000]], ["2000"])]
+
+
+def test_decontamination_strings_of_any_length():
+    """Words that agree in length and in the bytes that are hashed; windows over the ends of texts."""
+    hasher, start = decontaminate.Hasher(), "x" * 80
+    items = [f"{start}a b c".encode(), b"one", f"{start}b " .encode() * 3]
+    tables = decontaminate.Tables(["1", "2", "3"], items, window=3)
+    texts = [f"{start}a b C".encode(), f"{start}b b c".encode(), b"b one", f"{start}a".encode(), b"b c", b"", f"{start}B {start}b,{start}b".encode()]
+    found = [x[2] for x in tables.scan(texts, hasher)]
+    assert found == [["1"], [], ["2"], [], [], [], ["3"]]
+    assert tables.scan(texts, hasher)[6] == (3, [[0, 3]], ["3"])
+
+
+def test_decontamination_keeps_all_columns(spark, odd):
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "zz")], "item_id long, text string")
+    clashing = odd.withColumn("_dc_text", F.lit("mine")).withColumn("items", F.lit(1))
+    for block_bytes in (decontaminate.BLOCK_BYTES, 10):
+        kept = decontaminate.clean(clashing, bench, block_bytes=block_bytes)
+        assert kept.columns == clashing.columns
+        assert ids(kept) == sorted(x for x in EVERY if x != (True, 1))
+        assert ids(decontaminate.report(clashing, bench, block_bytes=block_bytes)) == EVERY
 
 
 # ── Quality and language ─────────────────────────────────────────────────────────────────────────────────
