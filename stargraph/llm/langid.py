@@ -1,13 +1,14 @@
 """Language identification by cross-parsing entropy.
 
 Learning: per language, a bounded sample of labelled text (``SAMPLE_DOCS`` distinct slices in a fixed pseudo-random
-order, at most ``PER_DOC`` characters of each and ``SAMPLE_CHARS`` together) becomes a suffix automaton, which accepts exactly the substrings of the sample.  Prediction: a text is cut greedily into
-phrases, each the longest match in the sample; the number of phrases times log2(sample length) per symbol estimates
+order, the first ``PER_DOC`` characters of each and ``SAMPLE_CHARS`` together, so about 20 whole slices) becomes a
+suffix automaton, which accepts exactly the substrings of the sample.  Prediction: a text is cut greedily into phrases,
+each the longest match in the sample; the number of phrases times log2(sample length) per symbol estimates
 the cross entropy, and the language with the fewest normalised phrases wins (ties: the smallest language code).
 
 Symbols are all letters of the samples with case folded; every run of other characters is one blank, a letter that the
 sample lacks belongs to the phrase that it ends.  Texts are parsed in whole, in lanes of ``LANE`` symbols that are
-stepped together with numpy (a lane's first phrase starts afresh); the phrases of a text's lanes are summed.
+stepped together with numpy and joined where the parses of two lanes meet, so the count is that of an unbroken parse.
 
 ``score`` is the margin (b - a) / (b + a) of the best a and second best b cross entropies, 1.0 if only one
 language was learned.  Text null, empty or without a letter: ``und`` with score 0.0; the same if no language was
@@ -34,24 +35,39 @@ _ROOM = 3  # slots per transition of the packed tables
 
 
 def learn_samples(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, per_doc: int = PER_DOC) -> dict[str, list[str]]:
-    """A bounded number of text slices per language from ``text, lang`` rows."""
-    order = Window.partitionBy("lang").orderBy("late", "at", "slice")
-    rows = (
-        labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0))
-        .select(
-            "lang",
-            F.substring("text", 1, per_doc).alias("slice"),
-            (F.length("text") < 100).alias("late"),
-            F.xxhash64("text").alias("at"),
-        )
-        .groupBy("lang", "slice")  # copies take one place
-        .agg(F.min("late").alias("late"), F.min("at").alias("at"))
-        .withColumn("place", F.row_number().over(order))
+    """A bounded number of text slices per language from ``text, lang`` rows.
+
+    Slices are taken in the order of their hash, those of short texts last.  Counts per language say up to which hash
+    about ``4 * sample_docs`` slices lie, so only those are ranked; where they prove too few, all of that language are.
+    """
+    rows = labelled.filter(F.col("lang").isNotNull() & (F.length("text") > 0)).select(
+        "lang", (F.length("text") < 100).alias("late"), F.substring("text", 1, per_doc).alias("slice")
+    )
+    rows = rows.withColumn("at", F.xxhash64("slice"))
+    counts = rows.groupBy("lang", "late").agg(F.approx_count_distinct("at").alias("n")).collect()
+    share = {(r.lang, r.late): min(1.0, 4 * sample_docs / max(1, r.n)) for r in counts}
+    samples = _lowest(rows, share, sample_docs)
+    short = {lang for lang, late in share if len(samples.get(lang, ())) < sample_docs and share[lang, late] < 1}
+    if short:
+        samples.update(_lowest(rows, {key: 1.0 for key in share if key[0] in short}, sample_docs))
+    return samples
+
+
+def _lowest(rows: DataFrame, share: dict[tuple[str, bool], float], sample_docs: int) -> dict[str, list[str]]:
+    """The first ``sample_docs`` distinct slices per language; a share of the hashes is looked at."""
+    limits = [(lang, late, min(2**63 - 1, int(part * 2**64) - 2**63)) for (lang, late), part in share.items()]
+    known = rows.sparkSession.createDataFrame(limits, "lang string, late boolean, until long")
+    chosen = (
+        rows.join(known, ["lang", "late"])
+        .filter(F.col("at") <= F.col("until"))
+        .groupBy("lang", "late", "at", "slice")  # copies take one place
+        .agg(F.lit(1).alias("one"))
+        .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("late", "at", "slice")))
         .filter(F.col("place") <= sample_docs)
         .collect()
     )
     samples: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r.lang, r.place)):
+    for row in sorted(chosen, key=lambda r: (r.lang, r.place)):
         samples.setdefault(row.lang, []).append(row.slice)
     return samples
 
@@ -163,26 +179,118 @@ class Model:
         symbols, sizes = self.symbols(texts)
         ends = np.cumsum(sizes)
         letters = np.concatenate(([0], np.cumsum(symbols != 0)))
-        letters = letters[ends] - letters[ends - sizes]
+        roots = np.repeat(np.array(self.starts, dtype=np.int32)[:, None], len(texts), axis=1)
+        return self.parse(symbols, sizes, roots)[0], sizes, letters[ends] - letters[ends - sizes]
+
+    def long(self, text: str) -> tuple[np.ndarray, int, int]:
+        """``phrases`` of one text of any length, in parts that go on in the state that the one before left."""
+        state = np.array(self.starts, dtype=np.int32)[:, None]
+        total, size, letters, blank = np.zeros(len(state)), 0, 0, False
+        for cut in range(0, len(text), _PIECE):
+            symbols, _ = self.symbols([text[cut : cut + _PIECE]])
+            if blank and len(symbols) and symbols[0] == 0:
+                symbols = symbols[1:]
+            if not len(symbols):
+                continue
+            blank = symbols[-1] == 0
+            part, state = self.parse(symbols, np.array([len(symbols)]), state)
+            total += part[:, 0]
+            size, letters = size + len(symbols), letters + int((symbols != 0).sum())
+        return total, size, letters
+
+    def parse(self, symbols: np.ndarray, sizes: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases ended (languages x texts) of texts that begin in the states ``enter``, and the states at their ends.
+
+        Lanes are stepped together as if each began a phrase.  Then each is run again from the state in which the lane
+        before it ended, beside the first run, until both are in one state: from there on they agree.
+        """
         lanes = -(-sizes // LANE)
-        owner = np.repeat(np.arange(len(texts)), lanes)
+        owner = np.repeat(np.arange(len(sizes)), lanes)
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        ends = np.cumsum(sizes)
         start = np.repeat(ends - sizes, lanes) + nth * LANE
         length = np.minimum(LANE, np.repeat(ends, lanes) - start)
+        fresh = np.where(nth == 0, enter.take(owner, axis=1), np.array(self.starts, dtype=np.int32)[:, None])
         order = np.argsort(-length, kind="stable")
-        start, longest = start[order], length[order]
-        live = np.searchsorted(-longest, -np.arange(longest[0] if len(order) else 0), side="left")
-        state = np.repeat(np.array(self.starts, dtype=np.int32)[:, None], len(order), axis=1)
-        count = np.zeros(state.shape, dtype=np.int32)
+        live = np.searchsorted(-length[order], -np.arange(length.max(initial=0)), side="left")
+        state, count = fresh.take(order, axis=1), np.zeros(fresh.shape, dtype=np.int32)
         for step, k in enumerate(live.tolist()):
-            symbol = symbols[start[:k] + step]
+            symbol = symbols[start[order[:k]] + step]
             now = state[:, :k]
             cell = now + symbol
             goes_on = self.owner.take(cell) == now
             count[:, :k] += ~goes_on
             state[:, :k] = np.where(goes_on, self.to.take(cell), self.first.take(symbol, axis=1))
-        total = np.stack([np.bincount(owner[order], weights=row, minlength=len(texts)) for row in count])
-        return total, sizes, letters
+        back = np.argsort(order)
+        state, count = state.take(back, axis=1), count.take(back, axis=1)
+        self._join(symbols, start, length, nth, fresh, state, count)
+        total = [np.bincount(owner, weights=row, minlength=len(sizes)) for row in count]
+        final = enter.copy()
+        final[:, sizes > 0] = state[:, np.cumsum(lanes)[sizes > 0] - 1]
+        return np.stack(total), final
+
+    def _join(self, symbols, start, length, nth, fresh, state, count) -> None:
+        """Correct the lanes' counts and end states for the states in which they are entered."""
+        later = np.flatnonzero(nth > 0)
+        lang, lane = (x.ravel() for x in np.meshgrid(np.arange(len(state)), later, indexing="ij"))
+        one, two = state[lang, lane - 1], fresh[lang, lane]
+        entered, open_ = state.copy(), []
+        for step in range(LANE):
+            differ = one != two
+            over = differ & (length[lane] <= step)
+            open_ += zip(lane[over].tolist(), lang[over].tolist(), one[over].tolist())
+            keep = differ & ~over
+            lang, lane, one, two = lang[keep], lane[keep], one[keep], two[keep]
+            if not len(lane):
+                break
+            symbol = symbols[start[lane] + step]
+            begin = self.first[lang, symbol]
+            ends = []
+            for now in (one, two):
+                goes_on = self.owner[now + symbol] == now
+                ends.append((np.where(goes_on, self.to[now + symbol], begin), ~goes_on))
+            (one, a), (two, b) = ends
+            np.add.at(count, (lang, lane), a.astype(np.int32) - b)
+        differ = one != two
+        open_ += zip(lane[differ].tolist(), lang[differ].tolist(), one[differ].tolist())
+        # lanes that were left in another state than the first run's: their followers were entered in a wrong one
+        done: set[tuple[int, int]] = set()
+        for lane, lang, now in sorted(open_):
+            if (lang, lane) not in done:
+                state[lang, lane] = now
+                done |= self._follow(symbols, start, length, nth, fresh, state, entered, count, lang, lane)
+
+    def _follow(self, symbols, start, length, nth, fresh, state, entered, count, lang, lane) -> set[tuple[int, int]]:
+        """Go on from a lane that ended in another state than its first run, lane by lane, until one ends as that did."""
+        go, to, first = memoryview(self.owner), memoryview(self.to), self.first[lang].tolist()
+
+        def run(s: int, lane: int, other: int | None) -> tuple[int, int]:
+            """The end state and the phrases ended from ``s``, less those from ``other`` until both are in one state."""
+            n = 0
+            for c in symbols[start[lane] : start[lane] + length[lane]].tolist():
+                if s == other:
+                    return -1, n
+                if go[s + c] == s:
+                    s = to[s + c]
+                else:
+                    s, n = first[c], n + 1
+                if go[other + c] == other:
+                    other = to[other + c]
+                else:
+                    other, n = first[c], n - 1
+            return (-1 if s == other else s), n
+
+        done = set()
+        while lane + 1 < len(start) and nth[lane + 1] and state[lang, lane] != entered[lang, lane]:
+            before, after = int(entered[lang, lane]), int(state[lang, lane])
+            lane += 1
+            root, end = int(fresh[lang, lane]), int(entered[lang, lane])
+            _, wrong = run(before, lane, root)
+            last, right = run(after, lane, root)
+            count[lang, lane] += right - wrong
+            state[lang, lane] = end if last < 0 else last
+            done.add((lang, lane))
+        return done
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         if not self.languages:
@@ -190,12 +298,10 @@ class Model:
         total = np.zeros((len(self.languages), len(texts)))
         sizes, letters = np.zeros(len(texts)), np.zeros(len(texts))
         for at, piece in _pieces(texts):
-            part = self.phrases(piece)
-            cols = np.array(at)
-            for i in range(len(self.languages)):
-                np.add.at(total[i], cols, part[0][i])
-            np.add.at(sizes, cols, part[1])
-            np.add.at(letters, cols, part[2])
+            if len(at) > 1:
+                total[:, at], sizes[at], letters[at] = self.phrases(piece)
+            else:
+                total[:, at[0]], sizes[at], letters[at] = self.long(piece[0])
         entropy = total * np.array(self.bits)[:, None] / np.maximum(sizes, 1)
         names, scores = [], []
         for i in range(len(texts)):
@@ -212,17 +318,15 @@ class Model:
 
 
 def _pieces(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """Texts in groups of about ``_PIECE`` characters; longer ones are cut at lane borders."""
+    """Numbers and texts in groups of about ``_PIECE`` characters."""
     at, group, size = [], [], 0
     for i, text in enumerate(texts):
-        for cut in range(0, max(1, len(text)), _PIECE):
-            part = text[cut : cut + _PIECE]
-            at.append(i)
-            group.append(part)
-            size += len(part)
-            if size >= _PIECE:
-                yield at, group
-                at, group, size = [], [], 0
+        at.append(i)
+        group.append(text)
+        size += len(text)
+        if size >= _PIECE or (i + 1 < len(texts) and size + len(texts[i + 1]) > 2 * _PIECE):
+            yield at, group
+            at, group, size = [], [], 0
     if group:
         yield at, group
 

@@ -263,6 +263,27 @@ def test_phrases_match_brute_force():
         assert [int(x) for x in total[k]] == [brute_phrases(t.lower(), sample) for t in texts]
 
 
+@pytest.mark.parametrize("piece", [langid._PIECE, 1500])
+def test_phrases_do_not_depend_on_lanes(monkeypatch, piece):
+    """Prose, periods that no two lanes meet in, blanks and unknown letters at the borders of lanes and parts."""
+    monkeypatch.setattr(langid, "_PIECE", piece)
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choice("abcab ") for _ in range(n))
+    period = "abcabcabcabc cbacba bb aac"
+    samples = {"a": [say(300)], "b": [say(40)], "c": [period]}
+    model = langid.Model(samples)
+    texts = [say(5000), "abc" * 2000, "abcabcabcabc cbacba " * 300, "a" * 3001, say(700) + "abca" * 900 + say(700), " " * 1600 + say(900),
+             "zab" * 900 + say(500) + "cbacbabb" * 300]
+    texts += [say(rng.randint(500, 1200)) + rng.choice(["abc", "bca c", "b"]) * rng.randint(100, 700) + say(rng.randint(0, 600)) for _ in range(40)]
+    many = model.phrases(texts)[0] if piece == langid._PIECE else None
+    for i, text in enumerate(texts):
+        total, size, _ = model.long(text)
+        plain = re.sub(" +", " ", text)
+        want = [brute_phrases(plain, re.sub(" +", " ", samples[lang][0])) for lang in model.languages]
+        assert total.astype(int).tolist() == want and size == len(plain)
+        assert many is None or many[:, i].astype(int).tolist() == want
+
+
 def test_phrases_of_many_letters_and_languages():
     rng = random.Random(5)
     say = lambda at, n: "".join(chr(at + min(rng.randrange(900), rng.randrange(900))) for _ in range(n))
@@ -295,6 +316,21 @@ def test_language_odd_rows(spark, odd):
     assert langid.predict(odd.limit(0), model).count() == 0
 
 
+def test_language_samples_are_the_lowest_hashes(spark):
+    """A share of the hashes is looked at; short texts come last; where the share proves too small, all are ranked."""
+    rows = [("x", f"text {i} " * 20) for i in range(3000)] + [("x", f"short {i}") for i in range(50)]
+    rows += [("y", f"long enough {i} " * 20) for i in range(5)] + [("y", f"short {i}") for i in range(2000)]
+    table = spark.createDataFrame(rows, "lang string, text string").repartition(7)
+    got = langid.learn_samples(table, sample_docs=10)
+    cut = table.distinct().select("lang", "text", F.substring("text", 1, langid.PER_DOC).alias("slice"))
+    every = [(r.lang, len(r.text) < 100, r.at, r.slice) for r in cut.withColumn("at", F.xxhash64("slice")).collect()]
+    for lang in "xy":
+        assert got[lang] == [x[3] for x in sorted(e for e in every if e[0] == lang)[:10]]
+    one = langid._lowest(table.select("lang", F.lit(False).alias("late"), "text", F.col("text").alias("slice"), F.xxhash64("text").alias("at")),
+                         {("x", False): 1e-9, ("y", False): 1.0}, 10)
+    assert len(one.get("x", [])) < 10 and len(one["y"]) == 10
+
+
 def test_copies_take_one_place_in_the_language_sample(spark):
     rows = [("de", f"{i} " + "wort " * 150 + "copy" * (i % 2)) for i in range(20)] + [("en", "a copy of one text " * 40 + str(i % 2)) for i in range(400)]
     rows += [("en", f"other words {i} " * 50) for i in range(20)]
