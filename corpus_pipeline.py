@@ -11,7 +11,9 @@ mixing            what is left is mixed to the source weights and sorted by trai
 
 All but the last return the columns of ``documents``; the last adds size, source_size, target, taken and position.
 Null texts count as empty, rows with a null doc_id are documents like any other, empty tables pass through.  Of rows with
-equal doc_id and text that differ elsewhere one stays, not always the same; a column named ``_score`` is reserved.
+equal doc_id and text that differ elsewhere the one with the smallest digest of its other columns stays.  Extra columns
+are kept, whatever their names (but for the five that the last stage adds and names that begin with ``_ld_``, ``_sh_`` or
+``_mx_``).
 """
 from __future__ import annotations
 
@@ -19,16 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stargraph.llm import decontaminate, line_dedup, mixing, quality, simhash
-from stargraph.llm.common import materialize, table, text_or_empty
+from stargraph.llm.common import materialize, table, text_or_empty, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are predicted to be of low quality."""
-    stats = docs.select("doc_id", quality.features(F.col("text")).alias("stats"))
-    learned = materialize(quality.labelled(stats, table(spark, sf_dir, "labels")), "pipeline-labelled")
-    model = quality.fit(learned)
-    scored = docs.withColumn("_score", quality.score(quality.features(F.col("text")), model))
-    return scored.filter(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    stats = unused("_stats", docs.columns)  # written once, for learning and for the scores
+    known = materialize(docs.withColumn(stats, quality.features(F.col("text"))), "pipeline-statistics")
+    rows = quality.labelled(known.select("doc_id", F.col(stats).alias("stats")), table(spark, sf_dir, "labels"))
+    model = quality.fit(materialize(rows, "pipeline-labelled"))
+    return known.filter(quality.score(F.col(stats), model) >= quality.THRESHOLD).drop(stats)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     cleaned = line_dedup.dedup(docs).drop("_ld_lines", "_ld_dropped")
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.char_length(text_or_empty(F.col("text"))).cast("long"))
-    return cleaned.select(docs.columns)
+    return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,14 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, with underscores after it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
@@ -45,6 +53,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 __all__ = [
-    "UPPER", "LOWER", "BLANKS", "by_value", "text_or_empty", "ascii_lower", "remainder", "documents", "table",
+    "UPPER", "LOWER", "BLANKS", "by_value", "text_or_empty", "ascii_lower", "remainder", "unused", "documents", "table",
     "materialize",
 ]

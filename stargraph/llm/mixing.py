@@ -24,6 +24,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stargraph.llm.common import text_or_empty
 
@@ -115,7 +116,12 @@ def mix(
     bucket = F.floor(bucket * F.lit(buckets) / F.lit(float(1 << 32))).cast("int")
     # a source key that is never null: the running sums and the join below then share one shuffle of the documents
     named = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit(""))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], order.alias("_mx_order"), named.alias("_mx_source"))
+    # rows with equal id and size, by what else they hold
+    plain = (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.DatetimeType)
+    tie = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if isinstance(f.dataType, plain)])
+    keyed = docs.select(
+        *[F.col(f"`{c}`") for c in kept], order.alias("_mx_order"), named.alias("_mx_source"), tie.alias("_mx_tie")
+    )
     keyed = keyed.withColumn("_mx_bucket", bucket)
 
     cells = keyed.groupBy("source", "_mx_source", "_mx_bucket").agg(F.sum("size").alias("cell"))
@@ -130,7 +136,7 @@ def mix(
 
     inside = (
         Window.partitionBy("_mx_source", "_mx_bucket")
-        .orderBy("_mx_order", "doc_id", "size")
+        .orderBy("_mx_order", "doc_id", "size", "_mx_tie")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     due = (

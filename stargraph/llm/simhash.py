@@ -188,8 +188,9 @@ def near_duplicates(
 def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS) -> DataFrame:
     """The documents that name their group, all columns kept: one per group.
 
-    Of rows that share that doc_id, the one with the smallest text hash stays, and of equal rows one.  A group of
-    nothing but null ids has no name; its different texts all stay.
+    Of rows that share that doc_id, the one with the smallest text hash stays; of those the one with the smallest
+    digest of the other columns, and of equal rows one.  A group of nothing but null ids has no name; its different
+    texts all stay.
     """
     named = grouped(docs, shingle, max_bits, blocks).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     nameless = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
@@ -198,8 +199,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_
     )
     keyed = docs.withColumn("_sh_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     keyed = keyed.withColumn("_sh_text", text_hash())
-    kept = keyed.join(stay, ["_sh_id", "_sh_text"], "left_semi").dropDuplicates(["_sh_id", "_sh_text"])
-    return kept.drop("_sh_id", "_sh_text")
+    kept = keyed.join(stay, ["_sh_id", "_sh_text"], "left_semi")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    tie = F.md5(F.to_json(F.struct(*others))) if others else F.lit("")
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), tie)
+    return kept.groupBy("_sh_id", "_sh_text").agg(row.alias("_sh_row")).select("_sh_row.*")
 
 
 by_value(__name__)

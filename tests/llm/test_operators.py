@@ -1,8 +1,10 @@
 """The dealt operators against brute force, and their null, empty, tie, repeat and name-clash cases."""
 import collections
 import hashlib
+import math
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -229,6 +231,43 @@ def test_quality_separates_held_out_rows(spark, sf_mid):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_quality_fit_matches_plain_numpy(spark):
+    """Moments, normal equations, ridge weights, calibration and scores, without Spark and without partitions."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (600, quality.FEATURES))
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.normal(0, 0.5, 600) > 0.3).astype(int)
+    calibrate = rng.random(600) < 0.25
+    rows = [(a.tolist(), int(b), bool(c)) for a, b, c in zip(x, y, calibrate)]
+    model = quality.fit(spark.createDataFrame(rows, "stats array<double>, quality int, calibrate boolean").repartition(5))
+
+    draw = np.random.default_rng(quality.SEED)
+    freq = draw.normal(0.0, 1.0 / quality.WIDTH, (quality.FEATURES, quality.RFF))
+    phase = draw.uniform(0.0, 2 * np.pi, quality.RFF)
+    unit = np.clip((x - x.mean(0)) / x.std(0), -6, 6)
+    z = np.array([[np.sqrt(2 / quality.RFF) * np.cos(row @ freq[:, j] + phase[j]) for j in range(quality.RFF)] + [1.0] for row in unit])
+    learn = z[~calibrate]
+    n = len(learn)
+    left = sum(np.outer(row, row) for row in learn) / n + quality.RIDGE * np.eye(quality.RFF + 1)
+    weights = np.linalg.solve(left, sum(row * t for row, t in zip(learn, y[~calibrate])) / n)
+    assert np.allclose(model.weights, weights, atol=1e-8)
+    raw = z @ weights
+    bins = collections.defaultdict(list)
+    for r, t in zip(raw[calibrate], y[calibrate]):
+        bins[int(np.floor(min(max(r, -1.0), 2.0) * (quality.BINS / 3)))].append((r, t))
+    points = [(np.mean([r for r, _ in b]), np.mean([t for _, t in b]), len(b)) for _, b in sorted(bins.items())]
+    # isotonic regression by its minimax formula
+    level = []
+    for i in range(len(points)):
+        mean = lambda a, b: sum(p[1] * p[2] for p in points[a : b + 1]) / sum(p[2] for p in points[a : b + 1])
+        level.append(max(min(mean(a, b) for b in range(i, len(points))) for a in range(i + 1)))
+    knots = collections.defaultdict(list)
+    for p, at in zip(points, level):
+        knots[round(at, 12)].append(p)
+    kx = [sum(p[0] * p[2] for p in ps) / sum(p[2] for p in ps) for _, ps in sorted(knots.items())]
+    want = np.clip(0.98 * np.interp(raw, kx, sorted(knots)) + 0.02 * np.clip((raw + 1) / 3, 0, 1), 0, 1)
+    assert np.allclose(model.score(x), want, atol=1e-8)
+
+
 def test_quality_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (3, 0, 0), (None, 1, 0), (4, None, 0), (9, 0, 0)], "doc_id long, quality int, toxic int")
     stats = odd.select("doc_id", quality.features(F.col("text")).alias("stats"))
@@ -413,6 +452,57 @@ def test_neighbours_and_edits(spark):
     assert got == {k: v for k, v in plain.items() if k != 27}
 
 
+def plain_fingerprint(text, samples):
+    """Consistent weighted samples of one text, word by word."""
+    weights = collections.Counter(xxhash.xxh64_intdigest(w.encode(), seed=42) for w in re.findall(r"[^\x20\x09-\x0D]+", text))
+
+    def chained(term, sample):  # the hash of (term, sample): each value is hashed with the hash before as its seed
+        first = xxhash.xxh64_intdigest(term.to_bytes(8, "little"), seed=42)
+        return xxhash.xxh64_intdigest(sample.to_bytes(4, "little"), seed=first)
+
+    out = []
+    for k in range(samples):
+        least = []
+        for term, weight in weights.items():
+            one, two = chained(term, 2 * k), chained(term, 2 * k + 1)
+            u = lambda bits, at: ((bits >> at * 21 & (1 << 21) - 1) + 0.5) / (1 << 21)
+            r, c = -math.log(u(one, 0) * u(one, 1)), -math.log(u(two, 0) * u(two, 1))
+            b = u(one, 2) + (u(two, 2) - 0.5) / (1 << 21)
+            t = math.floor(math.log(weight) / r + b)
+            least.append((math.log(c) - r * (t - b + 1.0), term))
+        out.append(min(least)[0] if least else None)
+    return out
+
+
+def test_fingerprints_match_plain_sampling(spark):
+    """Every sample of every text by hand; both likenesses from the fingerprints of the texts named in the contract."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["aa", "b", "cé", "dd", "ee", "f"]) for _ in range(n)) for n in (1, 2, 7, 30, 31, 80)] + ["", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in fingerprint.report(docs).collect()}
+    values = []
+    for i, text in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        half = len(text) // 2
+        values += [(i, 0, text), (i, 1, text[: len(text) - half] + following[:half])]
+    allowed = {}
+    for i, kind, text in values:
+        for k, value in enumerate(plain_fingerprint(text, fingerprint.SAMPLES)):
+            # the last digits of a logarithm differ between Java and C
+            near = [] if value is None else [value + d * math.ulp(value) for d in range(-16, 17)]
+            allowed[i, kind, k] = {f"{xxhash.xxh64_intdigest(struct.pack('<d', v), seed=42) & 0xFFFF:04x}" for v in near}
+    same = lambda a, b: float(a == b) if "-" in (a, b) else sum(a[j : j + 4] == b[j : j + 4] for j in range(0, len(a), 4)) / fingerprint.SAMPLES
+    for i, row in rows.items():
+        for kind, digits in ((0, row.fingerprint), (1, row.edited_fingerprint)):
+            if allowed[i, kind, 0]:
+                assert len(digits) == 4 * fingerprint.SAMPLES
+                assert all(digits[4 * k : 4 * k + 4] in allowed[i, kind, k] for k in range(fingerprint.SAMPLES))
+            else:
+                assert digits == "-"
+        assert row.near_edited == same(row.fingerprint, row.edited_fingerprint)
+        assert row.near_next == same(row.fingerprint, rows[(i + 1) % len(texts)].fingerprint)
+
+
 def test_likeness_estimates_generalised_jaccard(spark):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(40)]

@@ -3,6 +3,7 @@ import collections
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm_data import duck_mid, sf_mid, sf_small  # noqa: F401
@@ -67,9 +68,25 @@ def test_pipeline_matches_brute_force(spark, sf_small):
 
 def test_stages_on_odd_and_empty_tables(spark, sf_small):
     rows = [(1, "a b c d e f g h i j k l", "en", "s1", 23), (1, "a b c d e f g h i j k l", "en", "s1", 23), (2, None, None, None, None),
-            (None, "", "de", None, 0), (3, "wort " * 3000, "de", "s2", 15000)]
+            (None, "", "de", None, 0), (3, "wort " * 40_000, "de", "s2", 200_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("_score", F.lit("mine")).withColumn("_STATS", F.lit(1)).withColumn("a.b", F.lit(2))
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_small)
         assert out.columns[: len(docs.columns)] == docs.columns
+        assert {(r["_score"], r["_STATS"], r["a.b"]) for r in out.collect()} <= {("mine", 1, 2)}
         assert out.count() <= len(rows) and stage(spark, docs.limit(0), sf_small).count() == 0
+
+
+def test_ties_are_broken_by_content(spark, sf_small):
+    """Rows with equal ids that differ elsewhere: the same rows, whatever their order and partitions."""
+    rows = [(1, "one text of some words", "en", "s1", 22), (1, "one text of some words", "de", "s2", 22), (1, "one text of some words", None, "s1", 22),
+            (2, "four words are here", "en", "s1", 19), (2, "here are four words", "en", "s1", 19)] + [
+            (i, f"w{i} x y z", "en", "s1", 8) for i in range(3, 9)]
+    stages, seen = dict(corpus_pipeline.STAGES), set()
+    for parts in (1, 3, 5):
+        docs = spark.createDataFrame(rows[::-1] if parts == 3 else rows, "doc_id long, text string, lang string, source string, n_chars long")
+        docs = docs.repartition(parts)
+        kept = [stages["near_duplicates"](spark, docs, sf_small), stages["mixing"](spark, docs, sf_small)]
+        seen.add(tuple(tuple(sorted(map(str, df.collect()))) for df in kept))
+    assert len(seen) == 1
