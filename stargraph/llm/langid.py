@@ -16,6 +16,7 @@ learned.  Null ids and repeated rows stay rows; extra columns are ignored; an em
 """
 from __future__ import annotations
 
+import json
 import random
 from collections.abc import Iterator
 
@@ -55,11 +56,10 @@ def learn_samples(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, per_doc:
 
 def _lowest(rows: DataFrame, share: dict[tuple[str, bool], float], sample_docs: int) -> dict[str, list[str]]:
     """The first ``sample_docs`` distinct slices per language; a share of the hashes is looked at."""
-    limits = [(lang, late, min(2**63 - 1, int(part * 2**64) - 2**63)) for (lang, late), part in share.items()]
-    known = rows.sparkSession.createDataFrame(limits, "lang string, late boolean, until long")
+    until = {f"{int(late)}{lang}": min(2**63 - 1, int(part * 2**64) - 2**63) for (lang, late), part in share.items()}
+    limits = F.from_json(F.lit(json.dumps(until)), "map<string,bigint>")  # one literal, two numbers a language
     chosen = (
-        rows.join(known, ["lang", "late"])
-        .filter(F.col("at") <= F.col("until"))
+        rows.filter(F.col("at") <= F.element_at(limits, F.concat(F.col("late").cast("int").cast("string"), F.col("lang"))))
         .groupBy("lang", "late", "at", "slice")  # copies take one place
         .agg(F.lit(1).alias("one"))
         .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("late", "at", "slice")))
