@@ -127,11 +127,8 @@ def category_affinity_undirected(edges_with_cats: DataFrame) -> DataFrame:
     )
 
 
-def graph_counts(parts: dict[str, tuple[str, DataFrame]]) -> DataFrame:
-    """A10: rows per node label / relationship type plus per-kind and grand totals (``rollup``).
-
-    ``parts`` maps a name to ``(kind, frame)`` with kind ``node`` or ``relationship``.
-    """
+def table_counts(parts: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """``kind, name, n``: rows of each table; ``parts`` maps a name to ``(kind, frame)``."""
     frames = [
         df.agg(F.count(_one()).alias("n")).select(F.lit(kind).alias("kind"), F.lit(name).alias("name"), "n")
         for name, (kind, df) in parts.items()
@@ -139,12 +136,26 @@ def graph_counts(parts: dict[str, tuple[str, DataFrame]]) -> DataFrame:
     u = frames[0]
     for f in frames[1:]:
         u = u.unionByName(f)
+    return u
+
+
+def with_totals(counts: DataFrame) -> DataFrame:
+    """``kind, name, n`` with a total per kind and the grand total (``rollup``)."""
     return (
-        u.rollup("kind", "name").agg(F.sum("n").alias("n"))
+        counts.rollup("kind", "name").agg(F.sum("n").alias("n"))
         .select(F.coalesce("kind", F.lit("all")).alias("kind"), F.coalesce("name", F.lit("total")).alias("name"), "n")
     )
 
 
+def graph_counts(parts: dict[str, tuple[str, DataFrame]]) -> DataFrame:
+    """A10: rows per node label / relationship type plus per-kind and grand totals.
+
+    ``parts`` maps a name to ``(kind, frame)`` with kind ``node`` or ``relationship``.  ``graph.count_graph`` gives the
+    same rows for a graph whose tables are still to be built, in fewer passes.
+    """
+    return with_totals(table_counts(parts))
+
+
 def title_coverage(df: DataFrame, title_col: str = "product_title") -> DataFrame:
     """Percentage of rows that carry a title."""
     return df.agg(

@@ -219,17 +219,9 @@ SELECT coalesce(kind, 'all') AS kind, coalesce(name, 'total') AS name, CAST(sum(
 FROM parts GROUP BY ROLLUP (kind, name)"""
 
 
-def graph_parts(g: ReviewGraph) -> dict:
-    return {
-        "Product": ("node", g.products), "Reviewer": ("node", g.reviewers), "Category": ("node", g.categories),
-        "REVIEWED": ("relationship", g.reviewed), "CO_PURCHASED": ("relationship", g.co_purchased),
-        "BELONGS_TO": ("relationship", g.belongs_to), "ACTIVE_IN": ("relationship", g.active_in),
-    }
-
-
 @query("graph_counts", O.q(GRAPH_PARTS_SQL))
 def _a10(spark, d):
-    return A.graph_counts(graph_parts(graph(spark, d)))
+    return G.count_graph(graph(spark, d))
 
 
 @query("title_coverage", RAW + "," + META_SQL + """,

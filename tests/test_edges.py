@@ -156,6 +156,23 @@ def small_reviews(spark):
     return spark.createDataFrame([(*r, None) for r in rows], REVIEWS)
 
 
+@pytest.mark.parametrize("given", [(), ("products",), ("reviewed", "belongs_to", "co_purchased"), tuple(t for _, t in G.PARTS.values())])
+def test_counts_in_shared_passes_equal_the_counts_of_the_tables(spark, given):
+    odd = spark.createDataFrame([(8, None, 1, "a", "007", 5, None), (9, 2, None, "e", "8", 4, None), (10, None, None, None, None, 3, None)], REVIEWS)
+    for reviews in [small_reviews(spark).unionByName(odd)] + ([] if given else [odd.limit(0)]):
+        g = G.build_graph(reviews, bot_min_reviews=None, active_min_reviews=2)
+        g = g.with_tables(**{t: getattr(g, t) for t in given})
+        rows = [{(r.kind, r.name): r.n for r in df.collect()} for df in (G.count_graph(g), A.graph_counts(G.graph_parts(g)))]
+        assert rows[0] == rows[1] and len(rows[0]) == 10
+
+
+def test_counts_do_not_join_reviews(spark):
+    """Four tables of the reviews come from one aggregation: no join but those of the pairs."""
+    g = G.build_graph(small_reviews(spark), bot_min_reviews=None).with_tables(co_purchased=spark.range(3))
+    plan = G.count_graph(g)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Expand") == 2  # the grouping sets and the rollup
+
+
 def test_edges_of_reviews_without_category(spark):
     r = small_reviews(spark)
     assert {(x.reviewer_id, x.category) for x in A.active_in(r).collect()} == {(1, "007"), (1, "8"), (2, "007"), (2, "8")}
