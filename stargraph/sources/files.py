@@ -190,12 +190,19 @@ def count_jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType
     return _report(_all_json(spark, path, schema), F.col(CORRUPT).isNull())
 
 
+def _decoded(c: Column) -> Column:
+    """``%xx`` escapes undone; a text without any is left alone, as decoding is far dearer than looking for one."""
+    return F.when(F.contains(c, F.lit("%")), F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))).otherwise(c)
+
+
 def folder_name(file_path: Column) -> Column:
-    """The name of a file's folder, its escapes undone; of a ``column=value`` folder the value (null for Hive's null)."""
-    escaped = F.replace(F.regexp_extract(file_path, "([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B"))
-    name = F.url_decode(escaped)  # of the path as a URI
-    value = F.url_decode(F.replace(F.regexp_extract(name, "^[^=]+=(.*)$", 1), F.lit("+"), F.lit("%2B")))
-    plain = F.when(name.rlike("^[^=]+="), value).otherwise(name)
+    """The name of a file's folder, its escapes undone; of a ``column=value`` folder the value (null for Hive's null).
+
+    It is worked out for every row, so it cuts at fixed marks: a regular expression would try each place of the path.
+    """
+    name = _decoded(F.substring_index(F.substring_index(file_path, "/", -2), "/", 1))  # of the path as a URI
+    at = F.locate("=", name)
+    plain = F.when(at > 1, _decoded(F.substring(name, at + 1, F.length(name)))).otherwise(name)
     return F.when(plain != "__HIVE_DEFAULT_PARTITION__", plain)
 
 
