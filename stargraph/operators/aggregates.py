@@ -89,12 +89,19 @@ def multi_buyer_stats(df: DataFrame, buyer: str = "reviewer_id", item: str = "pr
 
 
 def multi_buyer_share(df: DataFrame, dataset: str, buyer: str, item: str) -> DataFrame:
-    """Per dataset, buyers, multi-buyers and their percentage."""
-    per = items_per_buyer(df, buyer, item, [dataset])
+    """Per dataset, buyers, multi-buyers and their percentage.
+
+    A buyer has several items if the smallest and the largest differ, or if some but not all are null (null is an item
+    of its own, as in ``items_per_buyer``): one aggregate per buyer, with no set of its items.
+    """
+    per = df.groupBy(dataset, buyer).agg(
+        F.min(item).alias("lo"), F.max(item).alias("hi"), F.count(item).alias("known"), F.count(_one()).alias("n")
+    )
+    several = F.coalesce(F.col("lo") != F.col("hi"), F.lit(False)) | F.col("known").between(1, F.col("n") - 1)
     return per.groupBy(dataset).agg(
         F.count(_one()).alias("buyers"),
-        F.count_if(F.col("n_items") > 1).alias("multi_buyers"),
-        (F.count_if(F.col("n_items") > 1) * F.lit(100.0) / F.count(_one())).alias("multi_buyer_pct"),
+        F.count_if(several).alias("multi_buyers"),
+        (F.count_if(several) * F.lit(100.0) / F.count(_one())).alias("multi_buyer_pct"),
     )
 
 

@@ -26,6 +26,7 @@ MIN_REVIEWS = 20
 ANCHOR = 28
 CATEGORY = "STANDARD"
 BOT_TEST = O.BOT_TEST
+ROWS_PER_TASK = 1_000_000
 RARE_WEIGHT = 4  # co-purchase weight at which some products have no neighbour
 
 
@@ -179,8 +180,10 @@ SELECT o_orderpriority, CAST(count(*) AS BIGINT) AS buyers, CAST(count(*) FILTER
 FROM per GROUP BY o_orderpriority""")
 def _a6(spark, d):
     t = Tables(spark, d)
-    rows = t.lineitem.select("l_orderkey", "l_partkey").join(
-        t.orders.select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey")
+    # join and aggregate are by the order: tasks of a bounded number of rows, however large the table
+    n = max(spark.sparkContext.defaultParallelism, -(-t.lineitem.count() // ROWS_PER_TASK))
+    rows = t.lineitem.select("l_orderkey", "l_partkey").repartition(n, "l_orderkey").join(
+        t.orders.select("o_orderkey", "o_orderpriority").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     return A.multi_buyer_share(rows, "o_orderpriority", "l_orderkey", "l_partkey")
 

@@ -1,8 +1,10 @@
 """Steps whose cost per row or per task must not grow with the table."""
+import random
 import time
 
 from pyspark.sql import functions as F
 
+from stargraph.operators import aggregates as A
 from stargraph.sources import files as S
 
 
@@ -19,3 +21,17 @@ def test_folder_name_is_cheap_and_undoes_escapes(spark):
     start = time.time()
     assert many.filter(S.folder_name(F.col("p")) == "a").count() == 400_000
     assert time.time() - start < 15  # with regular expressions 130 microseconds a row
+
+
+def test_multi_buyer_share_needs_no_set_of_items(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(30)]), rng.choice([None, 1, 2, 3])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "d string, b long, i long")
+    items = {}
+    for d, b, i in rows:
+        items.setdefault(d, {}).setdefault(b, set()).add(i)
+    want = {d: (len(x), sum(len(s) > 1 for s in x.values())) for d, x in items.items()}
+    shares = A.multi_buyer_share(df, "d", "b", "i")
+    assert {r.d: (r.buyers, r.multi_buyers) for r in shares.collect()} == want
+    plan = shares._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [d" in plan and ", i#" not in plan.split("Aggregate [d")[-1].split("]")[0]  # no row per item
