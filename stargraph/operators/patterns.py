@@ -21,8 +21,17 @@ def reverse_edges(edges: DataFrame) -> DataFrame:
 
 
 def union_directions(edges: DataFrame) -> DataFrame:
-    """Each edge once as stored and once reversed; a self-loop only once."""
-    return edges.unionByName(reverse_edges(edges))
+    """Each edge once as stored and once reversed; a self-loop only once.
+
+    The edges are read once and doubled row by row: a union would work out a lazy edge table for either direction.
+    """
+    cols = [c for c in edges.columns if c not in ("src", "dst")]
+    swap = {"src_category": "dst_category", "dst_category": "src_category"}
+    other = {"src": "dst", "dst": "src", **{c: swap[c] if c in swap and swap[c] in cols else c for c in cols}}
+    stored = F.struct(*[F.col(c).alias(c) for c in edges.columns])
+    back = F.struct(*[F.col(other[c]).alias(c) for c in edges.columns])
+    both = F.when(F.col("src") != F.col("dst"), F.array(stored, back)).otherwise(F.array(stored))
+    return edges.select(F.inline(both))
 
 
 def expand(

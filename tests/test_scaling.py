@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from stargraph.operators import aggregates as A
+from stargraph.operators import patterns as J
 from stargraph.sources import files as S
 
 
@@ -35,3 +36,16 @@ def test_multi_buyer_share_needs_no_set_of_items(spark):
     assert {r.d: (r.buyers, r.multi_buyers) for r in shares.collect()} == want
     plan = shares._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [d" in plan and ", i#" not in plan.split("Aggregate [d")[-1].split("]")[0]  # no row per item
+
+
+def test_union_directions_reads_the_edges_once(spark):
+    edges = spark.createDataFrame(
+        [(1, 2, 3, "a", "b"), (4, 4, 5, "c", "c"), (2, None, 1, "d", None)], "src long, dst long, weight long, src_category string, dst_category string"
+    )
+    counted = edges.groupBy("src", "dst", "src_category", "dst_category").agg(F.sum("weight").alias("weight"))
+    both = J.union_directions(counted)
+    assert both.columns == counted.columns
+    got = sorted((tuple(r) for r in both.collect()), key=str)
+    assert got == sorted([(1, 2, "a", "b", 3), (2, 1, "b", "a", 3), (4, 4, "c", "c", 5), (2, None, "d", None, 1)], key=str)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # a union counted the edges once for each direction
