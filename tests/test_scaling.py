@@ -5,6 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from stargraph.operators import aggregates as A
+from stargraph.operators import copurchase as C
 from stargraph.operators import patterns as J
 from stargraph.sources import files as S
 
@@ -49,3 +50,16 @@ def test_union_directions_reads_the_edges_once(spark):
     assert got == sorted([(1, 2, "a", "b", 3), (2, 1, "b", "a", 3), (4, 4, "c", "c", 5), (2, None, "d", None, 1)], key=str)
     plan = both._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1  # a union counted the edges once for each direction
+
+
+def test_listed_pairs_equal_the_self_join(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = {(0, i) for i in range(120)} | {(g, rng.choice([0, 1, rng.randrange(150)])) for g in range(1, 90) for _ in range(6)}
+    inc = spark.createDataFrame(sorted(rows), "g long, item long")
+    for block, task in ((1024, C.PAIRS_PER_TASK), (16, C.PAIRS_PER_TASK), (1024, 200), (16, 200)):
+        monkeypatch.setattr(C, "PAIRS_PER_TASK", task)  # products above it are divided
+        for weight in (1, 2):
+            want = sorted(map(tuple, C.pair_counts(inc, weight, block).collect()))
+            assert want and sorted(map(tuple, C.pair_counts(inc, weight, block, listed_pairs=0).collect())) == want
+    plan = C.pair_counts(inc, 1, listed_pairs=0)._jdf.queryExecution().executedPlan().toString()
+    assert "dsts" in plan and plan.count("partial_count") == 1
