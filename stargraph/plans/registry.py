@@ -640,7 +640,8 @@ def routed_questions(spark, d):
 
 
 def contexts(spark, d, g=None):
-    g = g or graph(spark, d)
+    """The contexts of all intents; the intents read one written copy of the products and pairs."""
+    g = g or written_graph(spark, d)
     return RT.intent_contexts(g, min_reviews=MIN_REVIEWS, min_reviews_category=MIN_REVIEWS)
 
 

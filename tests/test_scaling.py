@@ -63,3 +63,11 @@ def test_listed_pairs_equal_the_self_join(spark, monkeypatch):
             assert want and sorted(map(tuple, C.pair_counts(inc, weight, block, listed_pairs=0).collect())) == want
     plan = C.pair_counts(inc, 1, listed_pairs=0)._jdf.queryExecution().executedPlan().toString()
     assert "dsts" in plan and plan.count("partial_count") == 1
+
+
+def test_contexts_read_the_written_pairs(spark):
+    from stargraph.plans import registry
+
+    for name in ("unwrap_body", "build_context"):
+        files = registry.QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert any("/co-purchased-" in f for f in files), name  # not counted anew for every intent
