@@ -1,6 +1,5 @@
 """Steps whose cost per row or per task must not grow with the table."""
 import random
-import time
 
 from pyspark.sql import functions as F
 
@@ -19,10 +18,8 @@ def test_folder_name_is_cheap_and_undoes_escapes(spark):
     }
     df = spark.createDataFrame([(base + p, want) for p, want in paths.items()], "path string, want string")
     assert df.filter(~S.folder_name(F.col("path")).eqNullSafe(F.col("want"))).collect() == []
-    many = spark.range(400_000, numPartitions=1).select(F.concat(F.lit(base + "category=a/part-"), F.col("id")).alias("p"))
-    start = time.time()
-    assert many.filter(S.folder_name(F.col("p")) == "a").count() == 400_000
-    assert time.time() - start < 15  # with regular expressions 130 microseconds a row
+    plan = df.select(S.folder_name(F.col("path")))._jdf.queryExecution().analyzed().toString().lower()
+    assert "regexp" not in plan and "rlike" not in plan  # those took 130 microseconds a row
 
 
 def test_multi_buyer_share_needs_no_set_of_items(spark):
