@@ -42,8 +42,8 @@ WINDOW = 2048
 BLOCK = 1 << 21       # ids of a block: about a thousand windows
 LUMP = 64             # shorter rests are laid together first, so that a block has at most BLOCK / LUMP partitions
 END_ID = 1
-KNOWN_WORDS = 1 << 19  # words whose ids a task remembers
-ENCODE = 4096         # words encoded at a time
+KNOWN_WORDS = 1 << 19  # atoms of words whose ids a task remembers
+ENCODE = 4096         # atoms encoded at a time
 ROW = 64              # words of letters encoded as one text
 MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")  # an apostrophe may start an ending
 SLICE = 4 << 20       # bytes of text tokenized at a time
@@ -55,9 +55,10 @@ class Words:
     """Ids of texts.
 
     Where the tokenizer drops white space and marks the ends of words in its tokens, no token reaches over white space:
-    each distinct word is encoded once and looked up after that.  Marks around a word of letters are tokens of their
-    own there, so such words share what they are without marks and, in ASCII, without capitals; and words of letters
-    are encoded many in a row, as the marked ends tell them apart.  Texts go to any other tokenizer whole.
+    each distinct word of a slice is looked up once.  Marks around a word of letters are tokens of their own there, so a
+    word is marks, letters and marks (``_atoms``), the letters in ASCII without capitals: these atoms are encoded once
+    and known after that.  Atoms of letters are encoded many in a row, as the marked ends tell them apart.  Words are
+    cut, looked up and put together as whole arrays.  Texts go to any other tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -75,67 +76,108 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.atom: dict[str, list[int]] = {"": []}
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(2, np.int64)  # the empty atom has no ids
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _add(self, atoms: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(atoms, range(len(self.number), len(self.number) + len(atoms))))
+        self.flat = np.concatenate([self.flat, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
     def learn(self, atoms: list[str]) -> None:
         """Ids of unknown atoms."""
-        letters = [a for a in atoms if a.isalpha() and is_normalized("NFC", a)]
-        rows = [letters[i : i + ROW] for i in range(0, len(letters), ROW)]
-        others = [a for a in atoms if not (a.isalpha() and is_normalized("NFC", a))]
-        for i in range(0, len(rows), ENCODE // ROW):
-            run = rows[i : i + ENCODE // ROW]
-            for row, ids in zip(run, self.whole([" ".join(row) for row in run])):
+        letters, others = [], []
+        for a in atoms:
+            (letters if a.isalpha() and (a.isascii() or is_normalized("NFC", a)) else others).append(a)
+        for i in range(0, len(letters), ENCODE):
+            run = letters[i : i + ENCODE]
+            coded = self.whole([" ".join(run[j : j + ROW]) for j in range(0, len(run), ROW)])
+            ids, row_sizes = _joined(coded)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            upto = np.cumsum(row_sizes)
+            found = np.diff(np.searchsorted(ends, upto, "right"), prepend=0)
+            wanted = np.minimum(ROW, len(run) - ROW * np.arange(len(coded)))
+            closed = (row_sizes > 0) & self.ends_word[ids[upto - 1]] if len(ids) else row_sizes > 0
+            good = (found == wanted) & closed
+            if not good.all():  # letters that the tokenizer does not know as such
+                others += [a for r in np.flatnonzero(~good).tolist() for a in run[r * ROW : (r + 1) * ROW]]
+                run = [a for r in np.flatnonzero(good).tolist() for a in run[r * ROW : (r + 1) * ROW]]
+                ids = ids[np.repeat(good, row_sizes)]
                 ends = np.flatnonzero(self.ends_word[ids]) + 1
-                if len(ends) == len(row):
-                    self.atom.update(zip(row, (ids[a:b] for a, b in zip([0, *ends[:-1]], ends))))
-                else:  # letters that the tokenizer does not know as such
-                    others += row
+            self._add(run, ids, np.diff(ends, prepend=0))
         for i in range(0, len(others), ENCODE):
-            self.atom.update(zip(others[i : i + ENCODE], self.whole(others[i : i + ENCODE])))
+            run = others[i : i + ENCODE]
+            self._add(run, *_joined(self.whole(run)))
 
-    def places(self, words: list[str]) -> np.ndarray:
-        """The number of each word; unknown ones are encoded first."""
+    def coded(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words in a row, and where each ends; unknown atoms are encoded first."""
         if len(self.number) > KNOWN_WORDS:
             self.forget()
-        new = [w for w in words if w not in self.number]
-        if new:
-            atoms = [_atoms(w) for w in new]
-            self.learn(list({a for word in atoms for a in word if a not in self.atom}))
-            ids = self.atom
-            coded = [ids[word[0]] if len(word) == 1 else ids[word[0]] + ids[word[1]] + ids[word[2]] for word in atoms]
-            sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(coded), np.uint32)])
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        atoms = pa.chunked_array(_atoms(words)).dictionary_encode().combine_chunks()
+        texts = atoms.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn([a for a in texts if a not in self.number])
+        number = np.fromiter(map(self.number.__getitem__, texts), np.int64, len(texts))
+        at = number[atoms.indices.to_numpy(zero_copy_only=False)].reshape(3, len(words)).T.ravel()
+        ids, ends = _gather(self.flat, self.ends, at)
+        return ids, ends[::3]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, an end id after each text, and the number of ids of each text."""
         if not self.by_word:
-            coded = [[*ids, end_id] for ids in self.whole(texts.to_pylist())]
-            return np.fromiter(chain.from_iterable(coded), np.uint32), np.fromiter(map(len, coded), np.int64, len(coded))
+            return _joined([[*ids, end_id] for ids in self.whole(texts.to_pylist())])
         parts = pc.ascii_split_whitespace(texts)
         words = parts.flatten().dictionary_encode()
-        at = self.places(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
-        sizes = self.ends[at + 1] - self.ends[at]
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.flat[np.arange(upto[-1]) + np.repeat(self.ends[at] - upto[:-1], sizes)]
-        last = upto[np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))]
-        return np.insert(ids, last, end_id), np.diff(last, prepend=0) + 1
-
-
-def _atoms(word: str) -> tuple[str, ...]:
-    """Marks, letters, marks; or the word itself (a special token in it must stay whole)."""
-    core = word.strip(MARKS)
-    if not (core.isalpha() and core.lower().isalpha()) or "<|" in word:
-        return (word,)
-    at = word.index(core)
-    return word[:at], core.lower() if core.isascii() else core, word[at + len(core) :]
+        flat, ends = self.coded(words.dictionary.cast(pa.string()))
+        # the end id is one more word, after each text
+        flat, ends = np.append(flat, np.uint32(end_id)), np.append(ends, ends[-1] + 1)
+        last = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+        at = np.insert(words.indices.to_numpy(zero_copy_only=False), last, len(ends) - 2)
+        ids, upto = _gather(flat, ends, at)
+        return ids, np.diff(upto[last + np.arange(1, len(last) + 1)], prepend=0)
+
+
+def _joined(coded: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of ids in a row, and their sizes."""
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+    return np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum())), sizes
+
+
+def _gather(flat: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[ends[i]:ends[i + 1]]`` of the numbers ``at`` in a row, and where each ends (after a zero)."""
+    starts, sizes = ends[at], np.diff(ends)[at]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    return flat[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], sizes)], upto
+
+
+def _atoms(words: pa.StringArray) -> list[pa.StringArray]:
+    """Marks, letters, marks of each word, empty where it has none; or the word itself between two empty texts (a
+    special token in it must stay whole)."""
+    core = pc.utf8_trim(words, characters=MARKS)
+    size, core_size = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, core))
+    lead = size - pc.binary_length(pc.utf8_ltrim(words, characters=MARKS)).to_numpy(zero_copy_only=False)
+    split = pc.utf8_is_alpha(core).to_numpy(zero_copy_only=False) & (core_size > 0)
+    split &= ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+    ascii_ = pc.string_is_ascii(core).to_numpy(zero_copy_only=False)
+    wide = np.flatnonzero(split & ~ascii_)
+    split[wide] = [c.isalpha() and c.lower().isalpha() for c in core.take(pa.array(wide)).to_numpy(zero_copy_only=False)]
+    middle = pc.if_else(pa.array(split & ascii_), pc.ascii_lower(core), pc.if_else(pa.array(split), core, words))
+    after = np.where(split, lead + core_size, 0)
+    return [_between(words, np.zeros_like(size), np.where(split, lead, 0)), middle,
+            _between(words, after, np.where(split, size - after, 0))]
+
+
+def _between(words: pa.StringArray, skip: np.ndarray, size: np.ndarray) -> pa.StringArray:
+    """``size`` bytes of each word after its first ``skip``."""
+    _, offsets, data = words.buffers()
+    if not size.any():
+        return pa.array([""] * len(words), pa.string())
+    starts = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words)] + skip
+    upto = np.concatenate([[0], np.cumsum(size)])
+    cut = np.frombuffer(data, np.uint8)[np.arange(upto[-1]) + np.repeat(starts - upto[:-1], size)]
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(cut))
 
 
 def _slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:

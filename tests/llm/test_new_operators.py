@@ -139,6 +139,24 @@ def test_forgotten_words_change_nothing(tokenizer, monkeypatch):
         assert words.encode(pa.array([text]), 1)[0].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_atoms_of_a_whole_array_of_words():
+    """Words are cut as arrays, not one by one (op11_packing: CPU seconds a GB)."""
+    words = ["word", "Word.", "(WORD),", "...", "", "don't", "é.", "É", "İ.", "a<|endoftext|>", "x1", "--ünder--", "'s", "a.b."]
+    want = [("", "word", ""), ("", "word", "."), ("(", "word", "),"), ("", "...", ""), ("", "", ""), ("", "don't", ""), ("", "é", "."),
+            ("", "É", ""), ("", "İ.", ""), ("", "a<|endoftext|>", ""), ("", "x1", ""), ("--", "ünder", "--"), ("", "'s", ""),
+            ("", "a.b.", "")]
+    both = pa.array(["unused.", *words], pa.string())[1:]  # an array with an offset
+    assert [*zip(*(part.to_pylist() for part in packing._atoms(both)))] == want
+    assert [part.to_pylist() for part in packing._atoms(both[:0])] == [[], [], []]
+    coder = packing.Words(PATH)
+    ids, ends = coder.coded(both)
+    for word, a, b in zip(words, ends, ends[1:]):
+        assert ids[a:b].tolist() == coder.tokenizer.encode(word, add_special_tokens=False).ids
+    known = len(coder.number)
+    coder.coded(pa.array(["WORD--", "..."]))
+    assert len(coder.number) == known + 1  # the dashes; nothing else is encoded a second time
+
+
 def test_packing_query(spark, sf_mid, tokenizer):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_mid}/documents.parquet").collect()]
     found = spark.read.parquet(f"{sf_mid}/documents.parquet")
