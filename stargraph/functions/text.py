@@ -15,6 +15,7 @@ CATEGORY_LABELS = {
 SHORT_TITLE_CHARS = 35
 TABLE_TITLE_CHARS = 40
 MAX_EDGE_WIDTH = 10
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 CATEGORY_NODE_PREFIX = "cat_"
 # Tooltip layout: title, category, stars (2 places), score (4 places), review count.
 TOOLTIP_FORMAT = "📦 %s\n🏷️ %s\n⭐ %s | 📊 Score: %s\n💬 %s reseñas"
@@ -32,14 +33,12 @@ def clean_text(c, null_text: str | None = None) -> Column:
     col = _c(c).cast("string")
     if null_text is not None:
         col = F.coalesce(col, F.lit(null_text))
-    col = F.regexp_replace(col, "\r\n", " ")
-    col = F.regexp_replace(col, "[\n\r\t]", " ")
-    return F.regexp_replace(col, '"', "")
+    return F.translate(F.replace(col, F.lit("\r\n"), F.lit(" ")), '\n\r\t"', "   ")
 
 
 def double_quotes(c) -> Column:
     """Every ``"`` becomes ``""``."""
-    return F.regexp_replace(_c(c), '"', '""')
+    return F.replace(_c(c), F.lit('"'), F.lit('""'))
 
 
 def stars_to_int(c) -> Column:
@@ -118,7 +117,7 @@ def review_year(ts, epoch_millis: bool = False) -> Column:
 
 def strip(c) -> Column:
     """Text without white space (Unicode's, line separators included) at both ends."""
-    return F.regexp_replace(_c(c), r"(?U)^\s+|\s+$", "")
+    return F.trim(_c(c), F.lit(WHITE_SPACE))
 
 
 def blank_to_null(c) -> Column:

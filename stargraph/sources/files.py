@@ -84,7 +84,13 @@ def csv_records(spark: SparkSession, path: str | list[str], header: bool = True,
 
 
 def _well_formed(latin: Column) -> Column:
-    """UTF-8 text from its bytes as ISO-8859-1 characters, without the bytes that belong to no well-formed sequence."""
+    """UTF-8 text from its bytes as ISO-8859-1 characters, without the bytes that belong to no well-formed sequence.
+
+    ASCII text is what it was: it is recognised by its size, far cheaper than the pattern."""
+    return F.when(F.octet_length(latin) == F.char_length(latin), latin).otherwise(_by_pattern(latin))
+
+
+def _by_pattern(latin: Column) -> Column:
     return F.decode(F.encode(F.regexp_replace(latin, f"((?:{_UTF8})++)|[\\x80-\\xff]", "$1"), "ISO-8859-1"), "UTF-8")
 
 
@@ -225,7 +231,8 @@ def read_tsv(spark: SparkSession, path: str | list[str], columns: Sequence[str],
         spark.read.options(header=header, sep="\t", quote="", escape="\u0000", multiLine=False)
         .schema(_schema(list(columns))).csv(path)
     )
-    return df.select(*[F.regexp_replace(F.col(c), r"\\(.)", "$1").alias(c) for c in columns])
+    unescaped = lambda c: F.when(F.contains(c, F.lit("\\")), F.regexp_replace(c, r"\\(.)", "$1")).otherwise(c)
+    return df.select(*[unescaped(F.col(c)).alias(c) for c in columns])
 
 
 def write_csv_quote_all(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -235,7 +242,10 @@ def write_csv_quote_all(df: DataFrame, path: str, mode: str = "errorifexists") -
 
 def tsv_escape(c: Column) -> Column:
     """Backslash before backslash, tab, CR, LF and double quote (unquoted TSV with ``\\`` as escape)."""
-    return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r'([\\\t\r\n"])', r"\\$1")
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    for mark in '\\\t\r\n"':  # the backslash first
+        text = F.replace(text, F.lit(mark), F.lit("\\" + mark))
+    return text
 
 
 def write_lines_with_header(lines: DataFrame, header: str, path: str, mode: str = "errorifexists") -> None:
