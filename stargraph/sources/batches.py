@@ -18,6 +18,7 @@ from ..session import materialize
 
 LEDGER = "bucket int, batch int, rows long, digest long, mix long, attempt int"
 WAVES = 4
+FILES_PER_TASK = 50
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -57,14 +58,18 @@ def send_batches(
     missing = materialize(
         digests.join(sent.drop("attempt"), ["bucket", "batch", "rows", "digest", "mix"], "left_anti"), "missing-batches"
     )
+    # the work of a wave is its files, however few bytes they have: tasks by their number, whole buckets each
+    tasks = max(spark.sparkContext.defaultParallelism, -(-missing.count() // (waves * FILES_PER_TASK)))
     for wave in range(waves):
         own = missing.filter(F.pmod("bucket", F.lit(waves)) == wave)
         rows = batched.filter(F.pmod("bucket", F.lit(waves)) == wave).join(own.select("bucket", "batch"), ["bucket", "batch"], "left_semi")
-        rows = rows.repartition("bucket").sortWithinPartitions("bucket", "batch", id_col)
+        rows = rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "batch", id_col)
         # whole batches in order, only a bucket's last one is smaller: a file a batch
-        rows.write.mode("append").option("maxRecordsPerFile", batch_size).option("ignoreNullFields", False).partitionBy("bucket").json(
-            f"{path}/data/attempt={attempt}"
-        )
+        rows.write.mode("append").options(**{
+            "maxRecordsPerFile": batch_size, "ignoreNullFields": False,
+            # tasks move their own files; nothing is read before its wave is in the ledger
+            "mapreduce.fileoutputcommitter.algorithm.version": 2,
+        }).partitionBy("bucket").json(f"{path}/data/attempt={attempt}")
         if after_wave:
             after_wave(wave)
         own.withColumn("attempt", F.lit(attempt)).write.mode("append").json(f"{path}/ledger")
